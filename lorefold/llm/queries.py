@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lorefold.llm.fingerprint import op3_fingerprint
 from lorefold.llm.language_id import op8_language_id
+from lorefold.llm.token_count import op9_token_count
 
 QUERIES = {
+    "op3_fingerprint": op3_fingerprint,
     "op8_language_id": op8_language_id,
+    "op9_token_count": op9_token_count,
 }
 
 ORACLES: dict[str, str] = {}
