@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from lorefold.llm.fingerprint import op3_fingerprint
 from lorefold.llm.language_id import op8_language_id
+from lorefold.llm.mixing import OP4_SQL, op4_mixing
 from lorefold.llm.token_count import op9_token_count
 
 QUERIES = {
     "op3_fingerprint": op3_fingerprint,
+    "op4_mixing": op4_mixing,
     "op8_language_id": op8_language_id,
     "op9_token_count": op9_token_count,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
+}
