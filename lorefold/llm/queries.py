@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lorefold.llm.fingerprint import op3_fingerprint
+from lorefold.llm.html_text import op7_html_text
 from lorefold.llm.language_id import op8_language_id
 from lorefold.llm.mixing import OP4_SQL, op4_mixing
 from lorefold.llm.token_count import op9_token_count
@@ -10,6 +11,7 @@ from lorefold.llm.token_count import op9_token_count
 QUERIES = {
     "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
+    "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
     "op9_token_count": op9_token_count,
 }
