@@ -6,9 +6,11 @@ from lorefold.llm.fingerprint import op3_fingerprint
 from lorefold.llm.html_text import op7_html_text
 from lorefold.llm.language_id import op8_language_id
 from lorefold.llm.mixing import OP4_SQL, op4_mixing
+from lorefold.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from lorefold.llm.token_count import op9_token_count
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
     "op7_html_text": op7_html_text,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op4_mixing": OP4_SQL,
 }
