@@ -5,6 +5,7 @@ from __future__ import annotations
 from lorefold.llm.fingerprint import op3_fingerprint
 from lorefold.llm.html_text import op7_html_text
 from lorefold.llm.language_id import op8_language_id
+from lorefold.llm.line_dedup import op10_line_dedup
 from lorefold.llm.mixing import OP4_SQL, op4_mixing
 from lorefold.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from lorefold.llm.token_count import op9_token_count
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
     "op9_token_count": op9_token_count,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
