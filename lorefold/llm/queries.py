@@ -7,6 +7,7 @@ from lorefold.llm.html_text import op7_html_text
 from lorefold.llm.language_id import op8_language_id
 from lorefold.llm.line_dedup import op10_line_dedup
 from lorefold.llm.mixing import OP4_SQL, op4_mixing
+from lorefold.llm.ngram_join import op6_ngram_join
 from lorefold.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from lorefold.llm.token_count import op9_token_count
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
     "op9_token_count": op9_token_count,
