@@ -53,9 +53,11 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and each row's number of words."""
-    inside = ~_SPACE[data]
+def word_spans(
+    data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ (or of runs of inside) and each row's number of words."""
+    inside = ~_SPACE[data] if inside is None else inside
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offs[1:-1]
@@ -75,7 +77,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     base = int(starts[0])
     body = data[base:]
     value = _BYTE[body]
-    value[_SPACE[body]] = 0
+    edge = np.zeros(len(body) + 1, np.int8)
+    edge[starts - base] += 1
+    edge[ends - base] -= 1
+    covered = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    value[:] = np.where(covered, value, 0)
     gaps = np.empty(len(starts), np.int64)
     gaps[:-1] = starts[1:] - starts[:-1]
     gaps[-1] = len(body) - (starts[-1] - base)

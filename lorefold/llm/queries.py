@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lorefold.llm.fingerprint import op3_fingerprint
 from lorefold.llm.html_text import op7_html_text
+from lorefold.llm.katz import op5_katz_scores
 from lorefold.llm.language_id import op8_language_id
 from lorefold.llm.line_dedup import op10_line_dedup
 from lorefold.llm.mixing import OP4_SQL, op4_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
+    "op5_katz_scores": op5_katz_scores,
     "op6_ngram_join": op6_ngram_join,
     "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
