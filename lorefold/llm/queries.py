@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lorefold.llm.decontaminate import op1_decontaminate
 from lorefold.llm.fingerprint import op3_fingerprint
 from lorefold.llm.html_text import op7_html_text
 from lorefold.llm.katz import op5_katz_scores
@@ -13,6 +14,7 @@ from lorefold.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from lorefold.llm.token_count import op9_token_count
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
