@@ -1,0 +1,62 @@
+"""Column functions shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def blank_to_null(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def csv_list(c: Column) -> Column:
+    """A comma list as trimmed non-blank parts; null gives the empty list."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: x != "")
+
+
+def yes_no(c: Column) -> Column:
+    low = F.lower(F.trim(c))
+    return F.when(low == "yes", True).when(low == "no", False)
+
+
+def url_slug(url: Column) -> Column:
+    """Last segment of a URL's path, or null."""
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    return F.nullif(F.substring_index(F.rtrim(path, F.lit("/")), "/", -1), F.lit(""))
+
+
+def status_of(c: Column) -> Column:
+    return F.when(c.isin("Draft", "Withdrawn"), c).otherwise(F.lit("Final"))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    def dot(x: Column, y: Column) -> Column:
+        terms = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
+        return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def fingerprint(*parts: Column) -> Column:
+    """sha256 of the parts joined by 0x1F, nulls as empty text."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def ordered_markers(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\[\d+\])"), F.lit(1)))
+
+
+def malformed_markers(text: Column) -> Column:
+    """Bracketed parts with a digit that aren't plain markers, repeats kept."""
+    found = F.regexp_extract_all(text, F.lit(r"(\[[^\[\]]*\d[^\[\]]*\])"), F.lit(1))
+    return F.filter(found, lambda m: ~m.rlike(r"^\[\d+\]$"))
+
+
+def all_of(column: Column, wanted: list[str]) -> Column:
+    return F.size(F.array_except(F.array(*map(F.lit, wanted)), column)) == 0
+
+
+def any_of(column: Column, wanted: list[str]) -> Column:
+    return F.arrays_overlap(column, F.array(*map(F.lit, wanted)))

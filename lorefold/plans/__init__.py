@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lorefold.plans import documents, registry, retrieval, sessions
+
+QUERIES = {**documents.QUERIES, **retrieval.QUERIES, **registry.QUERIES, **sessions.QUERIES}
+ORACLES = {**documents.ORACLES, **retrieval.ORACLES, **registry.ORACLES, **sessions.ORACLES}
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

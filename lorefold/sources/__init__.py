@@ -1,0 +1,63 @@
+"""Sources and sinks: catalog feeds, landed content, reports."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def salvage(text: str) -> Iterator[str]:
+    """JSON objects of a text that is a list, a {"data": [...]} object, or objects one after another."""
+    decoder, at = json.JSONDecoder(), 0
+    stripped = text.strip()
+    try:
+        whole = json.loads(stripped)
+    except ValueError:
+        whole = None
+    if isinstance(whole, dict) and isinstance(whole.get("data"), list):
+        whole = whole["data"]
+    if isinstance(whole, list):
+        yield from (json.dumps(x) for x in whole if isinstance(x, dict))
+        return
+    stripped = stripped.lstrip("[")
+    while at < len(stripped):
+        if stripped[at] in " \t\r\n,":
+            at += 1
+        elif stripped[at] == "]":
+            return
+        else:
+            value, at = decoder.raw_decode(stripped, at)
+            if isinstance(value, dict):
+                yield json.dumps(value)
+
+
+def catalog_rows(feeds: DataFrame, schema: str, text: str = "value") -> DataFrame:
+    """Rows of catalog feeds, one feed text a row; objects become columns of schema."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"raw": pd.Series([x for t in b[text] if t for x in salvage(t)], dtype=object)})
+
+    raw = feeds.select(text).mapInPandas(split, "raw string")
+    return raw.select(F.from_json("raw", schema).alias("r"), "raw").select("r.*", "raw")
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """(object_key, sha256, size_bytes) of the files under a path."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("object_key"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+
+
+def landed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """incoming (slug, sha256) once each, with reused: whether the artifact is known already."""
+    known = existing.select("slug", "sha256").distinct().withColumn("reused", F.lit(True))
+    return incoming.dropDuplicates(["slug", "sha256"]).join(known, ["slug", "sha256"], "left").fillna({"reused": False})
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """One JSON object a row, keys in order."""
+    report.select(F.to_json(F.struct(*sorted(report.columns))).alias("value")).write.mode("errorifexists").text(path)

@@ -1,0 +1,30 @@
+"""Structured Streaming forms of the incremental jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lorefold.operators.registry import insert_new
+
+
+def audit_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Counts by event type and tumbling window of a stream of events (ts, event_type)."""
+    windowed = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+    return windowed.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def once_each(rows: DataFrame, key: str, table: str, checkpoint: str):
+    """A stream's rows appended to a Parquet table, each key once over the life of the table."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        try:
+            fresh = insert_new(spark.read.parquet(table), fresh, key)
+        except Exception as e:  # the first batch finds no table
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        fresh.write.mode("append").parquet(table)
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
