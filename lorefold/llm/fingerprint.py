@@ -111,7 +111,7 @@ def in_runs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     runs = 4 * partitions(spark)
     ids = docs.select(F.col(doc_id).cast("double").alias("_id"))
     cuts = ids.agg(F.percentile_approx("_id", [k / runs for k in range(1, runs)], 20 * runs)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted({*cuts} or {0.0}), float("inf")]
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.coalesce(F.col(doc_id).cast("double"), F.lit(float("-inf"))).alias("_id"))
     dealt = Bucketizer(splits=splits, inputCol="_id", outputCol="run")
     rows = dealt.transform(rows).select(F.col("run").cast("int").alias("run"), "id", "t")
