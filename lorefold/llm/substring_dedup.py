@@ -63,10 +63,12 @@ def repeated(
 def without_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence", min_chars: int = MIN_CHARS
 ) -> DataFrame:
-    """docs with removed array<struct<start, end>> (offsets in the original, by unit) and clean_text."""
+    """docs with n_units, removed array<struct<start, end>> (offsets in the original, by unit) and clean_text."""
     gone = repeated(docs, doc_id, text, unit, min_chars).select(F.col("id").alias("_id"), "gone")
     d = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_id"), "left").drop("_id")
-    cut = pieces(F.col(text), unit)
+    # a generated row of one keeps Spark from splitting the text again for every use of its pieces
+    d = d.select("*", F.inline(F.array(F.struct(pieces(F.col(text), unit).alias("_cut")))))
+    cut = F.col("_cut")
     left = F.array_join(F.filter(cut, lambda u, k: ~F.array_contains(F.col("gone"), k)), "")
     clean = F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)
     none = "cast(array() as array<struct<start:int,end:int>>)"
@@ -79,7 +81,9 @@ def without_repeats(
     sizes = F.when(F.col("gone").isNotNull(), F.transform(cut, F.length))
     removed = F.when(F.col("gone").isNull(), F.expr(none)).otherwise(spans)
     d = d.withColumn("_size", sizes)
-    return d.select(*[F.col(c) for c in docs.columns], removed.alias("removed"), clean.alias("clean_text"))
+    n_units = F.size(F.coalesce("_cut", F.array(F.lit("")))).alias("n_units")
+    made = F.struct(n_units, removed.alias("removed"), clean.alias("clean_text"))
+    return d.select(*[F.col(c) for c in docs.columns], F.inline(F.array(made)))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -87,7 +91,7 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     d = without_repeats(docs)
     return d.select(
         "doc_id",
-        F.size(pieces(F.coalesce("text", F.lit("")))).alias("n_units"),
+        "n_units",
         F.size("removed").alias("n_removed"),
         F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"])).alias("removed"),
         F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
