@@ -8,8 +8,10 @@ makes the sum over all words and the unknown one 1; EPS keeps it positive where
 Nothing is sent to all executors but the discounts and words so frequent that there are few of them. Words are 48-bit
 hashes. Word counts are gathered in buckets of words. Bigram occurrences are dealt by their second word (frequent ones also
 by the first), as packed sorted arrays; such a bucket knows c(w), p(w) and c(hw) of its bigrams and gives each document
-its sum. Only unseen bigrams need the backoff weight of their first word: they go on, with each context's discounted
-mass and the mass of its seen words, to buckets of contexts. Word counts and backoff weights are written to tables
+its sum. Only unseen bigrams need the backoff weight of their first word: they go on, with each context's numbers of bigrams
+by count and the mass of its seen words, to buckets of contexts. The bigrams' discounts are known only when all buckets
+are done, so sums leave them out and numbers of bigrams by count travel beside: occurrences are dealt once and never
+written. Word counts and backoff weights are written to tables
 partitioned by bucket.
 
 Edge cases: null counts as an empty text, which has one token (its end); a null id is learned from by the remainder of
@@ -200,16 +202,24 @@ def opened(table: pa.Table):
     return *(np.concatenate(x) for x in (w, h, at, docs)), np.concatenate(train) > 0
 
 
-def by_document(docs: np.ndarray, at: np.ndarray, groups: int, **sums: np.ndarray) -> dict:
-    """Sums by document, as one blob a document group."""
+LOW = [f"c{r}" for r in range(1, K + 1)]  # columns of numbers of bigrams of count r
+
+
+def by_document(docs: np.ndarray, at: np.ndarray, groups: int, low: np.ndarray | None = None, **sums: np.ndarray) -> dict:
+    """Sums by document, as one blob a document group; low: counts up to K (else 0), whose numbers are returned too."""
     ids, back = np.unique(docs, return_inverse=True)
-    values = {k: np.bincount(back[at], v, len(ids)) for k, v in sums.items()}
+    of = back[at]
+    values = {k: np.bincount(of, v, len(ids)) for k, v in sums.items()}
+    if low is not None:
+        of *= K + 1
+        of += low
+        values |= zip(LOW, np.bincount(of, minlength=len(ids) * (K + 1)).reshape(-1, K + 1).T[1:], strict=True)
     group = bucket_of(ids.astype(np.uint64), groups)
     order = np.argsort(group, kind="stable")
     edge = np.searchsorted(group[order], np.arange(groups + 1))
     parts = [(k, order[edge[k] : edge[k + 1]]) for k in range(groups) if edge[k] < edge[k + 1]]
     out = {"g": [k for k, _ in parts], "docs": [packed(np.diff(ids[o], prepend=0)) for _, o in parts]}
-    return out | {k: [packed(v[o].astype(np.float32 if k != "known" else np.uint32)) for _, o in parts] for k, v in values.items()}
+    return out | {k: [packed(v[o].astype(np.float32 if k in ("base", "score") else np.uint32)) for _, o in parts] for k, v in values.items()}
 
 
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,18 +257,9 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         c2 = np.add.reduceat(learned, head)
         return w, h, at, ids, head_w, head, cw, c2
 
-    blobs = dealt(rows, buckets, hot)
-
-    def tally(table: pa.Table) -> pa.Table:
-        c2 = counts_in(table)[-1]
-        return pa.table({"cc": [np.bincount(c2[(c2 > 0) & (c2 <= K + 1)], minlength=K + 2).tolist()]})
-
-    blobs = written(blobs, "katz-bigrams")
-    cc2 = blobs.groupBy("bucket").applyInArrow(tally, "cc array<long>").agg(*[F.sum(F.col("cc")[r]) for r in range(K + 2)]).first()
-    d2 = discounts(np.array([x or 0 for x in cc2]))
-
-    kinds = "kind int, g int, docs binary, known binary, base binary, score binary, h binary, m binary, s binary, c binary"
-    names = [x.split()[0] for x in kinds.split(", ")]
+    blank = ["docs", "known", "base", "score", "h", "s", "c", *LOW]
+    names = ["kind", "g", "cc", *blank]
+    kinds = "kind int, g int, cc array<long>, " + ", ".join(f"{c} binary" for c in blank)
 
     def parts(table: pa.Table) -> pa.Table:
         w, h, at, ids, head_w, head, cw, c2 = counts_in(table)
@@ -267,20 +268,20 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         log_p1, cw_all = np.repeat(np.log10(p1), run_w), np.repeat(cw, run_w)
         c_all = np.repeat(c2, run)
         seen = c_all > 0
-        value = np.where(seen, np.log10(np.maximum(discounted(c_all, d2), 1e-300)), log_p1)
+        value = np.where(seen, np.log10(np.maximum(c_all, 1)), log_p1)
         value -= np.where((w != END) & (cw_all > 0), np.log10(cw_all + EPS), 0)  # the word as the next one's context
         base = np.log10((cw_all + 1) / (N + V + 1))
-        out = by_document(ids, at, buckets, known=(cw_all > 0).astype(float), base=base, score=value)
-        rows_ = {k: out.get(k, []) for k in names}
+        low = np.where(c_all <= K, c_all, 0).astype(np.uint8)
+        out = by_document(ids, at, buckets, low, known=cw_all > 0, base=base, score=value)
         size = len(out["g"])
-        rows_ |= {"kind": [0] * size} | {k: [None] * size for k in ("h", "m", "s", "c")}
-        # contexts: discounted mass, mass of seen words, count
+        rows_ = {k: out.get(k, [None] * size) for k in names} | {"kind": [0] * size}
+        # contexts: mass of seen words, count, numbers of bigrams by count
         typed = c2 > 0
-        hs, mass, s, c = h[head][typed], c2[typed] - discounted(c2[typed], d2), p1[np.searchsorted(head_w, head[typed], side="right") - 1], c2[typed]
+        hs, s, c = h[head][typed], p1[np.searchsorted(head_w, head[typed], side="right") - 1], c2[typed]
         u, back = np.unique(hs, return_inverse=True)
-        sums = [np.bincount(back, x, len(u)) for x in (mass, s, c)] if len(u) else [np.zeros(0)] * 3
+        sums = {k: np.bincount(back, x, len(u)) for k, x in (("s", s), ("c", c), *((k, c == r) for r, k in enumerate(LOW, 1)))}
         lost, lost_doc = h[~seen], ids[at[~seen]]
-        for kind, key, cols in ((1, u, sums), (2, lost, [lost_doc])):
+        for kind, key in ((1, u), (2, lost)):
             bucket = bucket_of(key, buckets)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -290,22 +291,28 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
                     continue
                 row = dict.fromkeys(names) | {"kind": kind, "g": k, "h": packed(key[o], 6)}
                 if kind == 1:
-                    row |= {"m": packed(cols[0][o].astype(np.float32)), "s": packed(cols[1][o].astype(np.float32)), "c": packed(cols[2][o].astype(np.uint32))}
+                    row |= {n: packed(x[o].astype(np.float32 if n == "s" else np.uint32)) for n, x in sums.items()}
                 else:
-                    row |= {"docs": packed(cols[0][o])}
+                    row |= {"docs": packed(lost_doc[o])}
                 for n in names:
                     rows_[n].append(row[n])
-        schema = pa.schema([(n, pa.int32() if n in ("kind", "g") else pa.binary()) for n in names])
-        return pa.table(rows_, schema=schema)
-
-    made = written(blobs.groupBy("bucket").applyInArrow(parts, kinds), "katz-parts")
+        cc = np.bincount(c2[(c2 > 0) & (c2 <= K + 1)], minlength=K + 2).tolist()
+        for n in names:
+            rows_[n].append({"kind": 3, "g": 0, "cc": cc}.get(n))
+        types = {"kind": pa.int32(), "g": pa.int32(), "cc": pa.list_(pa.int64())}
+        return pa.table(rows_, schema=pa.schema([(n, types.get(n, pa.binary())) for n in names]))
+
+    made = written(dealt(rows, buckets, hot).groupBy("bucket").applyInArrow(parts, kinds), "katz-parts")
+    cc2 = made.where("kind = 3").agg(*[F.sum(F.col("cc")[r]) for r in range(K + 2)]).first()
+    d2 = discounts(np.array([x or 0 for x in cc2]))
 
     def backed(table: pa.Table) -> pa.Table:
         contexts, asked = table.filter(pa.compute.equal(table["kind"], 1)), table.filter(pa.compute.equal(table["kind"], 2))
         col = lambda t, c, *a: np.concatenate([np.zeros(0, a[0]), *[unpacked(x, *a) for x in t.column(c)]])
         h = col(contexts, "h", np.uint64, 6)
         u, back = np.unique(h, return_inverse=True)
-        m, s, c = (np.bincount(back, col(contexts, x, t), len(u)) for x, t in (("m", np.float32), ("s", np.float32), ("c", np.uint32)))
+        s, c, *by_count = (np.bincount(back, col(contexts, x, np.float32 if x == "s" else np.uint32), len(u)) for x in ("s", "c", *LOW))
+        m = sum(r * (1 - d2[r]) * n for r, n in enumerate(by_count, 1))  # discounted mass
         # what the context adds where it backs off: its count's logarithm, taken off before, and its weight
         weight = np.log10((m + EPS) / (c + EPS) / np.maximum(1 - s, 1e-9)) + np.log10(c + EPS)
         q, docs = col(asked, "h", np.uint64, 6), col(asked, "docs", np.int64)
@@ -316,10 +323,10 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         out = by_document(docs, np.arange(len(docs)), buckets, score=value)
         return pa.table({"g": pa.array(out["g"], pa.int32()), "docs": pa.array(out["docs"], pa.binary()), "score": pa.array(out["score"], pa.binary())})
 
-    later = made.where("kind > 0").groupBy("g").applyInArrow(backed, "g int, docs binary, score binary")
+    later = made.where("kind in (1, 2)").drop("cc").groupBy("g").applyInArrow(backed, "g int, docs binary, score binary")
     nothing = F.lit(None).cast("binary")
-    all_parts = made.where("kind = 0").select("g", "docs", "known", "base", "score").union(
-        later.select("g", "docs", nothing.alias("known"), nothing.alias("base"), "score")
+    all_parts = made.where("kind = 0").select("g", "docs", "known", "base", "score", *LOW).union(
+        later.select("g", "docs", nothing.alias("known"), nothing.alias("base"), "score", *[nothing.alias(c) for c in LOW])
     )
 
     def summed(table: pa.Table) -> pa.Table:
@@ -327,8 +334,9 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         for k in range(table.num_rows):
             i = np.cumsum(unpacked(table.column("docs")[k], np.int64))
             ids.append(i)
-            value.append(unpacked(table.column("score")[k], np.float32))
             some = table.column("known")[k].is_valid
+            cut = sum(unpacked(table.column(c)[k], np.uint32) * np.log10(d2[r]) for r, c in enumerate(LOW, 1)) if some else 0
+            value.append(unpacked(table.column("score")[k], np.float32) + cut)
             known.append(unpacked(table.column("known")[k], np.uint32) if some else np.zeros(len(i)))
             base.append(unpacked(table.column("base")[k], np.float32) if some else np.zeros(len(i)))
         u, back = np.unique(np.concatenate(ids), return_inverse=True)
