@@ -32,7 +32,12 @@ def pieces(text: Column, unit: str = "sentence") -> Column:
 
 
 def normal(unit: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(unit, r"[ \t\n\x0b\f\r]+", " ")))
+    """Trimmed, white space to one space, lower-cased; a pattern only for units that need it, as few do."""
+    body = F.when(F.endswith(unit, F.lit("\n")), F.substring(unit, F.lit(1), F.length(unit) - 1)).otherwise(unit)
+    odd = F.lit(False)
+    for blank in ("\n", "\t", "\x0b", "\f", "\r", "  "):
+        odd = odd | F.contains(body, F.lit(blank))
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(unit, r"[ \t\n\x0b\f\r]+", " ")).otherwise(body)))
 
 
 def units(docs: DataFrame, doc_id: str, text: str, unit: str) -> DataFrame:
