@@ -55,7 +55,9 @@ def bands(rows: DataFrame) -> DataFrame:
     h = b.select("node", "n", F.expr(f"xxhash64(substring(b, 2 * i + 1, {2 * WIDTH}))").alias("h"))
     # a bin's least hash is nearly always among the least hashes of the line: DEEP of them a bin are looked at
     h = h.where(f"shiftrightunsigned(h, 32) * n <= {DEEP * BANDS * ROWS}L << 32")
-    bins = h.groupBy("node", F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin")).agg(F.min("h").alias("h"))
+    # unsigned order, as in the line above: signed, hashes of over one half would come first
+    least = F.min(F.expr("shiftrightunsigned(h, 1)")).alias("h")
+    bins = h.groupBy("node", F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin")).agg(least)
     keyed = bins.groupBy("node", F.expr(f"bin div {ROWS}").alias("band")).agg(F.expr("bit_xor(xxhash64(bin, h))").alias("key"))
     return keyed.select("node", F.xxhash64("band", "key").alias("key"))
 

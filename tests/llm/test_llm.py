@@ -228,6 +228,27 @@ def test_line_dedup_finds_what_brute_force_finds(docs, texts):
     assert found - full <= 0.1 * (len(t) - full) + 1
 
 
+def test_line_bands_recall_on_unequal_lengths(spark):
+    r = random.Random(11)
+    make = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    # one line a part of the other: the Jaccard of their sets is the ratio of their numbers of runs
+    pairs = []
+    for k in range(240):
+        n = r.randint(290, 330) if k % 2 else r.randint(150, 470)
+        t = make(n)
+        pairs.append((t, t + make(min(600, int(n / r.uniform(0.77, 0.82))) - n)))
+    table = spark.createDataFrame([(k, "\n".join(p)) for k, p in enumerate(pairs)], "doc_id long, text string")
+    rows = line_dedup.lines(table, "doc_id", "text")
+    node = {(x["id"], x["no"]): x["node"] for x in rows.collect()}
+    sets = [[{t[i : i + 8] for i in range(len(t) - 7)} for t in p] for p in pairs]
+    want = {frozenset((node[k, 0], node[k, 1])): k % 2 for k, (a, b) in enumerate(sets) if len(a & b) >= 0.75 * len(a | b)}
+    got = {frozenset((x["u"], x["v"])) for x in line_dedup.links(rows).collect()}
+    assert len(want) > 200 and got <= set(want)
+    for half in (0, 1):
+        own = [p for p, h in want.items() if h == half]
+        assert sum(p in got for p in own) >= 0.9 * len(own)
+
+
 def test_decontamination(spark, none):
     r = random.Random(8)
     items = [(k, prose(r.randint(12, 45), r)) for k in range(12)]
