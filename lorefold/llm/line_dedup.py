@@ -3,13 +3,16 @@
 A line is normalised (trimmed, white space to one space, lower-cased); its set is its distinct runs of WIDTH
 characters (a shorter line is one run). Each run is hashed once into one of BANDS * ROWS bins and a bin keeps its least
 hash; ROWS neighbouring bins make a band, whose key is that of its filled bins. Lines that share a band's key are
-compared with the least of them, exactly: Jaccard of their sets at least threshold. A pair at 0.75 is missed by all
-bands with a probability of 2 %, at 0.85 of less than 0.1 %. Links join up to components (large-star, small-star),
+compared with the least of them, exactly: Jaccard of their sets at least threshold. Lines of a band that are then still in
+different components are compared with each other wherever they share one of their rarest runs, as near lines must. A pair
+at 0.75 shares no band with a probability of 2 %, at 0.85 of less than 0.1 %. Links join up to components (large-star, small-star),
 and of a component's occurrences the one of least (id, line number) stays. Lines of fewer than MIN_CHARS normalised
 characters always stay.
 
 Scale: equal lines are one node, so a line that a third of all rows hold is summed up before anything else; a band's lines
-are compared with one line only, never with each other; the joins can be split by Spark where a key is frequent.
+are compared with its least line first, so that near copies of one line cost one comparison each; what stays apart meets by
+rare runs only, but many lines that share those and are not near are compared in pairs; the joins can be split by Spark
+where a key is frequent.
 Nodes are 64-bit hashes of lines: at 10**11 distinct lines a few hundred may be confused with another.
 
 Edge cases: null texts have no lines and stay null; empty lines stay; rows of one repeated id count as one text;
@@ -27,6 +30,7 @@ WIDTH, BANDS, ROWS = 8, 10, 4
 MIN_CHARS = 16
 DEEP = 5
 FEW = 500_000
+SAMPLE_LINES, FREQUENT = 20_000, 20_000
 THRESHOLD = 0.75
 
 
@@ -66,17 +70,20 @@ def _set(b: str) -> Column:
     return F.expr(f"array_distinct(transform(sequence(0, {_runs(b)}), i -> xxhash64(substring({b}, 2 * i + 1, {2 * WIDTH}))))")
 
 
-def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (u, v): nodes whose lines were compared and are near."""
-    keys = written(bands(rows), "line-bands")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
-    pairs = keys.join(hubs.hint("merge"), "key").where("node <> u").select("u", F.col("node").alias("v"))
-    pairs = written(pairs.distinct(), "line-pairs")
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (node, b): the lines of the nodes of pairs (u, v)."""
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    ends = written(ends, "line-ends")
-    ends = F.broadcast(ends) if ends.count() <= FEW else ends.hint("merge")  # 8 bytes each; more meet in a shuffle
-    texts = rows.select("node", "t").join(ends, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
-    texts = written(texts.select("node", F.encode("t", "UTF-16BE").alias("b")), "line-texts")
+    return _lines_of(rows, written(ends, "line-ends"))
+
+
+def _lines_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    nodes = F.broadcast(nodes) if nodes.count() <= FEW else nodes.hint("merge")  # 8 bytes each; more meet in a shuffle
+    texts = rows.select("node", "t").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
+    return written(texts.select("node", F.encode("t", "UTF-16BE").alias("b")), "line-texts")
+
+
+def _near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (u, v) those whose lines are near."""
     a = texts.select(F.col("node").alias("u"), F.col("b").alias("x"))
     b = texts.select(F.col("node").alias("v"), F.col("b").alias("y"))
     both = pairs.join(b.hint("merge"), "v").join(a.hint("merge"), "u")
@@ -86,6 +93,55 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return both.where((1 + threshold) * common >= threshold * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """Rows (node, n, run): the size of each line's set and its rarest runs, so many that near lines share one of them.
+
+    Near sets share at least threshold of either; so in any one order of all runs the first n - threshold * n + 1 runs
+    of the one meet those of the other. Frequent runs, counted on a sample, come last: this changes the work, never the pairs.
+    """
+    sets = texts.select("node", F.explode(F.array(_set("b"))).alias("a")).select("node", F.size("a").alias("n"), "a")
+    rate = min(1.0, SAMPLE_LINES / max(1, texts.count()))
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
+    often = sample.select(F.explode(_set("b")).alias("run")).groupBy("run").agg(F.count("*").alias("f")).where("f > 1")
+    often = written(often.orderBy(F.desc("f"), "run").limit(FREQUENT), "line-frequent")
+    runs = sets.repartition("node").select("node", "n", F.explode("a").alias("run")).join(F.broadcast(often), "run", "left")
+    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-6).cast("int") + 1
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "run")))
+    ordered = runs.groupBy("node", "n").agg(order.alias("r"))
+    return ordered.select("node", "n", F.explode(F.slice("r", 1, F.least(first, F.col("n")))).alias("r")).select("node", "n", "r.run")
+
+
+def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (u, v): nodes whose lines were compared and are near."""
+    keys = written(bands(rows), "line-bands")
+    hubs = keys.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
+    pairs = keys.join(hubs.select("key", "u").hint("merge"), "key").where("node <> u").select("u", F.col("node").alias("v"))
+    pairs = written(pairs.distinct(), "line-pairs")
+    first = written(_near(pairs, _texts(rows, pairs), threshold), "line-links")
+
+    # the members of a band that are still apart: those of two are compared already
+    label = components(first)
+    at = keys.join(hubs.where("n > 2").select("key").hint("merge"), "key", "left_semi")
+    at = at.join(label.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    at = written(at, "line-members")
+    apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    left = written(at.join(apart.hint("merge"), "key", "left_semi").select("node", "c").distinct(), "line-left")
+    texts = _lines_of(rows, left.select("node"))
+    runs = written(prefixes(texts, threshold).join(left.hint("merge"), "node"), "line-runs")
+
+    # of the lines with one run, members of the largest component need no comparison with each other
+    parts = runs.groupBy("run", "c").agg(F.count("*").alias("k"))
+    main = parts.groupBy("run").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("run", F.col("m.c").alias("main"))
+    some = runs.join(main.hint("merge"), "run")
+    a = some.where("c <> main").select("run", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
+    b = some.select("run", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), "main")
+    size = F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-6
+    more = a.join(b.hint("merge"), "run").where("cu <> cv AND (cv = main OR u < v)").where(size)
+    more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    more = written(more.join(pairs, ["u", "v"], "left_anti"), "line-pairs")
+    return first.union(_near(more, texts, threshold))
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, gone): the numbers of each text's lines that go, ascending."""
     rows = lines(docs, doc_id, text)

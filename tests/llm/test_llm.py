@@ -249,6 +249,18 @@ def test_line_bands_recall_on_unequal_lengths(spark):
         assert sum(p in got for p in own) >= 0.9 * len(own)
 
 
+def test_line_dedup_compares_all_members_of_a_band(spark):
+    r = random.Random(12)
+    make = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    # bands of hundreds of lines: one long beginning, a middle that only two lines share, an end of each line's own
+    start, middle = make(162), [make(20) for _ in range(150)]
+    text = [start + middle[k % 150] + make(25) for k in range(300)]
+    rows = line_dedup.lines(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), "doc_id", "text")
+    node = {x["node"]: x["id"] for x in rows.collect()}
+    got = [{node[x["u"]], node[x["v"]]} for x in line_dedup.links(rows).collect()]
+    assert all(max(p) - min(p) == 150 for p in got) and len({min(p) for p in got}) >= 0.95 * 150
+
+
 def test_decontamination(spark, none):
     r = random.Random(8)
     items = [(k, prose(r.randint(12, 45), r)) for k in range(12)]
