@@ -89,6 +89,14 @@ def test_rrf_score(spark):
         retrieval.fuse(a, b, 0)
 
 
+def test_dense_search_takes_queries_in_blocks(spark):
+    v = spark.createDataFrame([(k, [float(k % 5 + 1), float(k % 3), float(k % 7)]) for k in range(40)], "vec_id long, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    got = rows(retrieval.dense_search(q, v, 3, max_queries=16))
+    assert len(got) == 120 and got == rows(retrieval.dense_search(q, v, 3))
+    assert retrieval.dense_search(q.limit(0), v, 3).count() == 0
+
+
 def test_registry_sync(spark):
     ts = dt.datetime(2024, 1, 1)
     schema = "slug string, status string, lifecycle_state string, changed_at timestamp, first_seen_at timestamp, last_seen_at timestamp"
