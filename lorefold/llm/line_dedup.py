@@ -4,7 +4,7 @@ A line is normalised (trimmed, white space to one space, lower-cased); its set i
 characters (a shorter line is one run). Each run is hashed once into one of BANDS * ROWS bins and a bin keeps its least
 hash; ROWS neighbouring bins make a band, whose key is that of its filled bins. Lines that share a band's key are
 compared with the least of them, exactly: Jaccard of their sets at least threshold. Lines of a band that are then still in
-different components are compared with each other wherever they share one of their rarest runs, as near lines must. A pair
+different components are compared with each other if they share one of their rarest runs too, as near lines must. A pair
 at 0.75 shares no band with a probability of 2 %, at 0.85 of less than 0.1 %. Links join up to components (large-star, small-star),
 and of a component's occurrences the one of least (id, line number) stays. Lines of fewer than MIN_CHARS normalised
 characters always stay.
@@ -125,11 +125,12 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     at = at.join(label.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     at = written(at, "line-members")
     apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = written(at.join(apart.hint("merge"), "key", "left_semi").select("node", "c").distinct(), "line-left")
-    texts = _lines_of(rows, left.select("node"))
-    runs = written(prefixes(texts, threshold).join(left.hint("merge"), "node"), "line-runs")
+    left = written(at.join(apart.hint("merge"), "key", "left_semi"), "line-left")
+    texts = _lines_of(rows, written(left.select("node").distinct(), "line-ends"))
+    runs = prefixes(texts, threshold).join(left.hint("merge"), "node")
+    runs = written(runs.select(F.xxhash64("key", "run").alias("run"), "node", "n", "c"), "line-runs")
 
-    # of the lines with one run, members of the largest component need no comparison with each other
+    # of a band's lines with one run, members of the largest component need no comparison with each other
     parts = runs.groupBy("run", "c").agg(F.count("*").alias("k"))
     main = parts.groupBy("run").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("run", F.col("m.c").alias("main"))
     some = runs.join(main.hint("merge"), "run")
