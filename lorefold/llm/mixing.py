@@ -101,7 +101,8 @@ def mix_sources(
     missing = F.col("target") - F.sum("_certain").over(whole)
     upto = F.sum("_words").over(whole.orderBy("_class"))
     sums = sums.select("_source", F.col("_class"), missing.alias("_missing"), upto.alias("_upto"), "_words")
-    cut = sums.where("_upto - _words <= _missing AND _missing < _upto").groupBy("_source").agg(
+    # rows of the last class have all the copies that they may: it is never cut, nor sorted
+    cut = sums.where(F.col("_class") < CLASSES).where("_upto - _words <= _missing AND _missing < _upto").groupBy("_source").agg(
         F.min(F.struct("_class", (F.col("_upto") - F.col("_words")).alias("_before"), "_missing")).alias("_cut")
     )
     cut = cut.select(F.col("_source").alias("_s"), "_cut.*").withColumnRenamed("_class", "_at")

@@ -198,6 +198,13 @@ def test_mixing(docs, texts, none):
     assert weighted.count() == len(texts) and mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_never_cuts_the_class_of_full_rows(spark):
+    rows = [(k, " ".join(["w"] * n), "s") for k, n in enumerate((60, 20, 20))]
+    weight = F.when(F.col("doc_id") == 0, 0.1).otherwise(5.0)
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), doc_weight=weight)
+    assert {r["doc_id"]: r["copies"] for r in got.collect()} == {0: 1, 1: 2, 2: 2}
+
+
 def test_substring_dedup(spark, none):
     passage = "A passage of several words that many texts share. It has a second sentence that is long."
     rows = [(1, f"Own words of one. {passage}"), (2, f"Other words.\n{passage}\nThe end of two"), (3, None), (4, ""), (5, passage), (6, "Yes. No. Yes.")]
