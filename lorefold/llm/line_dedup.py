@@ -1,22 +1,26 @@
 """Line dedup: near-equal lines by MinHash, one line kept of each component. DataFrame functions only.
 
 A line is normalised (trimmed, white space to one space, lower-cased); its set is its distinct runs of WIDTH
-characters (a shorter line is one run). Each run is hashed once into one of BANDS * ROWS bins and a bin keeps its least
-hash; ROWS neighbouring bins make a band, whose key is that of its filled bins. Lines that share a band's key are
-compared with the least of them, exactly: Jaccard of their sets at least threshold. Lines of a band that are then still in
-different components are compared with each other if they share one of their rarest runs too, as near lines must. A pair
-at 0.75 shares no band with a probability of 2 %, at 0.85 of less than 0.1 %. Links join up to components (large-star, small-star),
-and of a component's occurrences the one of least (id, line number) stays. Lines of fewer than MIN_CHARS normalised
-characters always stay.
-
-Scale: equal lines are one node, so a line that a third of all rows hold is summed up before anything else; a band's lines
-are compared with its least line first, so that near copies of one line cost one comparison each; what stays apart meets by
-rare runs only, but many lines that share those and are not near are compared in pairs; the joins can be split by Spark
-where a key is frequent.
-Nodes are 64-bit hashes of lines: at 10**11 distinct lines a few hundred may be confused with another.
-
-Edge cases: null texts have no lines and stay null; empty lines stay; rows of one repeated id count as one text;
-a line however long is one line; an empty table gives an empty result; other columns are kept.
+characters. Each run is hashed once, and a line keeps about its KEPT least hashes (bottom-k MinHash, one permutation): those
+below KEPT by its number of runs, or KEPT of all its runs where it repeats itself so much that fewer than LEAST are left. ROWS
+neighbours in the order of hashes make a band; of the bands that begin at every hash those count whose first hash is a multiple
+of EVERY, or all where a line has fewer than SHORT hashes: some 12 a line. By simulation a pair at 0.76 shares no band with a
+probability of 1 to 4 %, at 0.8 of 1 %, at 0.85 of less than 1 %.
+
+Candidates are lines that share a band's key. They are compared exactly, by their sets of runs. First every line of a band meets the
+band's least line; the lines of a band that are then in different stars of links meet each other: in bands of up to
+SMALL lines directly, in larger ones where they share one of their rarest runs too, as near lines must; members of the
+band's largest star need not meet each other. Links join up to components (large-star, small-star), and of a component's
+occurrences the one of least (id, text, line number) stays. Lines of fewer than MIN_CHARS normalised characters always stay.
+
+Scale: equal lines are one node, so a line that a third of all rows hold is summed up before anything else; near copies of one
+line cost one comparison each; runs are hashed as small rows, of which all but the least are dropped before they are grouped;
+the joins can be split by Spark where a key is frequent. Nodes are 64-bit hashes of lines: at 10**11 distinct lines a few
+hundred may be confused with another.
+
+Edge cases: null texts have no lines and stay null; empty lines stay; rows that repeat an id are texts of their own unless their
+texts are equal too (then they are one, and keep the same lines); null ids come last; a line however long is one
+line; an empty table gives an empty result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,73 +28,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorefold.llm.shared import components, written
+from lorefold.llm.shared import components, discard, free_names, stars, written
 
-WIDTH, BANDS, ROWS = 8, 10, 4
+WIDTH, ROWS = 8, 4
 MIN_CHARS = 16
-DEEP = 5
+KEPT, EVERY, SHORT, LEAST = 40, 3, 30, 12
+SMALL = 64
 FEW = 500_000
 SAMPLE_LINES, FREQUENT = 20_000, 20_000
 THRESHOLD = 0.75
 
 
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, no, t, node) of the lines that are long enough."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "t"))
-    # most lines have single spaces only: plain byte searches, no expression over each of their characters
+    """Rows (id, h, no, t, node) of the lines that are long enough; h: hash of the whole text."""
+    # whole texts are lower-cased and searched for blanks to be joined: nearly none has any
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.explode(F.array(F.lower(F.col(text)))).alias("t"))
     odd = F.lit(False)
     for blank in ("\t", "\x0b", "\f", "\r", "  "):
         odd = odd | F.contains("t", F.lit(blank))
     single = F.when(odd, F.regexp_replace("t", "[ \\t\\x0b\\f\\r]+", " ")).otherwise(F.col("t"))
-    rows = rows.select("id", "no", F.lower(F.trim(single)).alias("t")).where(F.length("t") >= MIN_CHARS)
+    rows = rows.select("id", "h", F.posexplode(F.split(single, "\n")).alias("no", "t"))
+    # a generated row of one keeps Spark from trimming again for each use
+    rows = rows.select("id", "h", "no", F.explode(F.array(F.trim("t"))).alias("t")).where(F.length("t") >= MIN_CHARS)
     return rows.withColumn("node", F.xxhash64("t"))
 
 
-def _runs(bytes_: str) -> str:
+def _last(bytes_: str) -> str:
     """SQL: number of the last run of a UTF-16 binary column."""
     return f"greatest(length({bytes_}) div 2 - {WIDTH}, 0)"
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """Rows (node, key): the band keys of each distinct line."""
-    distinct = rows.groupBy("node").agg(F.first("t").alias("t"))
-    b = distinct.select("node", F.encode("t", "UTF-16BE").alias("b"))
-    b = b.select("node", "b", F.expr(f"{_runs('b')} + 1").alias("n"), F.explode(F.expr(f"sequence(0, {_runs('b')})")).alias("i"))
-    h = b.select("node", "n", F.expr(f"xxhash64(substring(b, 2 * i + 1, {2 * WIDTH}))").alias("h"))
-    # a bin's least hash is nearly always among the least hashes of the line: DEEP of them a bin are looked at
-    h = h.where(f"shiftrightunsigned(h, 32) * n <= {DEEP * BANDS * ROWS}L << 32")
-    # unsigned order, as in the line above: signed, hashes of over one half would come first
-    least = F.min(F.expr("shiftrightunsigned(h, 1)")).alias("h")
-    bins = h.groupBy("node", F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bin")).agg(least)
-    keyed = bins.groupBy("node", F.expr(f"bin div {ROWS}").alias("band")).agg(F.expr("bit_xor(xxhash64(bin, h))").alias("key"))
-    return keyed.select("node", F.xxhash64("band", "key").alias("key"))
+def _run(bytes_: str, at: str) -> str:
+    """SQL: hash of the run that begins at a byte, counted from 1, of a UTF-16 binary column."""
+    return f"xxhash64(substring({bytes_}, {at}, {2 * WIDTH}))"
 
 
-def _set(b: str) -> Column:
-    return F.expr(f"array_distinct(transform(sequence(0, {_runs(b)}), i -> xxhash64(substring({b}, 2 * i + 1, {2 * WIDTH}))))")
+def _texts(rows: DataFrame) -> DataFrame:
+    """Rows (node, t): each distinct line once."""
+    return rows.groupBy("node").agg(F.first("t").alias("t"))
 
 
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows (node, b): the lines of the nodes of pairs (u, v)."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    return _lines_of(rows, written(ends, "line-ends"))
+def _coded(texts: DataFrame) -> DataFrame:
+    """Rows (node, b): lines as UTF-16."""
+    return texts.select("node", F.encode("t", "UTF-16BE").alias("b"))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """Rows (node, n, s): number of runs and the least hashes, ascending, of each distinct line: about KEPT, or all of them.
+
+    A run is kept by its hash alone, below a limit that is KEPT by the line's number of runs: so nearly no row of a run is
+    grouped. Lines that repeat themselves keep too few that way; sketches_of_few looks at these again.
+    """
+    b = _coded(_texts(rows)).select("node", "b", F.expr(f"{_last('b')} + 1").alias("n"))
+    b = b.select("node", "b", "n", F.explode(F.expr("sequence(1, 2 * n - 1, 2)")).alias("i"))
+    h = b.select("node", "n", "i", F.expr(_run("b", "i")).alias("h"))
+    kept = f"shiftrightunsigned(h, 32) * n <= {KEPT}L << 32"
+    h = h.where(f"i = 1 OR {kept}").select("node", "n", F.expr(f"IF({kept}, shiftrightunsigned(h, 1), NULL)").alias("h"))
+    return h.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("h")).alias("s"))
+
+
+def sketches_of_few(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (node, n, s) of lines that repeat themselves, from all their distinct runs."""
+    b = _coded(_texts(_of_nodes(rows.select("node", "t"), nodes))).select("node", "b", F.explode(F.expr(f"sequence(1, 2 * {_last('b')} + 1, 2)")).alias("i"))
+    h = b.select("node", F.expr(f"shiftrightunsigned({_run('b', 'i')}, 1)").alias("h")).distinct()
+    h = h.groupBy("node").agg(F.sort_array(F.collect_list("h")).alias("s"))
+    return h.select("node", F.size("s").alias("n"), F.slice("s", 1, KEPT).alias("s"))
+
 
+def bands(sketched: DataFrame) -> DataFrame:
+    """Rows (node, key): keys of runs of ROWS neighbours in the sketches; key is null, once, where a sketch holds too little."""
+    few = f"size(s) < {LEAST} AND n > size(s)"
+    at = F.expr(f"sequence(1, IF({few}, 1, greatest(size(s) - {ROWS - 1}, 1)))")
+    w = sketched.select("node", "n", "s", F.explode(at).alias("p")).where(f"size(s) < {SHORT} OR element_at(s, p) % {EVERY} = 0")
+    return w.select("node", F.expr(f"IF({few}, NULL, xxhash64(slice(s, p, {ROWS})))").alias("key"))
 
-def _lines_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+
+def _of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of rows those of the nodes, a written table."""
     nodes = F.broadcast(nodes) if nodes.count() <= FEW else nodes.hint("merge")  # 8 bytes each; more meet in a shuffle
-    texts = rows.select("node", "t").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
-    return written(texts.select("node", F.encode("t", "UTF-16BE").alias("b")), "line-texts")
+    return rows.join(nodes, "node", "left_semi")
+
+
+def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (node, t) of the lines of pairs (u, v)."""
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    return written(_texts(_of_nodes(rows.select("node", "t"), written(ends, "line-ends"))), "line-texts")
 
 
-def _near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (u, v) those whose lines are near."""
-    a = texts.select(F.col("node").alias("u"), F.col("b").alias("x"))
-    b = texts.select(F.col("node").alias("v"), F.col("b").alias("y"))
+def near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (u, v) those whose lines are near, exactly; texts: (node, t)."""
+    a = texts.select(F.col("node").alias("u"), F.col("t").alias("x"))
+    b = texts.select(F.col("node").alias("v"), F.col("t").alias("y"))
     both = pairs.join(b.hint("merge"), "v").join(a.hint("merge"), "u")
-    # a generated row of one keeps Spark from making the sets again for every use; common is named once for the same reason
-    both = both.select("u", "v", F.inline(F.array(F.struct(_set("x").alias("a"), _set("y").alias("b")))))
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where((1 + threshold) * common >= threshold * (F.size("a") + F.size("b"))).select("u", "v")
+    # all runs at once, by a look-ahead at each character; generated rows of one keep Spark from making a value for each use
+    named = lambda df, **c: df.select("u", "v", F.inline(F.array(F.struct(*[x.alias(n) for n, x in c.items()]))))
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1)))
+    sets = named(both, a=runs("x"), b=runs("y"))
+    counts = named(sets, n=F.size("a") + F.size("b"), common=F.size(F.array_intersect("a", "b")))
+    return counts.where((1 + threshold) * F.col("common") >= threshold * F.col("n")).select("u", "v")
 
 
 def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
@@ -99,79 +134,98 @@ def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
     Near sets share at least threshold of either; so in any one order of all runs the first n - threshold * n + 1 runs
     of the one meet those of the other. Frequent runs, counted on a sample, come last: this changes the work, never the pairs.
     """
-    sets = texts.select("node", F.explode(F.array(_set("b"))).alias("a")).select("node", F.size("a").alias("n"), "a")
+    of = lambda t: t.select("node", "b", F.explode(F.expr(f"sequence(1, 2 * {_last('b')} + 1, 2)")).alias("i")).select("node", F.expr(_run("b", "i")).alias("run")).distinct()
     rate = min(1.0, SAMPLE_LINES / max(1, texts.count()))
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
-    often = sample.select(F.explode(_set("b")).alias("run")).groupBy("run").agg(F.count("*").alias("f")).where("f > 1")
+    often = of(sample).groupBy("run").agg(F.count("*").alias("f")).where("f > 1")
     often = written(often.orderBy(F.desc("f"), "run").limit(FREQUENT), "line-frequent")
-    runs = sets.repartition("node").select("node", "n", F.explode("a").alias("run")).join(F.broadcast(often), "run", "left")
-    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-6).cast("int") + 1
+    runs = of(texts).join(F.broadcast(often), "run", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "run")))
-    ordered = runs.groupBy("node", "n").agg(order.alias("r"))
+    ordered = runs.groupBy("node").agg(order.alias("r")).select("node", F.size("r").alias("n"), "r")
+    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-6).cast("int") + 1
     return ordered.select("node", "n", F.explode(F.slice("r", 1, F.least(first, F.col("n")))).alias("r")).select("node", "n", "r.run")
 
 
+def _apart(at: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:
+    """Pairs (u, v) of rows (key, node, n, c) of one key, different components and numbers of runs that allow it."""
+    # members of the key's largest component need no comparison with each other
+    parts = at.groupBy(key, "c").agg(F.count("*").alias("k"))
+    main = parts.groupBy(key).agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    some = at.join(main.select(key, F.col("m.c").alias("main")).hint("merge"), key)
+    a = some.where("c <> main").select(key, F.col("node").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
+    b = some.select(key, F.col("node").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), "main")
+    pairs = a.join(b.hint("merge"), key).where("cu <> cv AND (cv = main OR u < v)")
+    pairs = pairs.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-6)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (u, v): nodes whose lines were compared and are near."""
-    keys = written(bands(rows), "line-bands")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.join(hubs.select("key", "u").hint("merge"), "key").where("node <> u").select("u", F.col("node").alias("v"))
+    """Rows (u, v): nodes whose lines were compared and are near. rows is read several times: best a written table."""
+    keys = written(bands(sketches(rows)), "line-bands")
+    few = written(keys.where("key IS NULL").select("node"), "line-few")
+    every = keys
+    if few.limit(1).count():
+        every = keys.where("key IS NOT NULL").union(bands(sketches_of_few(rows, few)))
+    hubs = every.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n"))
+    hubs = written(hubs.where("n > 1"), "line-hubs")
+    more = hubs.where("n > 2").select("key", "u", "n")
+    more = F.broadcast(more) if more.count() <= FEW else more.hint("merge")  # 24 bytes each
+    members = written(every.join(more, "key"), "line-members")
+    pairs = hubs.where("n = 2").select("u", "v").union(members.where("node <> u").select("u", F.col("node").alias("v")))
     pairs = written(pairs.distinct(), "line-pairs")
-    first = written(_near(pairs, _texts(rows, pairs), threshold), "line-links")
+    discard(keys, few, hubs)
+    texts = _texts_of(rows, pairs)
+    first = written(near(pairs, texts, threshold), "line-links")
+    discard(texts)
 
     # the members of a band that are still apart: those of two are compared already
-    label = components(first)
-    at = keys.join(hubs.where("n > 2").select("key").hint("merge"), "key", "left_semi")
-    at = at.join(label.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    at = written(at, "line-members")
+    at = members.join(stars(first).hint("merge"), "node", "left").select("key", "n", "node", F.coalesce("c", "node").alias("c"))
+    at = written(at, "line-labels")
     apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     left = written(at.join(apart.hint("merge"), "key", "left_semi"), "line-left")
-    texts = _lines_of(rows, written(left.select("node").distinct(), "line-ends"))
-    runs = prefixes(texts, threshold).join(left.hint("merge"), "node")
-    runs = written(runs.select(F.xxhash64("key", "run").alias("run"), "node", "n", "c"), "line-runs")
-
-    # of a band's lines with one run, members of the largest component need no comparison with each other
-    parts = runs.groupBy("run", "c").agg(F.count("*").alias("k"))
-    main = parts.groupBy("run").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("run", F.col("m.c").alias("main"))
-    some = runs.join(main.hint("merge"), "run")
-    a = some.where("c <> main").select("run", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
-    b = some.select("run", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), "main")
-    size = F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-6
-    more = a.join(b.hint("merge"), "run").where("cu <> cv AND (cv = main OR u < v)").where(size)
-    more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = written(more.join(pairs, ["u", "v"], "left_anti"), "line-pairs")
-    return first.union(_near(more, texts, threshold))
+    more = _apart(left.where(f"n <= {SMALL}"), "key")
+    large = left.where(f"n > {SMALL}")
+    if large.limit(1).count():
+        nodes = written(large.select("node").distinct(), "line-ends")
+        texts = written(_coded(_texts(_of_nodes(rows.select("node", "t"), nodes))), "line-texts")
+        runs = prefixes(texts, threshold).join(large.drop("n").hint("merge"), "node")
+        runs = written(runs.select(F.xxhash64("key", "run").alias("run"), "node", "n", "c"), "line-runs")
+        more = more.union(_apart(runs, "run", threshold)).distinct()
+    more = written(more.join(pairs.hint("merge"), ["u", "v"], "left_anti"), "line-pairs")
+    discard(members, at, left)
+    return first.union(near(more, _texts_of(rows, more), threshold))
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (id, gone): the numbers of each text's lines that go, ascending."""
-    rows = lines(docs, doc_id, text)
+    """Rows (id, h, gone): the numbers of the lines that go, ascending, of each text (id and hash)."""
+    rows = written(lines(docs, doc_id, text), "lines")
     group = components(links(rows, threshold))
-    placed = rows.select("id", "no", "node").join(group.hint("merge"), "node", "left")
-    placed = written(placed.select("id", "no", F.coalesce("component", "node").alias("g")), "line-groups")
-    first = placed.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").drop("n")
-    hits = written(placed.join(first.hint("merge"), "g"), "line-hits")
-    kept = hits.where("id = least").groupBy("g").agg(F.min("no").alias("at"))
-    own = hits.where("id = least").join(kept.hint("merge"), "g").where("no > at")
-    gone = hits.where("id > least").select("id", "no").union(own.select("id", "no"))
-    return gone.groupBy("id").agg(F.array_sort(F.collect_set("no")).alias("gone"))
+    placed = rows.select("id", "h", "no", "node").join(group.hint("merge"), "node", "left")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "no")
+    placed = written(placed.select(place.alias("at"), F.coalesce("component", "node").alias("g")), "line-groups")
+    discard(rows)
+    first = placed.groupBy("g").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n")
+    gone = placed.join(first.hint("merge"), "g").where("at <> first").select("at.id", "at.h", "at.no")
+    return gone.groupBy("id", "h").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the text's repeated lines removed; documents that lose all their lines keep an empty text."""
-    gone = repeated(docs, doc_id, text, threshold).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-    d = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_id"), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda u, k: ~F.array_contains(F.col("_gone"), k)), "\n")
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)
-    return d.withColumn(text, clean).select(*docs.columns)
+    i, h, g = free_names(docs, "id", "hash", "gone")
+    gone = repeated(docs, doc_id, text, threshold).select(F.col("id").alias(i), F.col("h").alias(h), F.col("gone").alias(g))
+    d = docs.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text)) == F.col(h)), "left")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda u, k: ~F.array_contains(F.col(g), k)), "\n")
+    clean = F.when(F.col(g).isNull(), F.col(text)).otherwise(left)
+    return d.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone = repeated(docs).withColumnRenamed("id", "doc_id")
-    n = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
-    return n.join(gone.hint("merge"), "doc_id", "left").select(
-        "doc_id",
+    n = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
+    same = n["doc_id"].eqNullSafe(gone["doc_id"]) & (n["h"] == gone["h"])
+    return n.join(gone.hint("merge"), same, "left").select(
+        n["doc_id"],
         "n_lines",
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
         F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),

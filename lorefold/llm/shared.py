@@ -25,8 +25,31 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores in front as make it clash with none of df's, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -38,6 +61,14 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """Rows (node, c): for each node of links its least neighbour's least neighbour; nodes of one c are connected."""
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    one = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("c")).select("node", F.least("node", "c").alias("c")), "stars")
+    up = one.select(F.col("node").alias("c"), F.col("c").alias("root"))
+    return one.join(up.hint("merge"), "c", "left").select("node", F.coalesce("root", "c").alias("c"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component), component being the least node of each.
 
@@ -56,13 +87,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("merge"), "u")
         small = (
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
         )
-        e = written(small.distinct(), "edges")
+        before, e = e, written(small.distinct(), "edges")
+        discard(before)
         now = state(e)
         if now == seen:
             break
