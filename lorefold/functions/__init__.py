@@ -50,7 +50,7 @@ def ordered_markers(text: Column) -> Column:
 
 def malformed_markers(text: Column) -> Column:
     """Bracketed parts with a digit that aren't plain markers, repeats kept."""
-    found = F.regexp_extract_all(text, F.lit(r"(\[[^\[\]]*\d[^\[\]]*\])"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"(\[[^\]]*\d[^\]]*\])"), F.lit(1))
     return F.filter(found, lambda m: ~m.rlike(r"^\[\d+\]$"))
 
 

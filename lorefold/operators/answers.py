@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lorefold.functions import malformed_markers, ordered_markers
 
-SECRETS = ("authorization", "password", "api_key", "token", "secret", "cookie")
+# Keys whose values are never shown
+SECRETS = ("authorization", "token", "api_key", "secret", "password", "connection_string")
+# What a refusal says
+REFUSALS = {
+    "no_evidence": "I could not find FDA guidance evidence strong enough to answer this with citations.",
+    "low_confidence": "The retrieved FDA guidance evidence is too weak to support a citation-backed answer.",
+    "retrieval_failure": "Retrieval failed before usable FDA guidance evidence could be collected.",
+    "citation_binding_failure": "I could not bind the generated claims to valid FDA Evidence Cards.",
+    "faithfulness_failure": "The generated answer could not be validated against the cited FDA evidence.",
+    "unsupported_query": "This request is outside the supported FDA guidance research scope.",
+    "compliance_determination_risk": "I cannot make final legal, compliance, approval, or submission-acceptance determinations.",
+}
+OTHER_REFUSAL = "I could not produce a supported citation-backed answer."
+SUMMARY_TYPES = ("summary", "key_requirements", "key_changes")
 
 
 def bind_citations(answers: DataFrame) -> DataFrame:
@@ -37,20 +52,157 @@ def gate(bound: DataFrame, threshold: float = 0.5, max_retries: int = 1) -> Data
     return b.withColumn("needs_retry", F.col("reason").eqNullSafe("citation_binding_failure") & (F.col("attempt") < max_retries))
 
 
-def transcripts(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, transcript): a session's turns in order, numbered."""
-    line = F.concat(F.lit("Q"), (F.col("turn") + 1).cast("string"), F.lit(" ("), F.col("role"), F.lit("): "), F.coalesce("text", F.lit("")))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    t = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), ordered.alias("t"))
-    return t.select("conv_id", "n_turns", F.array_join(F.col("t.line"), "\n").alias("transcript"))
+def refusal_message(reason: Column, detail: Column | None = None) -> Column:
+    """What a refusal says, with a detail behind it if one is given; null without a reason."""
+    table = F.create_map(*[F.lit(x) for pair in REFUSALS.items() for x in pair])
+    text = F.coalesce(F.get(F.filter(F.array(F.try_element_at(table, reason)), F.isnotnull), F.lit(0)), F.lit(OTHER_REFUSAL))
+    if detail is not None:
+        text = F.when(F.coalesce(detail, F.lit("")) == "", text).otherwise(F.concat(text, F.lit(" "), detail))
+    return F.when(reason.isNotNull(), text)
 
 
-def redact(payload):
-    """A flat JSON object's text with secret keys' values replaced; keys in order."""
-    m = F.from_json(payload, "map<string,string>")
-    clean = F.transform_values(m, lambda k, v: F.when(F.lower(k).isin(*SECRETS), F.lit("[REDACTED]")).otherwise(v))
-    entries = F.array_sort(F.map_entries(clean))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ";")
+def faithfulness(bound: DataFrame, validate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """bound with faithful and faithfulness_score: by validate(text, cards), a score column, else whether there is evidence."""
+    score = validate(F.col("text"), F.col("cards")) if validate else F.when(F.size("cards") > 0, 1.0).otherwise(0.0)
+    return bound.withColumn("faithfulness_score", score).withColumn("faithful", F.col("faithfulness_score") >= (0.5 if validate else 1.0))
+
+
+def routes(gated: DataFrame, max_retries: int = 1) -> DataFrame:
+    """gated (reason, verdict, faithful, attempt) with the next step after each gate: confidence, binding, faithfulness."""
+    again = F.when(F.col("attempt") < max_retries, "generate_answer").otherwise("respond")
+    early = F.coalesce(F.col("reason").isin("no_evidence", "low_confidence", "retrieval_failure"), F.lit(False))
+    return gated.withColumns(
+        {
+            "after_confidence": F.when(early, "respond").otherwise("generate_answer"),
+            "after_binding": F.when(F.col("verdict") == "bound", "faithfulness_guard").otherwise(again),
+            "after_faithfulness": F.when(F.col("faithful"), "respond").otherwise(again),
+        }
+    )
+
+
+def final_answers(gated: DataFrame) -> DataFrame:
+    """(answer_id, text, n_evidence, confidence, refused, refusal_reason): a refusal wins, and so does missing bound evidence."""
+    bound = F.when(F.col("verdict") == "bound", F.filter("used", lambda m: F.array_contains(F.col("cards"), m)))
+    reason = F.coalesce("reason", F.when(F.coalesce(F.size(bound), F.lit(0)) < 1, F.lit("citation_binding_failure")))
+    d = gated.withColumn("_reason", reason)
+    refused = F.col("_reason").isNotNull()
+    return d.select(
+        "answer_id", F.when(refused, refusal_message(F.col("_reason"))).otherwise(F.col("text")).alias("text"),
+        F.when(refused, 0).otherwise(F.size(bound)).alias("n_evidence"), "confidence", refused.alias("refused"), F.col("_reason").alias("refusal_reason"),
+    )
+
+
+def understood(raw: DataFrame) -> DataFrame:
+    """raw (query_id, query, raw) with rewritten_query, intent and entities of a JSON answer; another text keeps the query."""
+    j = F.from_json("raw", "rewritten_query string, intent string, entities map<string,string>")
+    some = lambda c, other: F.coalesce(F.nullif(j[c], F.lit("")), other)
+    none = F.create_map().cast("map<string,string>")
+    return raw.select(
+        "query_id", some("rewritten_query", F.col("query")).alias("rewritten_query"), some("intent", F.lit("question")).alias("intent"),
+        F.coalesce(j["entities"], none).alias("entities"),
+    )
+
+
+def evidence_context(cards: DataFrame) -> DataFrame:
+    """(query_id, context): the cards of each query as text in their order, scores with four decimals."""
+    head = F.format_string("%s %s (score %.4f, confidence %.4f)", "citation_id", "title", "rerank_score", "confidence")
+    part = F.struct(F.regexp_extract("citation_id", r"(\d+)", 1).cast("int").alias("n"), F.concat(head, F.lit("\n"), "passage").alias("p"))
+    d = cards.groupBy("query_id").agg(F.array_sort(F.collect_list(part)).alias("x"))
+    return d.select("query_id", F.array_join(F.col("x.p"), "\n\n").alias("context"))
+
+
+def citation_line(title: Column, section: Column, page: Column, url: Column, citation_id: Column) -> Column:
+    none = F.lit("N/A")
+    return F.concat(
+        citation_id, F.lit(" "), title, F.lit(" - "), F.coalesce(section, none), F.lit(" (page "), F.coalesce(page.cast("string"), none), F.lit(") - "), url
+    )
+
+
+def summary_text(summaries: DataFrame, title: str = "Summary") -> DataFrame:
+    """(document_id, text) of summaries (document_id, summary_type, text, citations): a heading, the text, the citation lines."""
+    head = F.concat(F.lit(f"{title}: "), "document_id", F.lit("\nType: "), "summary_type", F.lit("\n\n"), "text")
+    tail = F.when(F.size("citations") > 0, F.concat(F.lit("\n\nCitations:\n"), F.array_join("citations", "\n"))).otherwise("")
+    return summaries.select("document_id", F.concat(head, tail).alias("text"))
+
+
+def summary_gate(requests: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """requests with reason: the first gate that a summary request fails, or null.
+
+    Columns: summary_type, compare_version_hash, known (the document is), versions (newest first), cards, confidence, verdict,
+    faithful.
+    """
+    compare = F.coalesce(F.col("compare_version_hash"), F.lit("")) != ""
+    reason = (
+        F.when(~F.coalesce("known", F.lit(False)), "not_found")
+        .when(F.coalesce(F.size("versions"), F.lit(0)) < 1, "no_evidence")
+        .when((F.col("summary_type") == "key_changes") & ~compare, "comparison_required")
+        .when(compare & ~F.array_contains("versions", F.col("compare_version_hash")), "version_not_found")
+        .when(F.coalesce(F.size("cards"), F.lit(0)) < 1, "no_evidence")
+        .when(F.coalesce("confidence", F.lit(0.0)) < threshold, "low_confidence")
+        .when(~F.col("verdict").eqNullSafe("bound"), "citation_binding_failure")
+        .when(~F.coalesce("faithful", F.lit(False)), "faithfulness_failure")
+    )
+    return requests.withColumn("reason", reason)
+
+
+def transcripts(turns: DataFrame, title: str = "Transcript") -> DataFrame:
+    """(conv_id, n_turns, transcript) of turns (conv_id, turn, refused, text, citations): numbered, answered or refused."""
+    state = F.when(F.coalesce("refused", F.lit(False)), "refused").otherwise("answered")
+    lines = F.when(F.size("citations") > 0, F.concat(F.lit("\nCitations:\n"), F.array_join("citations", "\n"))).otherwise("")
+    body = F.concat(F.lit(" ("), state, F.lit("):\n"), F.coalesce("text", F.lit("")), lines, F.lit("\n"))
+    t = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", body.alias("body")))).alias("t"))
+    numbered = F.transform("t", lambda x, i: F.concat(F.lit("Q"), (i + 1).cast("string"), x["body"]))
+    return t.select("conv_id", "n_turns", F.concat(F.lit(f"{title}\n\n"), F.array_join(numbered, "\n")).alias("transcript"))
+
+
+def exports(requests: DataFrame, summaries: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(export_id, object_key, text, status) of requests (export_id, summary_id, session_id): exactly one of the two is asked for.
+
+    A request for both or neither is rejected; one whose source is missing, failed.
+    """
+    j = requests.join(summaries.select("summary_id", F.col("text").alias("_s")).hint("merge"), "summary_id", "left")
+    j = j.join(sessions.select("session_id", F.col("text").alias("_t")).hint("merge"), "session_id", "left")
+    one = F.col("summary_id").isNull() != F.col("session_id").isNull()
+    text = F.when(one, F.coalesce("_s", "_t"))
+    status = F.when(~one, "rejected").when(text.isNull(), "failed").otherwise("completed")
+    key = F.when(text.isNotNull(), F.concat(F.lit("exports/"), F.col("export_id").cast("string"), F.lit(".txt")))
+    return j.select("export_id", key.alias("object_key"), text.alias("text"), status.alias("status"))
+
+
+def hidden(value):
+    """A JSON value with the secret keys' values replaced, at any depth."""
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if k.lower() in SECRETS else hidden(v) for k, v in value.items()}
+    return [hidden(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(StringType())
+def redacted_json(payload: pd.Series) -> pd.Series:
+    return payload.map(lambda p: None if p is None else json.dumps(hidden(json.loads(p)), separators=(",", ":"), ensure_ascii=False))
+
+
+def redact(payload: Column) -> Column:
+    """A JSON text with the values of secret keys replaced, in objects and lists at any depth; the key order stays."""
+    return redacted_json(payload)
+
+
+def trace_steps(traces: DataFrame) -> DataFrame:
+    """(run_id, step_no, node, status, duration_ms) of traces (run_id, steps array<struct<node, started_at, completed_at, status>>)."""
+    rows = traces.select("run_id", F.posexplode("steps").alias("step_no", "s"))
+    ms = (F.unix_millis("s.completed_at") - F.unix_millis("s.started_at")).alias("duration_ms")
+    return rows.select("run_id", "step_no", "s.node", "s.status", ms)
+
+
+def audit_rows(rows: DataFrame, kind: str, payload: Column, now: Column) -> DataFrame:
+    """Audit events of rows (user_id, session_id, route): a fixed id, the redacted payload, the time."""
+    text = F.to_json(payload)
+    key = F.sha2(F.concat_ws("\x1f", F.lit(kind), F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.coalesce(F.col("session_id").cast("string"), F.lit("")), text), 256)
+    return rows.select(key.alias("event_id"), F.lit(kind).alias("event_type"), "user_id", "session_id", "route", redact(text).alias("payload"), now.alias("created_at"))
+
+
+def version_hashes(cards: DataFrame) -> DataFrame:
+    """(query_id, hashes): the distinct versions an answer rests on, ascending."""
+    return cards.groupBy("query_id").agg(F.array_sort(F.collect_set("version_hash")).alias("hashes"))
 
 
 def audit_page(events: DataFrame, kind: str, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -94,3 +246,18 @@ def extractive(cards: DataFrame) -> DataFrame:
 def latest_turn(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
     return turns.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+
+
+def citation_rates(bound: DataFrame) -> DataFrame:
+    """(coverage, validity) over answers of bind_citations: those with a marker, and markers that are cards."""
+    used, valid = F.size("used"), F.size("used") - F.size("unknown")
+    return bound.agg(
+        F.round(F.avg((used > 0).cast("int")), 6).alias("coverage"), F.round(F.sum(valid) / F.greatest(F.sum(used), F.lit(1)), 6).alias("validity")
+    )
+
+
+def refusal_quality(answers: DataFrame) -> DataFrame:
+    """(precision, recall) of refusals: answers (refused, should_refuse)."""
+    both = F.count_if(F.col("refused") & F.col("should_refuse"))
+    rate = lambda n: F.round(both / F.greatest(n, F.lit(1)), 6)
+    return answers.agg(rate(F.count_if("refused")).alias("precision"), rate(F.count_if("should_refuse")).alias("recall"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +30,13 @@ def updated(old_state, old_status, new_status, old_ts, new_ts) -> Column:
     )
 
 
-def sync(registry: DataFrame, feed: DataFrame, now: Column) -> DataFrame:
+def sync(registry: DataFrame, feed: DataFrame, now: Column, previous: bool = False) -> DataFrame:
     """One full join of registry and feed (slug, status, changed_at): the new registry with each row's change_type.
 
-    Registry columns: slug, status, lifecycle_state, changed_at, first_seen_at, last_seen_at.
+    Registry columns: slug, status, lifecycle_state, changed_at, first_seen_at, last_seen_at. With previous, the old status and
+    time stand beside the new ones.
     """
+    old = [F.col("o_status").alias("previous_status"), F.col("o_changed_at").alias("previous_changed_at")] if previous else []
     o = registry.select([F.col(c).alias(f"o_{c}") for c in registry.columns]).withColumn("o_here", F.lit(True))
     n = feed.select([F.col(c).alias(f"n_{c}") for c in feed.columns]).withColumn("n_here", F.lit(True))
     j = o.join(n, F.col("o_slug") == F.col("n_slug"), "full_outer")
@@ -50,6 +56,7 @@ def sync(registry: DataFrame, feed: DataFrame, now: Column) -> DataFrame:
         F.coalesce(F.col("o_first_seen_at"), now).alias("first_seen_at"),
         F.when(seen, now).otherwise(F.col("o_last_seen_at")).alias("last_seen_at"),
         change.alias("change_type"),
+        *old,
     )
 
 
@@ -78,27 +85,155 @@ def change_report(changes: DataFrame) -> DataFrame:
     )
 
 
-def alerts(changes: DataFrame, titles: DataFrame) -> DataFrame:
-    """(event_fingerprint, slug, title, change_type) once for each fingerprint; a missing title is the slug."""
+def _instant(c) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def alerts(changes: DataFrame, titles: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """(event_fingerprint, slug, title, change_type) once for each fingerprint; a missing title is the slug.
+
+    changes: rows of sync with previous; versions: (slug, version_hash). The fingerprint is of the change type, the slug, the
+    statuses and times before and after, and the current version.
+    """
     a = changes.where("change_type IS NOT NULL").join(titles, "slug", "left")
-    print_ = fingerprint(F.col("slug"), F.col("change_type"), F.col("status"), F.date_format("changed_at", "yyyy-MM-dd HH:mm:ss"))
+    a = a.join(versions.select("slug", "version_hash"), "slug", "left") if versions is not None else a.withColumn("version_hash", F.lit(None).cast("string"))
+    print_ = fingerprint(F.col("change_type"), F.col("slug"), F.col("previous_status"), F.col("status"), F.col("version_hash"), _instant("previous_changed_at"), _instant("changed_at"))
     a = a.select(print_.alias("event_fingerprint"), "slug", F.coalesce("title", "slug").alias("title"), "change_type")
     return a.dropDuplicates(["event_fingerprint"])
 
 
+def alerts_page(table: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Alerts (alert_id, detected_at, status, ...), newest first, ties by id: a page of a report."""
+    rows = table if status is None else table.where(F.col("status") == status)
+    return rows.orderBy(F.col("detected_at").desc(), "alert_id").offset(offset).limit(limit)
+
+
+def with_documents(rows: DataFrame, registry: DataFrame, other: str = "withdrawn-document") -> DataFrame:
+    """rows (slug) with document: the slug if the registry has it, else a stand-in."""
+    known = registry.select("slug", F.lit(True).alias("_known")).distinct()
+    return rows.join(known.hint("merge"), "slug", "left").withColumn("document", F.when(F.col("_known"), F.col("slug")).otherwise(other)).drop("_known")
+
+
+def nested_report(changes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row a change type with its number and the changes themselves, by slug, beside what was indexed of each.
+
+    changes: (slug, change_type, previous_status, status); outcomes: (slug, dense_indexed, keyword_indexed). To be written as JSON.
+    """
+    j = changes.join(outcomes.hint("merge"), "slug", "left")
+    row = F.struct("slug", "previous_status", "status", "dense_indexed", "keyword_indexed")
+    return j.groupBy("change_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("changes"))
+
+
+def backfill_summary(changes: DataFrame) -> DataFrame:
+    """(record_count, change_count, n_new, n_updated, n_withdrawn) of rows of sync: records are those of the feed."""
+    kind = F.col("change_type")
+    return changes.agg(
+        F.count_if(F.col("lifecycle_state") == "active").alias("record_count"),
+        F.count(kind).alias("change_count"),
+        *[F.count_if(kind == k).alias(f"n_{k}") for k in ("new", "updated", "withdrawn")],
+    )
+
+
+def reconciled(registry: DataFrame, dense: DataFrame, keyword: DataFrame | None = None) -> DataFrame:
+    """(active, dense, keyword, agrees): documents of the registry and of each index (document_slug or slug); keyword may be missing."""
+    one = registry.agg(F.count_if(F.col("lifecycle_state") == "active").alias("active"))
+    one = one.crossJoin(dense.agg(F.countDistinct("document_slug").alias("dense")))
+    third = keyword.agg(F.countDistinct("slug").alias("keyword")) if keyword is not None else None
+    one = one.crossJoin(third) if third is not None else one.withColumn("keyword", F.lit(None).cast("long"))
+    return one.withColumn("agrees", (F.col("active") == F.col("dense")) & (F.col("keyword").isNull() | (F.col("keyword") == F.col("active"))))
+
+
+def version_snapshots(versions: DataFrame) -> DataFrame:
+    """(slug, created, hash, document_status, supersedes, unchanged) of versions (slug, docket, created, hash, status).
+
+    A version supersedes the slug's previous one if its hash is another; a slug's first version supersedes the docket's previous
+    version of another slug, if its hash is another.
+    """
+    own = Window.partitionBy("slug").orderBy("created")
+    shared = Window.partitionBy("docket").orderBy("created")
+    v = versions.withColumn("_own", F.lag("hash").over(own))
+    v = v.withColumn("_other", F.when(F.col("docket").isNotNull(), F.lag("hash").over(shared)))
+    differs = lambda c: F.when(F.col(c) != F.col("hash"), F.col(c))
+    supersedes = F.coalesce(differs("_own"), F.when(F.col("_own").isNull(), differs("_other")))
+    return v.select(
+        "slug", "created", "hash", status_of(F.col("status")).alias("document_status"), supersedes.alias("supersedes"),
+        F.coalesce(F.col("_own") == F.col("hash"), F.lit(False)).alias("unchanged"),
+    )
+
+
+def text_diff(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(slug, line_no, line): unified diffs, three lines of context, of the parent chunks of two versions of each document.
+
+    chunks: (slug, version_hash, chunk_type, chunk_no, text); pairs: (slug, previous, current).
+    """
+    parts = chunks.where("chunk_type = 'parent'").groupBy("slug", "version_hash")
+    parts = parts.agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text")))["text"].alias("t"))
+    side = lambda name: parts.select("slug", F.col("version_hash").alias(name), F.col("t").alias(f"{name}_t")).hint("merge")
+    j = pairs.join(side("previous"), ["slug", "previous"], "left").join(side("current"), ["slug", "current"], "left")
+
+    def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for slug, p, c, a, z in zip(b["slug"], b["previous"], b["current"], b["previous_t"], b["current_t"], strict=True):
+                old, new = (list(t) if t is not None else [] for t in (a, z))
+                lines = difflib.unified_diff(old, new, f"{slug}@{p[:12]}", f"{slug}@{c[:12]}", lineterm="")
+                rows += [(slug, k, line) for k, line in enumerate(lines)]
+            yield pd.DataFrame(rows, columns=["slug", "line_no", "line"])
+
+    return j.select("slug", "previous", "current", "previous_t", "current_t").mapInPandas(diff, "slug string, line_no int, line string")
+
+
+def document_views(versions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(slug, versions newest first, current, section_ids in order) of versions (slug, hash, created) and chunks (slug, version_hash, chunk_no, section_id)."""
+    one = versions.groupBy("slug", "hash").agg(F.max("created").alias("at"))
+    v = one.groupBy("slug").agg(F.reverse(F.array_sort(F.collect_list(F.struct("at", "hash")))).alias("v"))
+    v = v.select("slug", F.col("v.hash").alias("versions"), F.get(F.col("v.hash"), F.lit(0)).alias("current"))
+    c = chunks.join(v.select("slug", F.col("current").alias("version_hash")).hint("merge"), ["slug", "version_hash"], "left_semi")
+    s = c.groupBy("slug").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("chunk_no", "section_id")))["section_id"]).alias("section_ids"))
+    return v.join(s.hint("merge"), "slug", "left")
+
+
+def section_navigation(chunks: DataFrame) -> DataFrame:
+    """(doc_id, section_id, chunk_no, section_title, page_number): each section's first chunk, in the order of chunks."""
+    first = F.min(F.struct("chunk_no", "section_title", "page_number")).alias("f")
+    return chunks.where("section_id IS NOT NULL").groupBy("doc_id", "section_id").agg(first).select("doc_id", "section_id", "f.*")
+
+
+def passages(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """requests (doc_id, chunk_id) with the passage, where the chunk is the document's and has a source."""
+    c = chunks.where(F.coalesce("source_url", F.lit("")) != "").select("doc_id", "chunk_id", "text", "page_number", "source_url")
+    return requests.join(c.hint("merge"), ["doc_id", "chunk_id"])
+
+
+def freshness(registry: DataFrame, now: Column) -> DataFrame:
+    """(last_synced_at, age_hours) of a registry."""
+    last = registry.agg(F.max("last_synced_at").alias("last_synced_at"))
+    hours = (F.unix_seconds(now) - F.unix_seconds("last_synced_at")) / 3600
+    return last.select("last_synced_at", F.round(hours, 6).alias("age_hours"))
+
+
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Of rows those whose key the table lacks."""
     return rows.join(table.select(key), key, "left_anti")
 
 
-def transitions(requests: DataFrame) -> DataFrame:
+def transitions(requests: DataFrame, stamps: bool = False) -> DataFrame:
     """Final state and number of refused requests of each alert: requests (alert_id, at, to) folded in time order.
 
-    open may become acknowledged or resolved, acknowledged may become resolved; the same state again is no change.
+    open may become acknowledged or resolved, acknowledged may become resolved; the same state again is no change. With stamps,
+    also who acknowledged it (user_id) and when, and when it was resolved.
     """
     level = F.when(F.col("to") == "open", 0).when(F.col("to") == "acknowledged", 1).otherwise(2)
     r = requests.withColumn("level", level)
     before = Window.partitionBy("alert_id").orderBy("at", "request_id").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("state", F.coalesce(F.max("level").over(before), F.lit(0)))
     end = F.element_at(F.array(*map(F.lit, ("open", "acknowledged", "resolved"))), F.max(F.greatest("level", "state")) + 1)
-    return r.groupBy("alert_id").agg(end.alias("state"), F.count_if(F.col("level") < F.col("state")).alias("refused"))
+    more = []
+    if stamps:
+        moved = lambda to: (F.col("level") == to) & (F.col("state") < to)
+        more = [
+            F.min(F.when(moved(1), F.col("at"))).alias("acknowledged_at"),
+            F.min_by(F.when(moved(1), F.col("user_id")), F.when(moved(1), F.col("at"))).alias("acknowledged_by"),
+            F.min(F.when(moved(2), F.col("at"))).alias("resolved_at"),
+        ]
+    return r.groupBy("alert_id").agg(end.alias("state"), F.count_if(F.col("level") < F.col("state")).alias("refused"), *more)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorefold.operators import documents as D
+from lorefold.operators import filters as C
 from lorefold.operators import registry as R
 
 NOW = "2025-01-01 00:00:00"
@@ -56,18 +58,117 @@ def daily_report(spark, d):
 
 
 def reconcile_counts(spark, d):
-    r = registry_upsert(spark, d).where("lifecycle_state = 'active'").agg(F.count("*").alias("registry_rows"))
-    f = _feed(spark, d).agg(F.countDistinct("slug").alias("feed_rows"))
-    return r.crossJoin(f).withColumn("agrees", F.col("registry_rows") == F.col("feed_rows"))
+    r = registry_upsert(spark, d)
+    dense = _feed(spark, d).select(F.col("slug").alias("document_slug"))
+    return R.reconciled(r, dense, _feed(spark, d).where("slug NOT LIKE '%77'"))
 
 
 def approx_docs(spark, d):
     return _t(spark, d, "documents").agg(F.approx_count_distinct(F.sha2(F.coalesce("text", F.lit("")), 256), 0.02).alias("n"))
 
 
+def _changes(spark, d):
+    return R.sync(_registry(spark, d), _feed(spark, d), _now(), previous=True)
+
+
 def alert_fingerprint(spark, d):
-    titles = _t(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("doc-"), F.col("o_orderkey").cast("string")).alias("slug"), F.col("o_orderpriority").alias("title"))
-    return R.alerts(registry_upsert(spark, d), titles)
+    o = _t(spark, d, "orders")
+    slug = F.concat(F.lit("doc-"), F.col("o_orderkey").cast("string")).alias("slug")
+    titles = o.where("o_orderkey % 2 = 0").select(slug, F.col("o_orderpriority").alias("title"))
+    versions = o.where("o_orderkey % 3 = 0").select(slug, F.sha2(F.col("o_orderpriority"), 256).alias("version_hash"))
+    return R.alerts(_changes(spark, d), titles, versions)
+
+
+def alerts_page(spark, d):
+    """A page of the open alerts, as events of one kind."""
+    e = _t(spark, d, "events").select(F.col("event_id").alias("alert_id"), F.col("ts").alias("detected_at"), F.when(F.col("event_type") == "purchase", "open").otherwise("resolved").alias("status"))
+    return R.alerts_page(e, "open", 50, 10)
+
+
+def alert_stamps(spark, d):
+    """Who acknowledged what, and when."""
+    e = _t(spark, d, "events")
+    to = F.when(F.col("event_type").isin("view", "click"), "acknowledged").when(F.col("event_type") == "purchase", "resolved").otherwise("open")
+    r = e.select((F.col("event_id") % 997).alias("alert_id"), F.col("event_id").alias("at"), F.col("event_id").alias("request_id"), "user_id", to.alias("to"))
+    return R.transitions(r, stamps=True)
+
+
+def dangling_documents(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("doc-"), F.col("o_orderkey").cast("string")).alias("slug"))
+    return R.with_documents(rows, _registry(spark, d)).select("o_orderkey", "document")
+
+
+def report_nested(spark, d):
+    """The changes by kind, as one digest of each list."""
+    outcomes = _feed(spark, d).select("slug", F.lit(2).alias("dense_indexed"), F.lit(3).alias("keyword_indexed"))
+    changes = _changes(spark, d).where("change_type IS NOT NULL AND slug LIKE '%7'").select("slug", "change_type", "previous_status", "status")
+    r = R.nested_report(changes, outcomes)
+    part = lambda x: F.concat_ws(":", x["slug"], F.coalesce(x["previous_status"], F.lit("-")), x["status"], F.coalesce(x["dense_indexed"].cast("string"), F.lit("-")))
+    return r.select("change_type", "n", F.sha2(F.array_join(F.transform("changes", part), ";"), 256).alias("digest"))
+
+
+def backfill_summary(spark, d):
+    return R.backfill_summary(registry_upsert(spark, d))
+
+
+def _versions(spark, d):
+    k = F.col("doc_id")
+    return _t(spark, d, "documents").select(
+        (k % 500).cast("string").alias("slug"), F.when(k % 3 != 0, F.concat(F.lit("D-"), (k % 200).cast("string"))).alias("docket"), k.alias("created"),
+        F.sha2(F.coalesce(F.substring("text", 1, 1), F.lit("")), 256).alias("hash"), F.when(k % 4 == 0, "Draft").otherwise("Guide").alias("status"),
+    )
+
+
+def version_snapshots(spark, d):
+    """Versions of documents that share dockets; few contents, so that some are unchanged."""
+    return R.version_snapshots(_versions(spark, d))
+
+
+def _two_versions(spark, d):
+    """documents in two versions: every seventh line of the second is another."""
+    docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 3, F.concat(x, F.lit(" changed"))).otherwise(x))
+    new = docs.select("doc_id", F.array_join(lines, "\n").alias("text"))
+    for name, v in (("v1", docs), ("v2", new)):
+        para = v.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"), F.lit(name).alias("version_hash"))
+        yield D.document_chunks(para, 200, 200, 20).withColumns({"slug": F.col("doc_id").cast("string"), "version_hash": F.lit(name)})
+
+
+def text_diff(spark, d):
+    old, new = _two_versions(spark, d)
+    pairs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("slug"), F.lit("v1").alias("previous"), F.lit("v2").alias("current"))
+    return R.text_diff(old.unionByName(new), pairs)
+
+
+def document_contents(spark, d):
+    """Each document's versions, newest first, and the sections of the current one."""
+    old, new = _two_versions(spark, d)
+    v = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("slug"), F.explode(F.array(F.struct(F.lit("v1").alias("hash"), F.lit(1).alias("created")), F.struct(F.lit("v2").alias("hash"), F.lit(2).alias("created")))).alias("x")).select("slug", "x.*")
+    views = R.document_views(v, old.unionByName(new))
+    return views.select("slug", F.array_join("versions", "|").alias("versions"), "current", F.array_join("section_ids", "|").alias("section_ids"))
+
+
+def section_nav(spark, d):
+    return R.section_navigation(next(iter(_two_versions(spark, d)))).select("doc_id", "section_id", "chunk_no", "section_title", "page_number")
+
+
+def passage_lookup(spark, d):
+    """The first chunk of every fourth document, where it has a source."""
+    chunks = next(iter(_two_versions(spark, d))).withColumn("source_url", F.when(F.col("doc_id") % 8 != 0, "http://h"))
+    requests = _t(spark, d, "documents").where("doc_id % 4 = 0").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":v1:0")).alias("chunk_id"))
+    return R.passages(requests, chunks).select("doc_id", "chunk_id", "page_number", "source_url")
+
+
+def sync_freshness(spark, d):
+    r = _registry(spark, d).withColumn("last_synced_at", F.col("last_seen_at"))
+    return R.freshness(r, _now()).select(F.date_format("last_synced_at", "yyyy-MM-dd").alias("last_synced_on"), "age_hours")
+
+
+def audit_filters(spark, d):
+    """Audit rows of one kind and user group within a range of times, both ends in it."""
+    e = _t(spark, d, "events").select("event_id", "event_type", "user_id", F.col("ts").alias("created_at"), F.col("event_type").alias("route"))
+    lo, hi = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+    return e.where(C.audit_filter(event_type="purchase", route="purchase", created_from=lo, created_to=hi)).select("event_id")
 
 
 def alerts_insert_new(spark, d):
@@ -112,7 +213,7 @@ def document_view(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (registry_upsert, registry_diff, last_wins, daily_report, reconcile_counts, approx_docs, alert_fingerprint, alerts_insert_new, alert_transitions, version_events, index_swap, document_view)
+    for f in (registry_upsert, registry_diff, last_wins, daily_report, report_nested, backfill_summary, reconcile_counts, approx_docs, alert_fingerprint, alerts_page, alert_stamps, dangling_documents, version_snapshots, text_diff, document_contents, section_nav, passage_lookup, sync_freshness, audit_filters, alerts_insert_new, alert_transitions, version_events, index_swap, document_view)
 }
 
 _SYNC = f"""WITH o AS (SELECT 'doc-' || o_orderkey AS slug, o_orderstatus AS status, CASE WHEN o_orderkey % 11 = 0 THEN 'withdrawn' ELSE 'active' END AS state, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate::TIMESTAMP END AS ts, o_orderdate::TIMESTAMP AS seen FROM orders WHERE o_orderkey % 7 <> 0),
@@ -120,17 +221,33 @@ _SYNC = f"""WITH o AS (SELECT 'doc-' || o_orderkey AS slug, o_orderstatus AS sta
  s AS (SELECT coalesce(n.slug, o.slug) AS slug, CASE WHEN n.slug IS NOT NULL THEN n.status ELSE o.status END AS status, CASE WHEN n.slug IS NOT NULL THEN 'active' ELSE 'withdrawn' END AS lifecycle_state,
    CASE WHEN n.slug IS NOT NULL THEN n.ts ELSE o.ts END AS changed_at, coalesce(o.seen, TIMESTAMP '{NOW}') AS first_seen_at, CASE WHEN n.slug IS NULL AND o.state = 'withdrawn' THEN o.seen ELSE TIMESTAMP '{NOW}' END AS last_seen_at,
    CASE WHEN o.slug IS NULL THEN 'new' WHEN n.slug IS NULL THEN CASE WHEN o.state <> 'withdrawn' THEN 'withdrawn' END
-     WHEN o.state = 'withdrawn' OR o.status IS DISTINCT FROM n.status OR (o.ts IS NULL AND n.ts IS NOT NULL) OR n.ts > o.ts THEN 'updated' END AS change_type
+     WHEN o.state = 'withdrawn' OR o.status IS DISTINCT FROM n.status OR (o.ts IS NULL AND n.ts IS NOT NULL) OR n.ts > o.ts THEN 'updated' END AS change_type, o.status AS p_status, o.ts AS p_ts
    FROM o FULL JOIN n ON o.slug = n.slug)"""
-_ALERTS = _SYNC + """, t AS (SELECT 'doc-' || o_orderkey AS slug, o_orderpriority AS title FROM orders WHERE o_orderkey % 2 = 0),
- a AS (SELECT sha256(s.slug || chr(31) || change_type || chr(31) || coalesce(status, '') || chr(31) || coalesce(strftime(changed_at, '%Y-%m-%d %H:%M:%S'), '')) AS event_fingerprint, s.slug, coalesce(title, s.slug) AS title, change_type FROM s LEFT JOIN t ON s.slug = t.slug WHERE change_type IS NOT NULL)"""
+_ALERTS = _SYNC + """, t AS (SELECT 'doc-' || o_orderkey AS slug, o_orderpriority AS title FROM orders WHERE o_orderkey % 2 = 0), w AS (SELECT 'doc-' || o_orderkey AS slug, sha256(o_orderpriority) AS v FROM orders WHERE o_orderkey % 3 = 0),
+ a AS (SELECT sha256(concat_ws(chr(31), change_type, s.slug, coalesce(p_status, ''), coalesce(status, ''), coalesce(v, ''), coalesce(strftime(p_ts, '%Y-%m-%dT%H:%M:%S'), ''), coalesce(strftime(changed_at, '%Y-%m-%dT%H:%M:%S'), ''))) AS event_fingerprint, s.slug, coalesce(title, s.slug) AS title, change_type
+   FROM s LEFT JOIN t ON s.slug = t.slug LEFT JOIN w ON s.slug = w.slug WHERE change_type IS NOT NULL)"""
 
 ORACLES = {
-    "registry_upsert": _SYNC + " SELECT * FROM s",
+    "registry_upsert": _SYNC + " SELECT * EXCLUDE (p_status, p_ts) FROM s",
     "registry_diff": _SYNC + " SELECT slug, change_type, status FROM s WHERE change_type IS NOT NULL",
     "last_wins": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "daily_report": _SYNC + " SELECT count(change_type) AS total, count(*) FILTER (change_type = 'new') AS n_new, count(*) FILTER (change_type = 'updated') AS n_updated, count(*) FILTER (change_type = 'withdrawn') AS n_withdrawn FROM s",
-    "reconcile_counts": _SYNC + " SELECT *, registry_rows = feed_rows AS agrees FROM (SELECT (SELECT count(*) FROM s WHERE lifecycle_state = 'active') AS registry_rows, (SELECT count(DISTINCT slug) FROM n) AS feed_rows)",
+    "reconcile_counts": _SYNC + """ SELECT *, active = dense AND keyword = active AS agrees FROM (SELECT (SELECT count(*) FROM s WHERE lifecycle_state = 'active') AS active, (SELECT count(DISTINCT slug) FROM n) AS dense, (SELECT count(DISTINCT slug) FROM n WHERE slug NOT LIKE '%77') AS keyword)""",
+    "backfill_summary": _SYNC + " SELECT count(*) FILTER (lifecycle_state = 'active') AS record_count, count(change_type) AS change_count, count(*) FILTER (change_type = 'new') AS n_new, count(*) FILTER (change_type = 'updated') AS n_updated, count(*) FILTER (change_type = 'withdrawn') AS n_withdrawn FROM s",
+    "report_nested": _SYNC + """ SELECT change_type, count(*) AS n, sha256(string_agg(s.slug || ':' || coalesce(p_status, '-') || ':' || s.status || ':' || CASE WHEN n.slug IS NULL THEN '-' ELSE '2' END, ';' ORDER BY s.slug)) AS digest
+      FROM s LEFT JOIN n ON s.slug = n.slug WHERE change_type IS NOT NULL AND s.slug LIKE '%7' GROUP BY change_type""",
+    "alerts_page": "SELECT event_id AS alert_id, ts AS detected_at, 'open' AS status FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 10",
+    "alert_stamps": """WITH r AS (SELECT event_id % 997 AS alert_id, event_id, user_id, CASE WHEN event_type IN ('view', 'click') THEN 1 WHEN event_type = 'purchase' THEN 2 ELSE 0 END AS l FROM events),
+      b AS (SELECT *, coalesce(max(l) OVER (PARTITION BY alert_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM r)
+      SELECT alert_id, ['open', 'acknowledged', 'resolved'][max(greatest(l, s)) + 1] AS state, count(*) FILTER (l < s) AS refused, min(event_id) FILTER (l = 1 AND s < 1) AS acknowledged_at,
+        arg_min(user_id, event_id) FILTER (l = 1 AND s < 1) AS acknowledged_by, min(event_id) FILTER (l = 2 AND s < 2) AS resolved_at FROM b GROUP BY alert_id""",
+    "dangling_documents": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'doc-' || o_orderkey ELSE 'withdrawn-document' END AS document FROM orders",
+    "version_snapshots": """WITH v AS (SELECT CAST(doc_id % 500 AS VARCHAR) AS slug, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 200 END AS docket, doc_id AS created, sha256(coalesce(substr(text, 1, 1), '')) AS hash, CASE WHEN doc_id % 4 = 0 THEN 'Draft' ELSE 'Final' END AS status FROM documents),
+      l AS (SELECT *, lag(hash) OVER (PARTITION BY slug ORDER BY created) AS p, CASE WHEN docket IS NOT NULL THEN lag(hash) OVER (PARTITION BY docket ORDER BY created) END AS q FROM v)
+      SELECT slug, created, hash, status AS document_status, CASE WHEN p IS NOT NULL THEN CASE WHEN p <> hash THEN p END WHEN q <> hash THEN q END AS supersedes, coalesce(p = hash, false) AS unchanged FROM l""",
+    "sync_freshness": "SELECT strftime(max(o_orderdate), '%Y-%m-%d') AS last_synced_on, round((epoch(TIMESTAMP '2025-01-01') - epoch(max(o_orderdate)::TIMESTAMP)) / 3600, 6)::DOUBLE AS age_hours FROM orders WHERE o_orderkey % 7 <> 0",
+    "audit_filters": "SELECT event_id FROM events WHERE event_type = 'purchase' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
+    "passage_lookup": "SELECT doc_id, doc_id || ':v1:0' AS chunk_id, 1 AS page_number, 'http://h' AS source_url FROM documents WHERE doc_id % 8 = 4 AND trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)) <> ''",
     "alert_fingerprint": _ALERTS + " SELECT * FROM a",
     "alerts_insert_new": _ALERTS + " SELECT * FROM a WHERE slug NOT LIKE '%1'",
     "alert_transitions": """WITH r AS (SELECT user_id AS alert_id, ts, event_id, CASE WHEN event_type IN ('view', 'click') THEN 1 WHEN event_type = 'purchase' THEN 2 ELSE 0 END AS l FROM events),

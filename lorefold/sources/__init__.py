@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorefold.operators.catalog import extension
+
 
 def salvage(text: str) -> Iterator[str]:
     """JSON objects of a text that is a list, a {"data": [...]} object, or objects one after another."""
@@ -61,3 +63,30 @@ def landed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """One JSON object a row, keys in order."""
     report.select(F.to_json(F.struct(*sorted(report.columns))).alias("value")).write.mode("errorifexists").text(path)
+
+
+def write_snapshot(feeds: DataFrame, path: str, stamp: str) -> str:
+    """A raw feed kept as it came, by its UTC time (yyyyMMddTHHmmssZ); a snapshot of that time is never overwritten."""
+    target = f"{path}/catalog/{stamp}.json"
+    feeds.select("value").write.mode("errorifexists").text(target)
+    return target
+
+
+def artifact_lookup(artifacts: DataFrame, slug: str, version_hash: str) -> DataFrame:
+    """The raw files of one version of a document."""
+    kinds = F.col("artifact_kind").isin("raw_pdf", "raw_html")
+    return artifacts.where((F.col("document_slug") == slug) & (F.col("version_hash") == version_hash) & kinds)
+
+
+def artifact_rows(contents: DataFrame) -> DataFrame:
+    """(slug, sha256, size_bytes, object_key, content_type) of contents (slug, content, content_type, artifact_kind, url)."""
+    digest = F.sha2("content", 256)
+    kind = F.coalesce("content_type", F.lit("application/octet-stream"))
+    key = F.concat(F.lit("raw/"), "slug", F.lit("/"), digest, F.lit("."), extension(F.col("content_type"), F.col("artifact_kind"), F.col("url")))
+    return contents.select("slug", digest.alias("sha256"), F.octet_length("content").alias("size_bytes"), key.alias("object_key"), kind.alias("content_type"))
+
+
+def write_exports(exports: DataFrame, path: str) -> None:
+    """Texts of exports (export_id, text) under path/exports, one folder an id."""
+    rows = exports.where("text IS NOT NULL").select("export_id", F.col("text").alias("value"))
+    rows.write.mode("errorifexists").partitionBy("export_id").text(f"{path}/exports")

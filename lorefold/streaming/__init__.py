@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lorefold.operators.registry import insert_new
+from lorefold.operators.documents import document_chunks
+from lorefold.operators.registry import insert_new, last_wins, sync
 
 
 def audit_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -28,3 +34,69 @@ def once_each(rows: DataFrame, key: str, table: str, checkpoint: str):
         fresh.write.mode("append").parquet(table)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def budget(requests: DataFrame, most: int, window_s: int) -> DataFrame:
+    """A stream of requests (user_id, event_id, ts) with accepted and retry_after, as operators.answers.budget says of a batch.
+
+    The state of a user holds the times accepted within the window: most at the most. Requests of one batch are taken in time order.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        ok, wait = [], []
+        for t in rows["ts"]:
+            now = t.timestamp()
+            held = [h for h in held if h >= now - window_s]
+            ok.append(len(held) < most)
+            wait.append(0 if ok[-1] else max(1, math.ceil(held[0] + window_s - now)))
+            if ok[-1]:
+                held.append(now)
+        state.update((held,))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "accepted": ok, "retry_after": wait})
+
+    schema = "user_id long, event_id long, ts timestamp, accepted boolean, retry_after long"
+    rows = requests.select("user_id", "event_id", "ts")
+    return rows.groupBy("user_id").applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _before(spark, path: str, batch_id: int) -> DataFrame | None:
+    """The table that the batch before has written, if there is one."""
+    return spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
+
+
+def registry_sync(feeds: DataFrame, path: str, checkpoint: str, now: Column, order: str = "changed_at"):
+    """A stream of feed rows (slug, status, changed_at): each batch is one snapshot, synced with the registry of the batch before.
+
+    Batch n writes the whole registry to path/batch=n, so that a batch that runs again writes the same.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        feed = last_wins(batch.select("slug", "status", "changed_at"), "slug", order).select("slug", "status", "changed_at")
+        old = _before(spark, path, batch_id)
+        if old is None:
+            schema = "slug string, status string, lifecycle_state string, changed_at timestamp, first_seen_at timestamp, last_seen_at timestamp"
+            old = spark.createDataFrame([], schema)
+        sync(old.drop("change_type"), feed, now).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return feeds.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def content_chunks(contents: DataFrame, path: str, checkpoint: str, **sizes: int):
+    """A stream of contents (doc_id, text): texts that are new for their document are hashed and chunked, the others skipped.
+
+    Batch n writes path/chunks/batch=n and path/known/batch=n: all (doc_id, version_hash) so far.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("version_hash")).dropDuplicates(["doc_id", "version_hash"])
+        known = _before(batch.sparkSession, f"{path}/known", batch_id)
+        keys = ["doc_id", "version_hash"]
+        fresh = rows if known is None else rows.join(known.hint("merge"), keys, "left_anti")
+        document_chunks(fresh, **sizes).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+        seen = fresh.select(*keys) if known is None else known.select(*keys).union(fresh.select(*keys))
+        seen.write.mode("overwrite").parquet(f"{path}/known/batch={batch_id}")
+
+    return contents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
