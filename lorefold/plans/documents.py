@@ -8,6 +8,7 @@ from lorefold.functions import csv_list, url_slug, yes_no
 from lorefold.operators import catalog as C
 from lorefold.operators import documents as D
 from lorefold.operators import index as I
+from lorefold.operators import jobs as J
 from lorefold.sources import artifact_rows, catalog_rows, landed
 
 PAGE = 1000
@@ -161,6 +162,18 @@ def catalog_fields(spark, d):
     )
 
 
+def daily_ingestion(spark, d):
+    """The changes of a day: the raw feed against a registry of every third slug, one more and one withdrawn."""
+    k = F.col("p_partkey")
+    raw = _feed(spark, d).withColumn("field_final_guidance_1", F.lit("Final")).withColumn("place", F.monotonically_increasing_id())
+    at = F.timestamp_seconds(F.lit(1614834360) + k % 10)
+    old = _t(spark, d, "part").where(k % 3 == 0).select(
+        k.cast("string").alias("slug"), F.when(k % 6 == 0, "Draft").otherwise("Final").alias("status"), F.lit("active").alias("lifecycle_state"), at.alias("changed_at"), at.alias("first_seen_at"), at.alias("last_seen_at"),
+    )
+    _, changes, _ = J.daily_run(old, raw, "https://x.org/base/page", F.lit("2025-01-01").cast("timestamp"))
+    return changes.select("slug", "change_type", "previous_status", "status")
+
+
 def _metadata(spark, d, version):
     k = F.col("doc_id")
     return _t(spark, d, "documents").select(
@@ -240,7 +253,7 @@ def content_landing(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (page_offsets, page_of_offset, document_text, section_pages, low_text, section_headings, section_spans, chunk_paragraphs, chunk_windows, chunk_rows, chunk_counts, page_pdf_url, source_choice, artifact_meta, references, catalog_fields, evidence_payloads, index_reindexed, page_slug, page_links, page_title, catalog_normalize, content_landing)
+    for f in (page_offsets, page_of_offset, document_text, section_pages, low_text, section_headings, section_spans, chunk_paragraphs, chunk_windows, chunk_rows, chunk_counts, page_pdf_url, source_choice, artifact_meta, references, catalog_fields, daily_ingestion, evidence_payloads, index_reindexed, page_slug, page_links, page_title, catalog_normalize, content_landing)
 }
 
 _PAGES = f"""pages_ AS (SELECT doc_id, CAST(k AS INT) AS page_number, trim(substr(coalesce(text, ''), CAST(k * {PAGE} + 1 AS BIGINT), {PAGE}), ' ') AS t
@@ -298,6 +311,9 @@ ORACLES = {
       CASE WHEN p_partkey % 5 <> 0 THEN replace(p_type, ' ', '|') ELSE 'a|b' END AS topics, CASE WHEN p_partkey % 7 = 0 THEN 'D-1' ELSE 'D-2' END AS docket_id, CASE WHEN p_partkey % 7 = 0 THEN 'http://r/x?d=1' END AS docket_url,
       CASE WHEN p_partkey % 19 <> 0 THEN '2021-' || lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0') || '-07' END AS issue_date, CASE WHEN p_partkey % 2 = 0 THEN true END AS open_comment, 1614834360 + p_partkey % 10 AS changed_s,
       CASE WHEN p_partkey % 17 = 0 THEN 'no title link' WHEN p_partkey % 19 = 0 THEN 'issue date' END AS reject FROM part""",
+    "daily_ingestion": """WITH n AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 19 <> 0), o AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 6 = 0 THEN 'Draft' ELSE 'Final' END AS s FROM part WHERE p_partkey % 3 = 0),
+      c AS (SELECT CAST(coalesce(n.k, o.k) AS VARCHAR) AS slug, CASE WHEN o.k IS NULL THEN 'new' WHEN n.k IS NULL THEN 'withdrawn' WHEN s <> 'Final' THEN 'updated' END AS change_type, s AS previous_status, CASE WHEN n.k IS NULL THEN s ELSE 'Final' END AS status FROM n FULL JOIN o ON n.k = o.k)
+      SELECT * FROM c WHERE change_type IS NOT NULL""",
     "chunk_paragraphs": """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
       x AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS raw FROM l),
       y AS (SELECT *, coalesce(sum(length(raw) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, trim(raw) AS t FROM x)

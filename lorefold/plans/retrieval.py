@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorefold.functions import all_of, any_of
 from lorefold.operators import answers as A
 from lorefold.operators import filters as C
+from lorefold.operators import jobs as J
 from lorefold.operators import retrieval as R
 
 
@@ -100,6 +101,14 @@ def extractive_answer(spark, d):
     return A.extractive(cards.withColumn("citation_id", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]"))))
 
 
+def version_evidence(spark, d):
+    """Each item in the version of one document by its number: those of one language and source stand for a version."""
+    docs = _plain(spark, d).join(_t(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("-")).alias("slug"), F.coalesce("lang", F.lit("-")).alias("version_hash")), "doc_id")
+    pick = docs.groupBy("slug", "version_hash").agg(F.min("doc_id").alias("m")).withColumn("n", F.pmod("m", F.lit(7)))
+    requests = _queries(spark, d).withColumn("n", F.pmod("query_id", F.lit(7))).join(pick.hint("merge"), "n").groupBy("query_id", "text").agg(F.min(F.struct("slug", "version_hash")).alias("s")).select("query_id", "text", "s.*")
+    return J.version_evidence(requests, docs, 20, 5)
+
+
 def evidence_context(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("title"), F.coalesce("text", F.lit("")).alias("passage"))
     cards = R.bm25(_queries(spark, d), _plain(spark, d), 3).join(docs.hint("merge"), "doc_id")
@@ -161,7 +170,7 @@ def topics_any_all(spark, d):
     return _t(spark, d, "part").select("p_partkey", all_of(topics, wanted).alias("has_all"), any_of(topics, wanted).alias("has_any"))
 
 
-QUERIES = {f.__name__: f for f in (feature_hash_vectors, dense_topk, dense_topk_filtered, bm25_topk, bm25_multifield, rrf_fusion, hybrid_search, hybrid_status, fallback_rank, evidence_gaps, extractive_answer, evidence_context, retrieval_metrics, retrieval_lift, filter_normalize, metadata_filters, compliance_phrases, topics_any_all)}
+QUERIES = {f.__name__: f for f in (feature_hash_vectors, dense_topk, dense_topk_filtered, bm25_topk, bm25_multifield, rrf_fusion, hybrid_search, hybrid_status, fallback_rank, evidence_gaps, extractive_answer, version_evidence, evidence_context, retrieval_metrics, retrieval_lift, filter_normalize, metadata_filters, compliance_phrases, topics_any_all)}
 
 _DENSE = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
   s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q WHERE {where}),
@@ -234,6 +243,11 @@ ORACLES = {
       CASE WHEN doc_id % 13 = 0 OR coalesce(source, '') = '' THEN 'title' END AS missing FROM b JOIN documents USING (doc_id)""",
     "extractive_answer": "WITH " + _bm25("b", "text", 2) + """, s AS (SELECT query_id, rank, string_split_regex(regexp_replace(replace(text, chr(10), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM b JOIN documents USING (doc_id)),
       p AS (SELECT query_id, rank, coalesce(list_filter(s, lambda x: length(x) >= 40)[1], s[1]) || ' [' || rank || ']' AS p FROM s) SELECT query_id, string_agg(p, ' ' ORDER BY rank) AS answer FROM p GROUP BY query_id""",
+    "version_evidence": "WITH " + _bm25("b", "text", 20) + """, p AS (SELECT coalesce(source, '-') AS slug, coalesce(lang, '-') AS ver, min(doc_id) % 7 AS n FROM documents GROUP BY ALL),
+      q AS (SELECT item_id AS query_id, text, min({'slug': slug, 'ver': ver}) AS s FROM benchmark JOIN p ON item_id % 7 = n GROUP BY item_id, text),
+      c AS (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, d.doc_id) AS k, round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / greatest(len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 1), 6)::DOUBLE AS rerank_score
+        FROM b_s JOIN q USING (query_id) JOIN documents d ON d.doc_id = b_s.doc_id AND coalesce(source, '-') = s.slug AND coalesce(lang, '-') = s.ver)
+      SELECT query_id, doc_id, rank, rerank_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS INT) AS rank FROM c WHERE k <= 20) WHERE rank <= 5""",
     "evidence_context": "WITH " + _bm25("b", "text", 3) + """ SELECT query_id, string_agg('[' || rank || '] ' || coalesce(source, 'none') || ' (score ' || printf('%.4f', score) || ', confidence 0.5000)' || chr(10) || sha256(coalesce(text, '')), chr(10) || chr(10) ORDER BY rank) AS context
       FROM b JOIN documents USING (doc_id) GROUP BY query_id""",
     "filter_normalize": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_type, ' ', '|') ELSE '' END AS topics, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS center,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorefold.operators import answers as A
+from lorefold.operators import jobs as J
 
 
 def _t(spark, d, name):
@@ -125,6 +126,40 @@ def trace_durations(spark, d):
     return A.trace_steps(c.select(F.col("conv_id").alias("run_id"), "steps"))
 
 
+def session_create(spark, d):
+    e = _t(spark, d, "events").select("user_id", F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 3 == 0, "  ").otherwise(F.col("event_type")).alias("title"))
+    return J.session_rows(e, F.lit("2025-01-01").cast("timestamp")).select("session_id", "user_id", "title")
+
+
+def turn_records(spark, d):
+    a = final_answers(spark, d).withColumns({"session_id": (F.col("answer_id") / 1000).cast("long"), "user_id": F.lit("u"), "query": F.lit("q")})
+    r = J.turn_records(a)
+    return r.select("session_id", "answer_id", "audit_type", F.col("guardrails.refusal_reason").alias("refusal_reason"), F.col("guardrails.n_evidence").alias("n_evidence"))
+
+
+def summary_records(spark, d):
+    k = F.col("doc_id")
+    s = _t(spark, d, "documents").select(
+        k.alias("summary_id"), F.lit("u").alias("user_id"), k.cast("string").alias("document_id"), F.lit("summary").alias("summary_type"), F.lit("t").alias("text"),
+        F.array(F.lit("[1]"), F.lit("[2]")).alias("cards"), F.array(F.lit("v2"), F.lit("v1")).alias("versions"), F.when(k % 2 == 0, "v1").alias("compare_version_hash"),
+        F.lit(0.5).alias("confidence"), F.when(k % 3 == 0, "no_evidence").alias("reason"),
+    )
+    r = J.summary_records(s)
+    return r.select("summary_id", F.size("evidence").alias("n_evidence"), "versions.current", "versions.previous", F.col("guardrails.faithfulness_passed").alias("passed"), "audit_type")
+
+
+def stored_candidates(spark, d):
+    """Neighbours as stored rows with gaps that their payloads fill."""
+    k = F.col("vec_id")
+    payload = F.struct(F.lit("s").alias("slug"), F.lit("v").alias("version_hash"), F.lit("u").alias("source_url"), F.lit("x").alias("section_id"), F.lit(4).alias("page"))
+    some = lambda m, c: F.when(k % m != 0, c)
+    rows = _t(spark, d, "embeddings").select(
+        (k % 10).alias("query_id"), k.alias("chunk_id"), (F.col("label") / 100.0).alias("distance"), payload.alias("payload"), some(2, F.lit("own")).alias("slug"), some(3, F.lit("w")).alias("version_hash"),
+        some(5, F.lit("http")).alias("source_url"), some(7, F.lit("y")).alias("section_id"), some(11, F.lit(9)).alias("page_number"),
+    )
+    return J.stored_candidates(rows)
+
+
 def answer_versions(spark, d):
     cards = _t(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("version_hash"))
     v = A.version_hashes(cards)
@@ -160,7 +195,7 @@ def rate_limit_replay(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (transcript_text, summary_texts, summary_gates, export_rows, session_last_turn, session_page, bind_citations, answer_gate, final_answers, answer_routes, refusal_rates, citation_rates, refusal_quality, query_understanding, trace_durations, answer_versions, audit_append, audit_page, audit_redact, audit_counts, rate_limit_replay)
+    for f in (transcript_text, summary_texts, summary_gates, export_rows, session_last_turn, session_page, bind_citations, answer_gate, final_answers, answer_routes, refusal_rates, citation_rates, refusal_quality, query_understanding, trace_durations, session_create, turn_records, summary_records, stored_candidates, answer_versions, audit_append, audit_page, audit_redact, audit_counts, rate_limit_replay)
 }
 
 _ANSWERS = """WITH k AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id * 31 + turn AS k FROM conversations),
@@ -190,6 +225,11 @@ ORACLES = {
     "refusal_quality": _ANSWERS + " SELECT round(count(*) FILTER (reason IS NOT NULL AND answer_id % 3 = 0) / greatest(count(*) FILTER (reason IS NOT NULL), 1), 6)::DOUBLE AS precision, round(count(*) FILTER (reason IS NOT NULL AND answer_id % 3 = 0) / greatest(count(*) FILTER (answer_id % 3 = 0), 1), 6)::DOUBLE AS recall FROM g",
     "query_understanding": """SELECT conv_id * 1000 + turn AS query_id, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'q' || (conv_id + turn) ELSE role END AS rewritten_query, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'find' ELSE 'question' END AS intent, CASE WHEN (conv_id + turn) % 3 = 0 THEN 1 ELSE 0 END::INT AS n_entities FROM conversations""",
     "trace_durations": "SELECT conv_id AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step_no, role AS node, 'success' AS status, conv_id % 7 * 1000 AS duration_ms FROM conversations",
+    "session_create": "SELECT sha256('session' || chr(31) || user_id || chr(31) || event_id) AS session_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'New session' ELSE event_type END AS title FROM events",
+    "turn_records": _ANSWERS + " SELECT g.answer_id // 1000 AS session_id, g.answer_id, CASE WHEN reason IS NULL THEN 'answer_completed' ELSE 'answer_refused' END AS audit_type, reason AS refusal_reason, CASE WHEN reason IS NULL THEN len(used) ELSE 0 END::INT AS n_evidence FROM g JOIN b USING (answer_id)",
+    "summary_records": "SELECT doc_id AS summary_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END::INT AS n_evidence, 'v2' AS current, CASE WHEN doc_id % 2 = 0 THEN 'v1' END AS previous, doc_id % 3 <> 0 AS passed, CASE WHEN doc_id % 3 = 0 THEN 'summary_refused' ELSE 'summary_completed' END AS audit_type FROM documents",
+    "stored_candidates": """SELECT vec_id % 10 AS query_id, vec_id AS chunk_id, round(1 - label / 100, 6)::DOUBLE AS score, CASE WHEN vec_id % 2 <> 0 THEN 'own' ELSE 's' END AS slug, CASE WHEN vec_id % 3 <> 0 THEN 'w' ELSE 'v' END AS version_hash,
+      CASE WHEN vec_id % 5 <> 0 THEN 'http' ELSE 'u' END AS source_url, CASE WHEN vec_id % 7 <> 0 THEN 'y' ELSE 'x' END AS section_id, CASE WHEN vec_id % 11 <> 0 THEN 9 ELSE 4 END::INT AS page_number FROM embeddings""",
     "answer_versions": "SELECT user_id AS query_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS hashes FROM events GROUP BY user_id",
     "audit_append": """SELECT 'search' AS event_type, user_id, '/api/search' AS route, '{"event_id":' || event_id || ',"password":"[REDACTED]"}' AS payload FROM events""",
     "rate_limit_replay": """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
