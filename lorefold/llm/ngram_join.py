@@ -11,9 +11,11 @@ that are no larger) and in the band below: with d the greatest difference, segme
 must match. Allotments are by cost: what a bounded sample tells of frequent tokens makes subsets of such tokens dear,
 and long subsets cheap. The sample changes the cost only, never the result.
 
-Signatures travel as packed arrays by hash bucket; a bucket yields the groups of sets that share one, each once. Groups
-are compared with their least member first and with their greatest of those still apart; what then lies in
-different components of a group is compared in full, with the sets side by side and exactly.
+Signatures travel as packed arrays by hash bucket; a bucket yields the groups of sets that share one, each once. In each of
+a few rounds a group meets one of its members, another one each time, and groups that are joined up are left out; what then still
+is apart meets the group's other sets, but for those joined up with it. Pairs are kept out by a lossless bound first: a bit for each of
+256 classes of tokens tells whether a set has an odd number of them, so sets differ in at least as many tokens as
+bits. The rest is compared exactly, with the sets side by side.
 
 Edge cases: null, empty and blank texts have an empty set, link with nothing and are components of their own; equal sets
 are one node and hence linked; ids that repeat share a row's fate (the component is that of its least set);
@@ -28,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorefold.llm.bytetext import buffers, distinct_per_row, lowered, mix, shingle_hashes, slices, word_hashes, word_spans
-from lorefold.llm.shared import components, partitions, written
+from lorefold.llm.shared import components, free_names, partitions, relabelled, written
 
 SEGMENTS = 0.42  # a token
 DELETIONS_TO = 256  # greatest set size of the bands that index one-deletion neighbours
 SAMPLE_ROWS = 8_000  # for the cost of frequent tokens
 SAMPLE_SHARE = 0.004
 FLUSH = 600_000
+BUCKET_BYTES = 96 << 20  # of signatures, about, that one task matches at once
+ROUNDS = 6
+PARITY = [f"p{k}" for k in range(4)]
 PROBE, INDEX = 1, 2
 _limits = [1]
 while _limits[-1] < 1 << 40:
@@ -61,6 +66,15 @@ def nodes_of(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return digest
 
 
+def parities(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """256 bits a set that isn't empty: each token flips one, so two sets differ in at least as many tokens as bits."""
+    place = mix(tokens ^ np.uint64(191)) >> np.uint64(56)
+    bits = np.zeros((len(tokens), 4), np.uint64)
+    bits[np.arange(len(tokens)), (place >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (place & np.uint64(63))
+    some = counts[counts > 0]
+    return np.bitwise_xor.reduceat(bits, np.cumsum(some) - some, axis=0) if len(some) else bits
+
+
 def signatures(tokens: np.ndarray, hot: np.ndarray, dear: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, flags) of one set; hot: frequent tokens, ascending, with their shares dear."""
     n = len(tokens)
@@ -152,10 +166,10 @@ def set_sizes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, n long, node long")
 
 
-def shared_groups(docs: DataFrame, text: str, hot: np.ndarray, dear: np.ndarray) -> DataFrame:
-    """Rows (gid, node, n, flags): groups of sets that share a signature which one of them probes."""
+def shared_groups(docs: DataFrame, text: str, hot: np.ndarray, dear: np.ndarray, tokens: int = 0) -> DataFrame:
+    """Rows (gid, node, n, flags): groups of sets that share a signature which one of them probes; tokens: of all sets."""
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+    buckets = max(2 * partitions(spark), 40 * tokens // BUCKET_BYTES)
     sent = spark.sparkContext.broadcast((hot, dear))
 
     def pack(sig, at, flag, nodes, sizes):
@@ -245,11 +259,19 @@ def shared_groups(docs: DataFrame, text: str, hot: np.ndarray, dear: np.ndarray)
     return found.dropDuplicates(["gid", "node"])
 
 
+_APART = " + ".join(f"bit_count(a{c} ^ b{c})" for c in PARITY)  # no more than the tokens in which two sets differ
+
+
 def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (u, v) those whose sets link; sets: (node, tokens binary)."""
+    """Of pairs (u, v) those whose sets link; sets: (node, n, parities, tokens binary). Tokens are sent for pairs only that may link."""
+    small = sets.select("node", "n", *PARITY)
+    a = small.select(F.col("node").alias("u"), F.col("n").alias("nu"), *[F.col(c).alias(f"a{c}") for c in PARITY])
+    b = small.select(F.col("node").alias("v"), F.col("n").alias("nv"), *[F.col(c).alias(f"b{c}") for c in PARITY])
+    pairs = pairs.select("u", "v").join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(f"{_APART} <= (nu + nv) div 7")
+    pairs = written(pairs.select("u", "v"), "pairs")
     a = sets.select(F.col("node").alias("u"), F.col("tokens").alias("x"))
     b = sets.select(F.col("node").alias("v"), F.col("tokens").alias("y"))
-    both = pairs.select("u", "v").join(b.hint("merge"), "v").join(a.hint("merge"), "u")
+    both = pairs.join(b.hint("merge"), "v").join(a.hint("merge"), "u")
 
     def check(batches):
         for batch in batches:
@@ -264,51 +286,81 @@ def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
 
+def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (u, v): links that join up all sets of groups (gid, node, n, flags) which link, directly or over others.
+
+    In each round every group that isn't joined up yet meets one of its members, drawn by a hash that all groups share. What is
+    then still apart in a group meets all of its sets but those that are joined up with it; parities keep out most that don't link.
+    """
+    left, label, links = groups, None, None
+    for r in range(ROUNDS):
+        if label is None:
+            at = left.withColumn("c", F.col("node"))
+        else:
+            at = left.join(label.hint("merge"), "node", "left").select("gid", "node", "n", "flags", F.coalesce("c", "node").alias("c"))
+            apart = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gid")
+            at = written(at.join(apart.hint("merge"), "gid", "left_semi"), "groups-left")
+            left = at.select("gid", "node", "n", "flags")
+            if not at.limit(1).count():
+                return links
+        if r + 1 < ROUNDS:
+            order = F.col("node") if r == 0 else F.xxhash64("node", F.lit(r))
+            hub = at.groupBy("gid").agg(F.min(F.struct(order.alias("o"), "node", "n", "c")).alias("h"))
+            pairs = at.join(hub.hint("merge"), "gid").where("c <> h.c AND 4 * least(n, h.n) >= 3 * greatest(n, h.n)")
+            pairs = pairs.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+        else:
+            pairs = _apart(at, sets)
+        new = written(near_links(pairs, sets), "links")
+        links = new if links is None else links.union(new)
+        if r + 1 < ROUNDS:
+            label = relabelled(label, new)
+    return links
+
+
+def _apart(at: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of one group and different labels that may link: one probes what the other indexes, and parities allow it."""
+    parts = at.groupBy("gid", "c").agg(F.count("*").alias("k"))
+    main = parts.groupBy("gid").agg(F.max(F.struct("k", "c")).alias("m")).select("gid", F.col("m.c").alias("main"))
+    nodes = written(at.select("node").distinct(), "left-nodes")
+    small = sets.select("node", *PARITY).join(nodes.hint("merge"), "node", "left_semi")
+    some = at.join(small.hint("merge"), "node").join(main.hint("merge"), "gid")
+    side = lambda df, x, y: df.select("gid", "main", *[F.col(c).alias(n) for c, n in (("node", x), ("n", f"n{x}"), ("flags", f"f{x}"), ("c", f"c{x}"), *((p, f"{y}{p}") for p in PARITY))])
+    some = written(some, "groups-apart")
+    a, b = side(some.where("c <> main"), "u", "a"), side(some, "v", "b").drop("main")
+    meets = "((nu >= nv AND fu & 1 = 1 AND fv & 2 = 2) OR (nv >= nu AND fv & 1 = 1 AND fu & 2 = 2))"
+    may = f"cu <> cv AND (cv = main OR u < v) AND 4 * least(nu, nv) >= 3 * greatest(nu, nv) AND {meets} AND {_APART} <= (nu + nv) div 7"
+    pairs = a.join(b.hint("merge"), (a["gid"] == b["gid"]) & F.expr(may))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id)."""
-    spark = docs.sparkSession
     sizes = written(set_sizes(docs, doc_id, text), "set-sizes")
-    total = sizes.count()
-    groups = written(shared_groups(docs, text, *frequent_tokens(docs, total, doc_id, text)), "set-groups")
+    total, tokens = sizes.agg(F.count("*"), F.sum("n")).first()
+    groups = written(shared_groups(docs, text, *frequent_tokens(docs, total, doc_id, text), tokens or 0), "set-groups")
     shared = groups.select("node").distinct()
     of = sizes.where("n > 0").join(shared.hint("merge"), "node").groupBy("node").agg(F.min("doc_id").alias("_id"))
     of = written(of, "set-ids")
     few = of.count() <= 100_000  # 16 bytes each; more are joined by a shuffle
     wanted = F.broadcast(of) if few else of.hint("merge")
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("t")).join(wanted, "_id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("t"))
+    rows = rows.join(wanted.withColumnRenamed("_id", "_of"), F.col("_id").eqNullSafe(F.col("_of")))
 
     def make(batches):
         for batch in batches:
             for a, b, tokens, counts in token_sets(batch.column("t")):
                 ends = np.cumsum(counts)
                 node = batch.column("node").slice(a, b - a)
+                full = counts > 0
                 own = nodes_of(tokens, counts).view(np.int64) == node.to_numpy(zero_copy_only=False)  # ids may repeat
-                out = [tokens[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([node, pa.array(out, pa.binary())], ["node", "tokens"]).filter(pa.array(own))
-
-    sets = written(rows.select("node", "t").mapInArrow(make, "node long, tokens binary").dropDuplicates(["node"]), "sets")
-    links = None
-    for pick in (F.min, F.max, None):
-        if links is None:
-            left = groups.withColumn("c", F.col("node"))
-        else:
-            label = components(links)
-            left = groups.join(label.withColumnRenamed("component", "c").hint("merge"), groups["node"] == label["node"], "left")
-            left = left.select("gid", groups["node"], "n", "flags", F.coalesce("c", groups["node"]).alias("c"))
-            apart = left.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gid")
-            left = written(left.join(apart.hint("merge"), "gid", "left_semi"), "groups-left")
-        a = left.select("gid", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("flags").alias("fu"), F.col("c").alias("cu"))
-        if pick is not None:
-            hub = left.groupBy("gid").agg(pick("node").alias("hub"))
-            a = a.join(hub.hint("merge"), "gid").where("u = hub").drop("hub")
-        b = left.select("gid", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("flags").alias("fv"), F.col("c").alias("cv"))
-        pairs = a.join(b.hint("merge"), "gid").where("cu <> cv AND 4 * least(nu, nv) >= 3 * greatest(nu, nv)")
-        if pick is None:
-            pairs = pairs.where("u < v AND ((nu >= nv AND fu & 1 = 1 AND fv & 2 = 2) OR (nv >= nu AND fv & 1 = 1 AND fu & 2 = 2))")
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        new = written(near_links(pairs, sets), "links")
-        links = new if links is None else links.union(new)
-    label = components(links)
+                out = [tokens[e - c : e].tobytes() for e, c in zip(ends[full], counts[full], strict=True)]
+                bits = parities(tokens, counts).view(np.int64)
+                columns = [node.filter(pa.array(full)), pa.array(counts[full].astype(np.int64)), *(pa.array(bits[:, k].copy()) for k in range(4)), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", *PARITY, "tokens"]).filter(pa.array(own[full]))
+
+    schema = "node long, n long, " + ", ".join(f"{c} long" for c in PARITY) + ", tokens binary"
+    sets = written(rows.select("node", "t").mapInArrow(make, schema).dropDuplicates(["node"]), "sets")
+    label = components(group_links(groups, sets))
     placed = sizes.join(label.hint("merge"), "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("c"))
     least = placed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     full = placed.where("n > 0").join(least.hint("merge"), "c")
@@ -322,5 +374,6 @@ def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the document of least id of each component; rows that repeat an id stay together."""
-    keep = near_components(docs, doc_id, text).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep.distinct().hint("merge"), F.col(doc_id).eqNullSafe(F.col("_keep")), "left_semi")
+    (name,) = free_names(docs, "keep")
+    keep = near_components(docs, doc_id, text).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias(name))
+    return docs.join(keep.distinct().hint("merge"), F.col(doc_id).eqNullSafe(F.col(name)), "left_semi")

@@ -69,6 +69,19 @@ def stars(links: DataFrame) -> DataFrame:
     return one.join(up.hint("merge"), "c", "left").select("node", F.coalesce("root", "c").alias("c"))
 
 
+def relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Rows (node, c) after new links (u, v): nodes of one c are connected; a node without a row is its own."""
+    if label is None:
+        return written(stars(links), "labels")
+    l1, l2 = (label.select(F.col("node").alias(n), F.col("c").alias(f"c{n}")) for n in ("u", "v"))
+    e = links.join(l1.hint("merge"), "u", "left").join(l2.hint("merge"), "v", "left")
+    e = e.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct()
+    up = stars(written(e, "label-links")).select(F.col("node").alias("c"), F.col("c").alias("root"))
+    ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
+    every = label.union(ends.join(label.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("c")))
+    return written(every.join(up.hint("merge"), "c", "left").select("node", F.coalesce("root", "c").alias("c")), "labels")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component), component being the least node of each.
 
