@@ -12,7 +12,8 @@ used with its elements renamed and with notices, forms, sidebars, headers and re
 pages' sentences.
 
 Edge cases: null, empty and text-free pages give an empty text; a page is read whole however long; repeated rows
-give repeated results; without a labelled page the built-in names alone decide; other columns are ignored.
+give repeated results; a page's own attributes never label it; where no page has an article or main element the trees learn from
+what the names of elements suggest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,12 +32,13 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 240
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.25
+HASHED = 24  # columns of hashed attribute words
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|head(?=[\s>]))\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|data-gold)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|data-part)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 #: Element kinds of HTML.
 BLOCKS = frozenset(
@@ -66,6 +69,7 @@ class Page:
     parent: list[int]
     tag: list[str]
     names: list[int]  # bit set of GROUPS
+    hashed: list[int]  # bit set of hashed attribute words
     gold: list[int]
     text: list[list[str]]
     order: list[tuple[int, str]]  # (node, raw text) in page order; a new item when blocks change
@@ -73,8 +77,9 @@ class Page:
     tags: list[int]
 
 
-def parse(source: str) -> Page:
-    page = Page([-1], [""], [0], [-1], [[]], [], [0], [0])
+def parse(source: str, mark: str | None = None) -> Page:
+    """The page's nodes; with mark, elements whose data-part is mark-1 or mark-0 are labelled, and all that lies in them."""
+    page = Page([-1], [""], [0], [0], [-1], [[]], [], [0], [0])
     stack, link, at = [0], 0, 0
 
     def text(part: str) -> None:
@@ -120,20 +125,24 @@ def parse(source: str) -> Page:
         if name in ("li", "dd", "dt", "tr", "td", "th", "option") and page.tag[stack[-1]] == name:
             stack.pop()
         node = stack[-1]
-        names, gold = 0, page.gold[node]
+        names, hashed, gold = 0, 0, page.gold[node]
         if name in _GROUP_OF:
             names |= 1 << _GROUP_OF[name]
         for a in _ATTRIBUTE.finditer(m[4] or ""):
             value = a[2] or a[3] or a[4] or ""
-            if a[1].lower() == "data-gold":
-                gold = int(value)
+            if a[1].lower() == "data-part":
+                if mark and value in (f"{mark}-0", f"{mark}-1"):
+                    gold = int(value[-1])
                 continue
-            for w in _NAMES.findall(value):
-                if (g := _GROUP_OF.get(w.lower())) is not None:
+            for w in _NAMES.findall(value[:1000]):
+                w = w.lower()
+                hashed |= 1 << zlib.crc32(w.encode()) % HASHED
+                if (g := _GROUP_OF.get(w)) is not None:
                     names |= 1 << g
         page.parent.append(node)
         page.tag.append(name)
         page.names.append(names)
+        page.hashed.append(hashed)
         page.gold.append(gold)
         page.links.append(0)
         page.tags.append(0)
@@ -193,7 +202,7 @@ def features(page: Page, blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.
     for k in range(1, n):
         same[k] = count_of[(parent[k], page.tag[k])]
         sibling[k] = whole[parent[k]] - whole[k]
-    names = np.array(page.names)
+    names, hashed = np.array(page.names), np.array(page.hashed)
     kind = np.array([_KINDS.get(t, 0) for t in page.tag])
     bits = 1 << np.arange(N_GROUPS)
     up = np.array(parent)
@@ -202,7 +211,7 @@ def features(page: Page, blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.
         np.log1p(own), np.log1p(whole), links / np.maximum(whole, 1), tags / np.maximum(whole, 1), mark / np.maximum(whole, 1),
         whole / np.maximum(items, 1), whole / max(whole[0], 1), depth, place / np.maximum(kids[up], 1), kids[up], same / np.maximum(kids[up], 1),
         np.log1p(sibling), kids, kind == 1, kind == 2, kind == 3, kind == 4,
-        *((names & b) > 0 for b in bits), *((above & b) > 0 for b in bits),
+        *((names & b) > 0 for b in bits), *((above & b) > 0 for b in bits), *((hashed & b) > 0 for b in 1 << np.arange(HASHED)),
     ]
     return np.stack([np.asarray(c, np.float32) for c in columns], 1), own
 
@@ -287,23 +296,23 @@ SIDE_AS = ("div class=ad", "aside", "div class=sidebar", "div class=promo", "div
 TALK_AS = ("section class=comments", "div id=comments", "div class=comment-list", "ul class=replies", "div class=reader-comments")
 
 
-def altered(source: str, talk: list[str], r: random.Random) -> str:
-    """The page with its parts renamed and other parts set in, each marked with what it is (data-gold)."""
+def altered(source: str, talk: list[str], r: random.Random, mark: str) -> str:
+    """The page with its parts renamed and other parts set in, each marked with what it is."""
 
     def wrap(as_: str, gold: int, inner: str) -> str:
         name = as_.split()[0]
-        return f'<{as_} data-gold="{gold}">{inner}</{name}>'
+        return f'<{as_} data-part="{mark}-{gold}">{inner}</{name}>'
 
     def rename(page: str, tag: str, as_: str, gold: int) -> str:
-        page = re.sub(rf"<{tag}\b([^>]*)>", lambda m: f'<{as_} data-gold="{gold}">', page, flags=re.I)
+        page = re.sub(rf"<{tag}\b([^>]*)>", lambda m: f'<{as_} data-part="{mark}-{gold}">', page, flags=re.I)
         return re.sub(rf"</{tag}\s*>", f"</{as_.split()[0]}>", page, flags=re.I)
 
     def words(most: int) -> str:
         return " ".join(r.sample(talk, min(len(talk), r.randint(1, most)))) if talk else "x"
 
     side = r.choice(SIDE_AS)
-    page = re.sub(r'<div class="ad">', lambda m: f'<{side} data-gold="0">', source)
-    page = page if side.startswith("div") else re.sub(rf'(<{side.split()[0]} data-gold="0">[^<]*)</div>', rf"\1</{side.split()[0]}>", page)
+    page = re.sub(r'<div class="ad">', lambda m: f'<{side} data-part="{mark}-0">', source)
+    page = page if side.startswith("div") else re.sub(rf'(<{side.split()[0]} data-part="{mark}-0">[^<]*)</div>', rf"\1</{side.split()[0]}>", page)
     tag = "article" if re.search(r"<article\b", source, re.I) else "main"
     inside = ""
     if r.random() < 0.5:
@@ -323,31 +332,42 @@ def altered(source: str, talk: list[str], r: random.Random) -> str:
     return rename(page, "footer", r.choice(FOOT_AS), 0)
 
 
+LABELLED = "(?i)<(article|main)\\b"
+
+
 def fit(pages: list[str], seed: int = 5) -> Trees | None:
-    """Boosted trees from pages with an article or main element; None if there is none."""
-    pages = [p for p in pages if p and re.search(r"<(article|main)\b", p, re.I)]
-    if not pages:
-        return None
+    """Boosted trees from pages with an article or main element; if none has one, from what the names of elements suggest."""
+    pages = [p for p in pages if p]
+    named = [p for p in pages if re.search(LABELLED, p)]
     r = random.Random(seed)
-    talk = [s for p in pages for _, b in blocks_of(parse(p)) for s in re.split(r"(?<=[.!?])\s+", b) if len(s) > 15][:5000]
+    mark = f"{r.getrandbits(96):x}"
     xs, ys, ws = [], [], []
-    for source in pages:
-        plain = re.sub(r"<(article|main)\b", r'<\1 data-gold="1"', source, flags=re.I)
-        for version in (plain, altered(source, talk, r), altered(source, talk, r), altered(source, talk, r)):
-            page = parse(version)
-            x, own = features(page, blocks_of(page))
-            use = own > 0
-            xs.append(x[use])
-            ys.append(np.array(page.gold)[use] == 1)
-            ws.append(1 + np.log1p(own[use]))
+
+    def add(page: Page, label) -> None:
+        x, own = features(page, blocks_of(page))
+        use = own > 0
+        xs.append(x[use])
+        ys.append(label(page, x)[use])
+        ws.append(1 + np.log1p(own[use]))
+
+    if named:
+        talk = [s for p in named for _, b in blocks_of(parse(p)) for s in re.split(r"(?<=[.!?])\s+", b) if len(s) > 15][:5000]
+        for source in named:
+            plain = re.sub(r"<(article|main)\b", rf'<\1 data-part="{mark}-1"', source, flags=re.I)
+            for version in (plain, *(altered(source, talk, r, mark) for _ in range(3))):
+                add(parse(version, mark), lambda page, x: np.array(page.gold) == 1)
+    else:
+        for source in pages:
+            add(parse(source), lambda page, x: by_names(x) > 0)
+    if not sum(len(y) for y in ys):
+        return None
     x, y, w = np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws)
     return boost(x, y, w / w.mean())
 
 
 def by_names(x: np.ndarray) -> np.ndarray:
-    """Log-odds from the names of elements alone, for when there is nothing to learn from."""
-    first = 17
-    names = x[:, first : first + N_GROUPS] + x[:, first + N_GROUPS :]
+    """What the names of elements suggest, as log-odds: labels to learn from where no page has a main part of its own."""
+    names = x[:, 17 : 17 + N_GROUPS] + x[:, 17 + N_GROUPS : 17 + 2 * N_GROUPS]
     return 1.0 + 2 * names[:, 0] - 6 * names[:, 1:8].max(1) - 4 * (x[:, 2] > 0.5)
 
 
@@ -360,7 +380,7 @@ def extracted(sources: list[str | None], trees: Trees | None) -> Iterator[str]:
     if not read:
         return
     every = np.concatenate([x for _, _, x, _ in read])
-    odds = trees.score(every) if trees else by_names(every)
+    odds = trees.score(every) if trees else np.zeros(len(every))
     at = 0
     for page, blocks, x, own in read:
         keep = kept_nodes(page, odds[at : at + len(x)], own)
@@ -369,13 +389,19 @@ def extracted(sources: list[str | None], trees: Trees | None) -> Iterator[str]:
         yield "\n".join(t for node, t in blocks if keep[node] and own_odds[node] > 0)
 
 
+def sampled(pages: DataFrame, page_id: str, html_col: str) -> list[str]:
+    """About TRAIN_PAGES pages by a hash of id and page, four times as many at most."""
+    total = pages.count()
+    below = int(min(1.0, TRAIN_PAGES / max(total, 1)) * (1 << 30))
+    rows = pages.where(F.pmod(F.xxhash64(page_id, html_col, F.lit(3)), F.lit(1 << 30)) < below)
+    return [r[0] for r in rows.select(html_col).limit(4 * TRAIN_PAGES).collect()]
+
+
 def extract(
     pages: DataFrame, html_col: str = "html", page_id: str = "page_id", keep: tuple[str, ...] = ("page_id", "url")
 ) -> DataFrame:
     """The keep columns with text and n_chars (long) of every row."""
-    marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[ >]"))
-    sample = marked.select(F.xxhash64(F.col(page_id), F.lit(3)).alias("h"), F.col(html_col).alias("t"))
-    trees = fit([row["t"] for row in sample.orderBy("h", "t").limit(TRAIN_PAGES).collect()])
+    trees = fit(sampled(pages.where(F.col(html_col).rlike(LABELLED)), page_id, html_col) or sampled(pages, page_id, html_col))
     sent = pages.sparkSession.sparkContext.broadcast(trees)
     schema = pages.select(*keep, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
