@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorefold.llm.bytetext import buffers, code_points, mix, slices
-from lorefold.llm.shared import id_remainder
+from lorefold.llm.shared import free_names, id_remainder
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -173,6 +173,6 @@ def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """documents without those whose language cannot be told: no text, no letter, or a posterior under least_score."""
     columns = docs.columns
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    names = ("_language", "_posterior")
+    names = tuple(free_names(docs, "language", "posterior"))
     told = predict(docs, model, keep=tuple(columns), names=names)
     return told.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least_score)).select(*columns)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorefold.llm.shared import written
+from lorefold.llm.shared import free_names, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -131,11 +131,15 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with their columns and copies."""
+    """The documents that the mix takes, with their columns, size, target, copies and taken.
+
+    A column of docs that has one of these names keeps it, and the new one gets an underscore in front.
+    """
     columns = docs.columns
-    clash = [c for c in ("size", "source_size", "target", "copies", "taken") if c in columns]
-    took = mix_sources(docs.drop(*clash), keep=tuple(c for c in columns if c not in clash))
-    return took.where("copies > 0").select(*[c for c in columns if c not in clash], "size", "target", "copies", "taken")
+    own = {c: f"k{k}" for k, c in enumerate(columns)}
+    took = mix_sources(docs.toDF(*own.values()), own["doc_id"], own["text"], own["source"], keep=tuple(own.values())).where("copies > 0")
+    new = [n if n.lower() not in {c.lower() for c in columns} else free_names(docs, n)[0] for n in ("size", "target", "copies", "taken")]
+    return took.select(*[F.col(k).alias(c) for c, k in own.items()], *[F.col(o).alias(n) for o, n in zip(("size", "target", "copies", "taken"), new, strict=True)])
 
 
 OP4_SQL = """
