@@ -11,13 +11,11 @@ by the first), as packed sorted arrays; such a bucket knows c(w), p(w) and c(hw)
 its sum. Only unseen bigrams need the backoff weight of their first word: they go on, with each context's numbers of bigrams
 by count and the mass of its seen words, to buckets of contexts. The bigrams' discounts are known only when all buckets
 are done, so sums leave them out and numbers of bigrams by count travel beside: occurrences are dealt once and never
-written. Word counts and backoff weights are written to tables
-partitioned by bucket.
+written. Word counts, bigram counts and backoff weights are written to tables partitioned by bucket or kind.
 
 Edge cases: null counts as an empty text, which has one token (its end); a null id is learned from by the remainder of
-the empty string; with no training text every token has probability 1; rows that repeat an id all get the sums over
-these rows;
-an empty table gives an empty result; other columns are ignored.
+the empty string; with no training text every token has probability 1; rows that repeat an id, or have none, are scored each by
+its own text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +31,7 @@ from lorefold.llm.shared import id_remainder, partitions, written
 
 K, EPS = 5, 0.01
 FLUSH = 900_000  # tokens a block
+BUCKET_CHARS = 24 << 20  # of texts, about, whose bigrams one task counts at once
 END, BEGIN = np.uint64(1), np.uint64(2)
 _BITS = np.uint64(16)
 
@@ -219,15 +218,16 @@ def by_document(docs: np.ndarray, at: np.ndarray, groups: int, low: np.ndarray |
     edge = np.searchsorted(group[order], np.arange(groups + 1))
     parts = [(k, order[edge[k] : edge[k + 1]]) for k in range(groups) if edge[k] < edge[k + 1]]
     out = {"g": [k for k, _ in parts], "docs": [packed(np.diff(ids[o], prepend=0)) for _, o in parts]}
-    return out | {k: [packed(v[o].astype(np.float32 if k in ("base", "score") else np.uint32)) for _, o in parts] for k, v in values.items()}
+    return out | {k: [packed(v[o].astype(float if k in ("base", "score") else np.uint32)) for _, o in parts] for k, v in values.items()}
 
 
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
-    buckets = max(4, partitions(spark))
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    buckets = max(4, partitions(spark), chars // BUCKET_CHARS)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), train.alias("train"), F.col(text).alias("t"))
-    rows = rows.withColumn("row", F.coalesce("doc_id", F.lit(-(1 << 62))))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "train", "t"))  # rows of one number are equal
     words = written(word_counts(rows, buckets), "katz-words", ["bucket"])
     facts = words.agg(
         F.sum("tokens"), F.sum("types"), *[F.sum(F.col("cc")[r]) for r in range(K + 2)]
@@ -291,30 +291,39 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
                     continue
                 row = dict.fromkeys(names) | {"kind": kind, "g": k, "h": packed(key[o], 6)}
                 if kind == 1:
-                    row |= {n: packed(x[o].astype(np.float32 if n == "s" else np.uint32)) for n, x in sums.items()}
+                    row |= {n: packed(x[o].astype(float if n == "s" else np.uint32)) for n, x in sums.items()}
                 else:
                     row |= {"docs": packed(lost_doc[o])}
                 for n in names:
                     rows_[n].append(row[n])
+        counted = {"kind": 4, "g": 0, "s": packed(w[head][typed], 6), "h": packed(hs, 6), "c": packed(c.astype(np.uint32))}
+        for n in names:
+            rows_[n].append(counted.get(n))
         cc = np.bincount(c2[(c2 > 0) & (c2 <= K + 1)], minlength=K + 2).tolist()
         for n in names:
             rows_[n].append({"kind": 3, "g": 0, "cc": cc}.get(n))
         types = {"kind": pa.int32(), "g": pa.int32(), "cc": pa.list_(pa.int64())}
         return pa.table(rows_, schema=pa.schema([(n, types.get(n, pa.binary())) for n in names]))
 
-    made = written(dealt(rows, buckets, hot).groupBy("bucket").applyInArrow(parts, kinds), "katz-parts")
+    made = written(dealt(rows, buckets, hot).groupBy("bucket").applyInArrow(parts, kinds), "katz-bigrams", ["kind"])
     cc2 = made.where("kind = 3").agg(*[F.sum(F.col("cc")[r]) for r in range(K + 2)]).first()
     d2 = discounts(np.array([x or 0 for x in cc2]))
 
-    def backed(table: pa.Table) -> pa.Table:
-        contexts, asked = table.filter(pa.compute.equal(table["kind"], 1)), table.filter(pa.compute.equal(table["kind"], 2))
-        col = lambda t, c, *a: np.concatenate([np.zeros(0, a[0]), *[unpacked(x, *a) for x in t.column(c)]])
-        h = col(contexts, "h", np.uint64, 6)
-        u, back = np.unique(h, return_inverse=True)
-        s, c, *by_count = (np.bincount(back, col(contexts, x, np.float32 if x == "s" else np.uint32), len(u)) for x in ("s", "c", *LOW))
+    col = lambda t, c, *a: np.concatenate([np.zeros(0, a[0]), *[unpacked(x, *a) for x in t.column(c)]])
+
+    def weigh(table: pa.Table) -> pa.Table:
+        u, back = np.unique(col(table, "h", np.uint64, 6), return_inverse=True)
+        s, c, *by_count = (np.bincount(back, col(table, x, float if x == "s" else np.uint32), len(u)) for x in ("s", "c", *LOW))
         m = sum(r * (1 - d2[r]) * n for r, n in enumerate(by_count, 1))  # discounted mass
         # what the context adds where it backs off: its count's logarithm, taken off before, and its weight
         weight = np.log10((m + EPS) / (c + EPS) / np.maximum(1 - s, 1e-9)) + np.log10(c + EPS)
+        return pa.table({"g": table.column("g").slice(0, 1), "u": pa.array([packed(u, 6)], pa.binary()), "weight": pa.array([packed(weight)], pa.binary())})
+
+    contexts = made.where("kind = 1").select("g", "h", "s", "c", *LOW).groupBy("g")
+    weights = written(contexts.applyInArrow(weigh, "g int, u binary, weight binary"), "katz-weights", ["g"])
+
+    def backed(known: pa.Table, asked: pa.Table) -> pa.Table:
+        u, weight = col(known, "u", np.uint64, 6), col(known, "weight", float)
         q, docs = col(asked, "h", np.uint64, 6), col(asked, "docs", np.int64)
         if not len(q):
             return pa.table({"g": pa.array([], pa.int32()), "docs": pa.array([], pa.binary()), "score": pa.array([], pa.binary())})
@@ -323,7 +332,8 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         out = by_document(docs, np.arange(len(docs)), buckets, score=value)
         return pa.table({"g": pa.array(out["g"], pa.int32()), "docs": pa.array(out["docs"], pa.binary()), "score": pa.array(out["score"], pa.binary())})
 
-    later = made.where("kind in (1, 2)").drop("cc").groupBy("g").applyInArrow(backed, "g int, docs binary, score binary")
+    asked = made.where("kind = 2").select("g", "h", "docs").groupBy("g")
+    later = weights.select("g", "u", "weight").groupBy("g").cogroup(asked).applyInArrow(backed, "g int, docs binary, score binary")
     nothing = F.lit(None).cast("binary")
     all_parts = made.where("kind = 0").select("g", "docs", "known", "base", "score", *LOW).union(
         later.select("g", "docs", nothing.alias("known"), nothing.alias("base"), "score", *[nothing.alias(c) for c in LOW])
@@ -336,9 +346,9 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
             ids.append(i)
             some = table.column("known")[k].is_valid
             cut = sum(unpacked(table.column(c)[k], np.uint32) * np.log10(d2[r]) for r, c in enumerate(LOW, 1)) if some else 0
-            value.append(unpacked(table.column("score")[k], np.float32) + cut)
+            value.append(unpacked(table.column("score")[k], float) + cut)
             known.append(unpacked(table.column("known")[k], np.uint32) if some else np.zeros(len(i)))
-            base.append(unpacked(table.column("base")[k], np.float32) if some else np.zeros(len(i)))
+            base.append(unpacked(table.column("base")[k], float) if some else np.zeros(len(i)))
         u, back = np.unique(np.concatenate(ids), return_inverse=True)
         known, base, value = (np.bincount(back, np.concatenate(x), len(u)) for x in (known, base, value))
         return pa.table({"row": u, "n_known": known.astype(np.int64), "base_score": base, "score": value})
@@ -357,14 +367,15 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
             )
 
     sized = rows.select("row", "doc_id", "train", "t").mapInArrow(lengths, "row long, doc_id long, train boolean, n_tokens long")
-    return sized.join(sums.hint("merge"), "row").select(
+    same = sized.groupBy("row").agg(F.count("*").alias("same"))  # equal rows, whose sums are of all of them
+    return sized.join(sums.join(same.hint("merge"), "row").hint("merge"), "row").select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
         "n_tokens",
-        "n_known",
+        (F.col("n_known") / F.col("same")).cast("long").alias("n_known"),
         F.lit(int(N)).cast("long").alias("train_tokens"),
-        "base_score",
-        (F.col("score") + first).alias("score"),
+        (F.col("base_score") / F.col("same")).alias("base_score"),
+        (F.col("score") / F.col("same") + first).alias("score"),
     )
 
 
