@@ -90,7 +90,7 @@ def test_line_dedup_joins_clusters_of_edited_lines(spark):
 
 
 def test_lines_that_repeat_themselves_meet(spark):
-    same = "again and again " * 60
+    same = "once more and over again it goes on " * 30
     rows = [(1, same), (2, same + "at last"), (3, "quite another line " * 40)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: same, 2: "", 3: rows[2][1]}
