@@ -9,8 +9,8 @@ probability of 1 to 4 %, at 0.8 of 1 %, at 0.85 of less than 1 %.
 
 Candidates are lines that share a band's key. They are compared exactly, by their sets of runs. First every line of a band meets the
 band's least line; the lines of a band that are then in different stars of links meet each other: in bands of up to
-SMALL lines directly, in larger ones where they share one of their rarest runs too, as near lines must; members of the
-band's largest star need not meet each other. Links join up to components (large-star, small-star), and of a component's
+SMALL lines directly; larger ones meet a few of their lines in turn, and what is then still apart meets where it shares one of its
+rarest runs too, as near lines must. Members of the band's largest star need not meet each other. Links join up to components (large-star, small-star), and of a component's
 occurrences the one of least (id, text, line number) stays. Lines of fewer than MIN_CHARS normalised characters always stay.
 
 Scale: equal lines are one node, so a line that a third of all rows hold is summed up before anything else; near copies of one
@@ -28,12 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorefold.llm.shared import components, discard, free_names, stars, written
+from lorefold.llm.shared import components, discard, free_names, relabelled, written
 
 WIDTH, ROWS = 8, 4
 MIN_CHARS = 16
 KEPT, EVERY, SHORT, LEAST = 40, 3, 30, 12
-SMALL = 64
+SMALL, ROUNDS = 64, 4
 FEW = 500_000
 SAMPLE_LINES, FREQUENT = 20_000, 20_000
 THRESHOLD = 0.75
@@ -179,21 +179,42 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     discard(texts)
 
     # the members of a band that are still apart: those of two are compared already
-    at = members.join(stars(first).hint("merge"), "node", "left").select("key", "n", "node", F.coalesce("c", "node").alias("c"))
-    at = written(at, "line-labels")
-    apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = written(at.join(apart.hint("merge"), "key", "left_semi"), "line-left")
-    more = _apart(left.where(f"n <= {SMALL}"), "key")
-    large = left.where(f"n > {SMALL}")
+    label = relabelled(None, first)
+    left = written(_still_apart(members.where("n > 2").select("key", "n", "node"), label), "line-left")
+    links, large = first, left.where(f"n > {SMALL}").select("key", "n", "node")
+    more = None
     if large.limit(1).count():
         nodes = written(large.select("node").distinct(), "line-ends")
-        texts = written(_coded(_texts(_of_nodes(rows.select("node", "t"), nodes))), "line-texts")
-        runs = prefixes(texts, threshold).join(large.drop("n").hint("merge"), "node")
-        runs = written(runs.select(F.xxhash64("key", "run").alias("run"), "node", "n", "c"), "line-runs")
-        more = more.union(_apart(runs, "run", threshold)).distinct()
+        texts = written(_texts(_of_nodes(rows.select("node", "t"), nodes)), "line-texts")
+        for r in range(ROUNDS):  # each band meets one of its lines, another one each time
+            at = written(_still_apart(large, label), "line-large")
+            large = at.select("key", "n", "node")
+            if not at.limit(1).count():
+                break
+            hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "c")).alias("h"))
+            pairs_ = at.join(hub.hint("merge"), "key").where("c <> h.c")
+            pairs_ = pairs_.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+            new = written(near(pairs_, texts, threshold), "line-links")
+            links, label = links.union(new), relabelled(label, new)
+        at = written(_still_apart(large, label), "line-large")
+        if at.limit(1).count():
+            nodes = written(at.select("node").distinct(), "line-ends")
+            runs = prefixes(_coded(texts.join(nodes.hint("merge"), "node", "left_semi")), threshold).join(at.drop("n").hint("merge"), "node")
+            runs = written(runs.select(F.xxhash64("key", "run").alias("run"), "node", "n", "c"), "line-runs")
+            more = _apart(runs, "run", threshold)
+        left = written(_still_apart(left.where(f"n <= {SMALL}").select("key", "n", "node"), label), "line-left")
+    small = _apart(left.where(f"n <= {SMALL}"), "key")
+    more = small if more is None else small.union(more).distinct()
     more = written(more.join(pairs.hint("merge"), ["u", "v"], "left_anti"), "line-pairs")
-    discard(members, at, left)
-    return first.union(near(more, _texts_of(rows, more), threshold))
+    discard(members, left)
+    return links.union(near(more, _texts_of(rows, more), threshold))
+
+
+def _still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (key, n, node, c) of members of the bands that hold more than one label."""
+    at = members.join(label.hint("merge"), "node", "left").select("key", "n", "node", F.coalesce("c", "node").alias("c"))
+    apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return at.join(apart.hint("merge"), "key", "left_semi")
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
