@@ -14,7 +14,7 @@ and long subsets cheap. The sample changes the cost only, never the result.
 Signatures travel as packed arrays by hash bucket; a bucket yields the groups of sets that share one, each once. In each of
 a few rounds a group meets one of its members, another one each time, and groups that are joined up are left out; what then still
 is apart meets the group's other sets, but for those joined up with it. Pairs are kept out by a lossless bound first: a bit for each of
-256 classes of tokens tells whether a set has an odd number of them, so sets differ in at least as many tokens as
+512 classes of tokens tells whether a set has an odd number of them, so sets differ in at least as many tokens as
 bits. The rest is compared exactly, with the sets side by side.
 
 Edge cases: null, empty and blank texts have an empty set, link with nothing and are components of their own; equal sets
@@ -39,7 +39,7 @@ SAMPLE_SHARE = 0.004
 FLUSH = 600_000
 BUCKET_BYTES = 96 << 20  # of signatures, about, that one task matches at once
 ROUNDS = 6
-PARITY = [f"p{k}" for k in range(4)]
+PARITY = [f"p{k}" for k in range(8)]
 PROBE, INDEX = 1, 2
 _limits = [1]
 while _limits[-1] < 1 << 40:
@@ -67,9 +67,9 @@ def nodes_of(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def parities(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """256 bits a set that isn't empty: each token flips one, so two sets differ in at least as many tokens as bits."""
-    place = mix(tokens ^ np.uint64(191)) >> np.uint64(56)
-    bits = np.zeros((len(tokens), 4), np.uint64)
+    """512 bits a set that isn't empty: each token flips one, so two sets differ in at least as many tokens as bits."""
+    place = mix(tokens ^ np.uint64(191)) >> np.uint64(55)
+    bits = np.zeros((len(tokens), len(PARITY)), np.uint64)
     bits[np.arange(len(tokens)), (place >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (place & np.uint64(63))
     some = counts[counts > 0]
     return np.bitwise_xor.reduceat(bits, np.cumsum(some) - some, axis=0) if len(some) else bits
@@ -355,7 +355,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 own = nodes_of(tokens, counts).view(np.int64) == node.to_numpy(zero_copy_only=False)  # ids may repeat
                 out = [tokens[e - c : e].tobytes() for e, c in zip(ends[full], counts[full], strict=True)]
                 bits = parities(tokens, counts).view(np.int64)
-                columns = [node.filter(pa.array(full)), pa.array(counts[full].astype(np.int64)), *(pa.array(bits[:, k].copy()) for k in range(4)), pa.array(out, pa.binary())]
+                columns = [node.filter(pa.array(full)), pa.array(counts[full].astype(np.int64)), *(pa.array(bits[:, k].copy()) for k in range(len(PARITY))), pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "n", *PARITY, "tokens"]).filter(pa.array(own[full]))
 
     schema = "node long, n long, " + ", ".join(f"{c} long" for c in PARITY) + ", tokens binary"
