@@ -68,8 +68,8 @@ def repeated(
     u = written(units(docs, doc_id, text, unit), "units")
     first = u.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     first = written(first.where("n > 1"), "unit-repeats")
-    # digests of very many units, HOT of them at most, are sent to all tasks; the others meet theirs in a merge
-    often = max(HOT, (first.agg(F.sum("n")).first()[0] or 0) // HOT)
+    # digests with over one HOT-th of all repeats, so HOT of them at most, are sent to all tasks; the others meet theirs in a merge
+    often = max(2, (first.agg(F.sum("n")).first()[0] or 0) // HOT)
     hot = first.where(F.col("n") > often).select("digest", "least")
     marked = u.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
     cold = first.where(F.col("n") <= often).select(F.col("digest").alias("d"), F.col("least").alias("l"))
