@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a private one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the warehouse, or in local mode a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("spark.lorefold.shared", None)
         if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="lorefold-")
+            if spark.sparkContext.master.startswith("local"):
+                path = "file://" + tempfile.mkdtemp(prefix="lorefold-")
+            else:
+                path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lorefold"
             spark.conf.set("spark.lorefold.shared", path)
     return path.rstrip("/")
 
