@@ -7,6 +7,7 @@ from lorefold.llm.fingerprint import op3_fingerprint
 from lorefold.llm.html_text import op7_html_text
 from lorefold.llm.katz import op5_katz_scores
 from lorefold.llm.language_id import op8_language_id
+from lorefold.llm.lexical_rank import OP12_SQL, op12_lexical_rank
 from lorefold.llm.line_dedup import op10_line_dedup
 from lorefold.llm.mixing import OP4_SQL, op4_mixing
 from lorefold.llm.ngram_join import op6_ngram_join
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_count": op9_token_count,
     "op10_line_dedup": op10_line_dedup,
+    "op12_lexical_rank": op12_lexical_rank,
     "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op4_mixing": OP4_SQL,
+    "op12_lexical_rank": OP12_SQL,
 }
