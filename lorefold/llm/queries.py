@@ -11,6 +11,7 @@ from lorefold.llm.lexical_rank import OP12_SQL, op12_lexical_rank
 from lorefold.llm.line_dedup import op10_line_dedup
 from lorefold.llm.mixing import OP4_SQL, op4_mixing
 from lorefold.llm.ngram_join import op6_ngram_join
+from lorefold.llm.prefix_tree import op11_chat
 from lorefold.llm.spelling import op13_spelling
 from lorefold.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from lorefold.llm.token_count import op9_token_count
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_count": op9_token_count,
     "op10_line_dedup": op10_line_dedup,
+    "op11_chat": op11_chat,
     "op12_lexical_rank": op12_lexical_rank,
     "op13_spelling": op13_spelling,
 }
