@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefold.operators.retrieval import hash_vector, postings
+from lorefold.operators.retrieval import hash_vector
+from lorefold.sources.tables import TableSet, discard, written
 
 
 def with_metadata(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -41,7 +42,8 @@ def evidence_payload(model: str) -> Column:
 
 def chunk_rows(rows: DataFrame, model: str = "feature-hash", dim: int = 64) -> DataFrame:
     """Rows of the dense index: every chunk of with_metadata, embedded if it is a child, with its evidence payload."""
-    vector = F.when(F.col("chunk_type") == "child", hash_vector(F.col("text"), dim))
+    child = F.col("chunk_type") == "child"
+    vector = F.when(child, hash_vector(F.when(child, F.col("text")), dim))  # a parent's text is not sent to the function
     return rows.where(rejected(rows).isNull()).select(
         "chunk_id", F.col("slug").alias("document_slug"), "version_hash", "chunk_type", "parent_chunk_id", "text", vector.alias("embedding"),
         F.lit(model).alias("embedding_model"), "source_url", "section_id", "section_title", "page_number", "char_start", "char_end",
@@ -61,9 +63,9 @@ def keyword_documents(rows: DataFrame, model: str = "feature-hash") -> DataFrame
     )
 
 
-def stored_postings(documents: DataFrame) -> DataFrame:
-    """(doc_id, term, tf) of keyword documents, to be written by term: bm25 over them needs no text."""
-    return postings(documents.select(F.col("chunk_id").alias("doc_id"), "text"))[0]
+def rejects(rows: DataFrame) -> DataFrame:
+    """(chunk_id, slug, version_hash, reject) of the rows that cannot be indexed, by the first field that they lack."""
+    return rows.select("chunk_id", "slug", "version_hash", rejected(rows).alias("reject")).where("reject IS NOT NULL")
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, now: Column, keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
@@ -96,13 +98,14 @@ def reindexed(dense: DataFrame, keyword: DataFrame, rows: DataFrame, changed: Da
     dense and keyword: the indexes, columns of chunk_rows and keyword_documents; rows: with_metadata; changed: (slug, version_hash);
     withdrawn: (slug). outcomes: one row a document, with what was deleted and indexed on either side.
     """
-    new_dense, new_keyword = chunk_rows(rows).where("chunk_type = 'child'"), keyword_documents(rows)
+    new_dense, new_keyword = chunk_rows(rows), keyword_documents(rows)
+    children = lambda t: t.where("chunk_type = 'child'").withColumnRenamed("document_slug", "slug")  # noqa: E731  parents are kept for diffs, and not counted
     out = [
         without_documents(without_versions(dense, changed), withdrawn).unionByName(new_dense),
         without_documents(without_versions(keyword, changed, "slug"), withdrawn, "slug").unionByName(new_keyword),
     ]
     of = changed.select("slug", "version_hash").distinct()
-    sides = {"dense": (dense.withColumnRenamed("document_slug", "slug"), new_dense.withColumnRenamed("document_slug", "slug")), "keyword": (keyword, new_keyword)}
+    sides = {"dense": (children(dense), children(new_dense)), "keyword": (keyword, new_keyword)}
     gone = withdrawn.select("slug").distinct()
     for side, (old, new) in sides.items():
         for name, table in ((f"{side}_deleted", old), (f"{side}_indexed", new)):
@@ -112,6 +115,27 @@ def reindexed(dense: DataFrame, keyword: DataFrame, rows: DataFrame, changed: Da
     return *out, outcomes
 
 
+def reindex_run(tables: TableSet, run_id: str, rows: DataFrame, changed: DataFrame, withdrawn: DataFrame, now: Column) -> tuple[DataFrame, DataFrame] | None:
+    """reindexed over stored tables dense, keyword and registry, all three put in place at once; (outcomes, rejects), or None if run_id is done.
+
+    Only the buckets of changed and withdrawn documents are read and written. The registry's last_synced_at is set with them. A run
+    that dies before its end leaves the tables as they were, and may be run again under its id.
+    """
+    if run_id in tables.manifest()["runs"]:
+        return None
+    slugs = changed.select("slug").union(withdrawn.select("slug")).distinct()
+    buckets = tables.touched(slugs)
+    rows = written(rows, "rows")
+    dense, keyword = (tables.read(n, buckets) for n in ("dense", "keyword"))
+    new_dense, new_keyword, outcomes = reindexed(dense, keyword, rows, changed, withdrawn, now)
+    outcomes = written(outcomes, "outcomes")
+    registry = mark_indexed(tables.read("registry", buckets), outcomes)
+    refused = written(rejects(rows), "rejects")
+    done = tables.commit(run_id, {"dense": new_dense, "keyword": new_keyword, "registry": registry}, buckets)
+    discard(rows)
+    return (outcomes, refused) if done else None
+
+
 def mark_indexed(registry: DataFrame, outcomes: DataFrame) -> DataFrame:
     """registry (slug, last_synced_at, ...) with the last outcome's time."""
     o = outcomes.groupBy("slug").agg(F.max("synced_at").alias("_synced"))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from lorefold.plans import documents, registry, retrieval, sessions
+from lorefold.plans import documents, registry, retrieval, sessions, stored
 
-QUERIES = {**documents.QUERIES, **retrieval.QUERIES, **registry.QUERIES, **sessions.QUERIES}
-ORACLES = {**documents.ORACLES, **retrieval.ORACLES, **registry.ORACLES, **sessions.ORACLES}
+QUERIES = {**documents.QUERIES, **retrieval.QUERIES, **registry.QUERIES, **sessions.QUERIES, **stored.QUERIES}
+ORACLES = {**documents.ORACLES, **retrieval.ORACLES, **registry.ORACLES, **sessions.ORACLES, **stored.ORACLES}
 
-
-def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
