@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lorefold.functions import malformed_markers, ordered_markers
+from lorefold.functions import four_decimals, malformed_markers, ordered_markers
 
 # Keys whose values are never shown
 SECRETS = ("authorization", "token", "api_key", "secret", "password", "connection_string")
@@ -104,13 +105,36 @@ def understood(raw: DataFrame) -> DataFrame:
 
 
 def evidence_context(cards: DataFrame) -> DataFrame:
-    """(query_id, context): the cards of each query as text in their order, scores with four decimals."""
-    head = F.format_string("%s %s (score %.4f, confidence %.4f)", "citation_id", "title", "rerank_score", "confidence")
-    part = F.struct(F.regexp_extract("citation_id", r"(\d+)", 1).cast("int").alias("n"), F.concat(head, F.lit("\n"), "passage").alias("p"))
+    """(query_id, context): the cards of each query as text blocks in their order, a blank line between them.
+
+    cards: query_id, citation_id, title, section_title, section_id, page_number, document_status, version_hash, retrieval_score,
+    rerank_score, confidence, source_url, passage.
+    """
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    page = F.coalesce(F.concat(F.lit("page "), F.col("page_number").cast("string")), F.lit("page unavailable"))
+    # The lines of a block
+    lines = F.concat_ws(
+        "\n",
+        F.concat("citation_id", F.lit(" "), "title"),
+        F.concat(F.lit("Section: "), F.coalesce(some("section_title"), some("section_id"), F.lit("Unknown section")), F.lit("; "), page),
+        F.concat(F.lit("Status: "), "document_status", F.lit("; version: "), "version_hash"),
+        F.concat(*[x for name, c in (("Scores: retrieval=", "retrieval_score"), ("; rerank=", "rerank_score"), ("; confidence=", "confidence")) for x in (F.lit(name), four_decimals(F.col(c)))]),
+        F.concat(F.lit("Source: "), "source_url"),
+        F.concat(F.lit("Passage: "), "passage"),
+    )
+    part = F.struct(F.regexp_extract("citation_id", r"(\d+)", 1).cast("int").alias("n"), lines.alias("p"))
     d = cards.groupBy("query_id").agg(F.array_sort(F.collect_list(part)).alias("x"))
     return d.select("query_id", F.array_join(F.col("x.p"), "\n\n").alias("context"))
 
 
+def prompts(queries: DataFrame, contexts: DataFrame, template: str) -> DataFrame:
+    """(query_id, prompt) of queries (query_id, query) and evidence_context, set into the template's {query} and {evidence}."""
+    parts = [p for p in re.split(r"(\{query\}|\{evidence\})", template) if p]
+    column = {"{query}": F.col("query"), "{evidence}": F.coalesce("context", F.lit(""))}
+    j = queries.join(contexts.hint("merge"), "query_id", "left")
+    return j.select("query_id", F.concat(*[column.get(p, F.lit(p)) for p in parts]).alias("prompt"))
+
+
 def citation_line(title: Column, section: Column, page: Column, url: Column, citation_id: Column) -> Column:
     none = F.lit("N/A")
     return F.concat(
@@ -176,13 +200,26 @@ def hidden(value):
     return [hidden(v) for v in value] if isinstance(value, list) else value
 
 
+def _redacted(payload: str | None) -> str | None:
+    if payload is None:
+        return None
+    try:
+        value = json.loads(payload)
+    except ValueError:
+        return '"[REDACTED]"'  # nobody can say what is in it
+    return json.dumps(hidden(value), separators=(",", ":"), ensure_ascii=False)
+
+
 @F.pandas_udf(StringType())
 def redacted_json(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda p: None if p is None else json.dumps(hidden(json.loads(p)), separators=(",", ":"), ensure_ascii=False))
+    return payload.map(_redacted)
 
 
 def redact(payload: Column) -> Column:
-    """A JSON text with the values of secret keys replaced, in objects and lists at any depth; the key order stays."""
+    """A JSON text with the values of secret keys replaced, in objects and lists at any depth; the key order stays.
+
+    A text that is no JSON is replaced as a whole.
+    """
     return redacted_json(payload)
 
 

@@ -92,14 +92,15 @@ def _counts(table: DataFrame, keys: list[str], name: str) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def reindexed(dense: DataFrame, keyword: DataFrame, rows: DataFrame, changed: DataFrame, withdrawn: DataFrame, now: Column):
+def reindexed(dense: DataFrame, keyword: DataFrame, rows: DataFrame, changed: DataFrame, withdrawn: DataFrame, now: Column, parents: bool = False):
     """(dense, keyword, outcomes) once changed versions are replaced by rows and withdrawn documents are gone.
 
     dense and keyword: the indexes, columns of chunk_rows and keyword_documents; rows: with_metadata; changed: (slug, version_hash);
-    withdrawn: (slug). outcomes: one row a document, with what was deleted and indexed on either side.
+    withdrawn: (slug). outcomes: one row a document, with what was deleted and indexed on either side. With parents, parent chunks are kept
+    in the dense table for diffs of texts; they are never counted.
     """
-    new_dense, new_keyword = chunk_rows(rows), keyword_documents(rows)
-    children = lambda t: t.where("chunk_type = 'child'").withColumnRenamed("document_slug", "slug")  # noqa: E731  parents are kept for diffs, and not counted
+    new_dense, new_keyword = chunk_rows(rows if parents else rows.where("chunk_type = 'child'")), keyword_documents(rows)
+    children = lambda t: t.where("chunk_type = 'child'").withColumnRenamed("document_slug", "slug")
     out = [
         without_documents(without_versions(dense, changed), withdrawn).unionByName(new_dense),
         without_documents(without_versions(keyword, changed, "slug"), withdrawn, "slug").unionByName(new_keyword),
@@ -127,7 +128,7 @@ def reindex_run(tables: TableSet, run_id: str, rows: DataFrame, changed: DataFra
     buckets = tables.touched(slugs)
     rows = written(rows, "rows")
     dense, keyword = (tables.read(n, buckets) for n in ("dense", "keyword"))
-    new_dense, new_keyword, outcomes = reindexed(dense, keyword, rows, changed, withdrawn, now)
+    new_dense, new_keyword, outcomes = reindexed(dense, keyword, rows, changed, withdrawn, now, parents=True)
     outcomes = written(outcomes, "outcomes")
     registry = mark_indexed(tables.read("registry", buckets), outcomes)
     refused = written(rejects(rows), "rejects")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorefold.functions import fingerprint, status_of
+from lorefold.functions import fingerprint, status_of, utc_text
+from lorefold.operators.asof import previous
 
 
 def last_wins(feed: DataFrame, key: str, order: str) -> DataFrame:
@@ -39,7 +40,7 @@ def sync(registry: DataFrame, feed: DataFrame, now: Column, previous: bool = Fal
     old = [F.col("o_status").alias("previous_status"), F.col("o_changed_at").alias("previous_changed_at")] if previous else []
     o = registry.select([F.col(c).alias(f"o_{c}") for c in registry.columns]).withColumn("o_here", F.lit(True))
     n = feed.select([F.col(c).alias(f"n_{c}") for c in feed.columns]).withColumn("n_here", F.lit(True))
-    j = o.join(n, F.col("o_slug") == F.col("n_slug"), "full_outer")
+    j = o.join(n.hint("merge"), F.col("o_slug") == F.col("n_slug"), "full_outer")
     both = F.col("o_here") & F.col("n_here")
     gone = F.col("o_here") & F.col("n_here").isNull()
     change = (
@@ -61,18 +62,20 @@ def sync(registry: DataFrame, feed: DataFrame, now: Column, previous: bool = Fal
 
 
 def version_events(versions: DataFrame) -> DataFrame:
-    """(slug, no, event) of versions (slug, created, hash, status, lifecycle), in the fixed order of kinds."""
-    w = Window.partitionBy("slug").orderBy("created")
-    v = versions
-    for c in ("hash", "status", "lifecycle"):
-        v = v.withColumn(f"p_{c}", F.lag(c).over(w))
-    known = F.col("p_hash").isNotNull()
-    moved = known & (F.col("p_hash") != F.col("hash"))
+    """(slug, created, no, event) of versions (slug, created, hash, status, lifecycle, and optionally docket), in the fixed order of kinds.
+
+    Statuses are compared as they are, a null one included; a change needs a previous value. What a version supersedes is as in
+    version_snapshots.
+    """
+    v = versions if "docket" in versions.columns else versions.withColumn("docket", F.lit(None).cast("string"))
+    v = _with_superseded(v)
+    v = previous(v.withColumn("_now", F.struct("status", "lifecycle")), "slug", ["created"], "_now", "_p")
+    moved = lambda c: F.col(f"_p.{c}").isNotNull() & ~F.col(f"_p.{c}").eqNullSafe(F.col(c))
     kinds = F.array(
-        F.when(~known | moved, "new_version"),
-        F.when(known & (status_of(F.col("p_status")) != status_of(F.col("status"))), "status_changed"),
-        F.when(known & (F.col("p_lifecycle") != F.col("lifecycle")), "lifecycle_changed"),
-        F.when(moved, "supersedes_version"),
+        F.when(F.col("_own").isNull() | (F.col("_own") != F.col("hash")), "new_version"),
+        F.when(moved("status"), "status_changed"),
+        F.when(moved("lifecycle"), "lifecycle_changed"),
+        F.when(F.col("supersedes").isNotNull(), "supersedes_version"),
     )
     return v.select("slug", "created", F.posexplode(F.filter(kinds, F.isnotnull)).alias("no", "event"))
 
@@ -85,19 +88,15 @@ def change_report(changes: DataFrame) -> DataFrame:
     )
 
 
-def _instant(c) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-
-
 def alerts(changes: DataFrame, titles: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """(event_fingerprint, slug, title, change_type) once for each fingerprint; a missing title is the slug.
 
     changes: rows of sync with previous; versions: (slug, version_hash). The fingerprint is of the change type, the slug, the
     statuses and times before and after, and the current version.
     """
-    a = changes.where("change_type IS NOT NULL").join(titles, "slug", "left")
-    a = a.join(versions.select("slug", "version_hash"), "slug", "left") if versions is not None else a.withColumn("version_hash", F.lit(None).cast("string"))
-    print_ = fingerprint(F.col("change_type"), F.col("slug"), F.col("previous_status"), F.col("status"), F.col("version_hash"), _instant("previous_changed_at"), _instant("changed_at"))
+    a = changes.where("change_type IS NOT NULL").join(titles.hint("merge"), "slug", "left")
+    a = a.join(versions.select("slug", "version_hash").hint("merge"), "slug", "left") if versions is not None else a.withColumn("version_hash", F.lit(None).cast("string"))
+    print_ = fingerprint(F.col("change_type"), F.col("slug"), F.col("previous_status"), F.col("status"), F.col("version_hash"), utc_text(F.col("previous_changed_at")), utc_text(F.col("changed_at")))
     a = a.select(print_.alias("event_fingerprint"), "slug", F.coalesce("title", "slug").alias("title"), "change_type")
     return a.dropDuplicates(["event_fingerprint"])
 
@@ -143,20 +142,23 @@ def reconciled(registry: DataFrame, dense: DataFrame, keyword: DataFrame | None
     return one.withColumn("agrees", (F.col("active") == F.col("dense")) & (F.col("keyword").isNull() | (F.col("keyword") == F.col("active"))))
 
 
+def _with_superseded(versions: DataFrame) -> DataFrame:
+    """versions with _own, the slug's previous hash, and supersedes: that hash if it differs, else the docket's latest earlier one of another slug, if it differs."""
+    v = previous(versions, "slug", ["created"], "hash", "_own")
+    v = previous(v, "docket", ["created", "slug"], "hash", "_other", other="slug")
+    differs = lambda c: F.when(F.col(c) != F.col("hash"), F.col(c))
+    return v.withColumn("supersedes", F.coalesce(differs("_own"), differs("_other")))
+
+
 def version_snapshots(versions: DataFrame) -> DataFrame:
     """(slug, created, hash, document_status, supersedes, unchanged) of versions (slug, docket, created, hash, status).
 
-    A version supersedes the slug's previous one if its hash is another; a slug's first version supersedes the docket's previous
-    version of another slug, if its hash is another.
+    A version supersedes the slug's previous one if its hash is another. If it is the slug's first, or unchanged, it supersedes
+    the latest earlier version of its docket of another slug, if its hash is another. Neither a hot slug nor a hot docket is one task.
     """
-    own = Window.partitionBy("slug").orderBy("created")
-    shared = Window.partitionBy("docket").orderBy("created")
-    v = versions.withColumn("_own", F.lag("hash").over(own))
-    v = v.withColumn("_other", F.when(F.col("docket").isNotNull(), F.lag("hash").over(shared)))
-    differs = lambda c: F.when(F.col(c) != F.col("hash"), F.col(c))
-    supersedes = F.coalesce(differs("_own"), F.when(F.col("_own").isNull(), differs("_other")))
+    v = _with_superseded(versions)
     return v.select(
-        "slug", "created", "hash", status_of(F.col("status")).alias("document_status"), supersedes.alias("supersedes"),
+        "slug", "created", "hash", status_of(F.col("status")).alias("document_status"), "supersedes",
         F.coalesce(F.col("_own") == F.col("hash"), F.lit(False)).alias("unchanged"),
     )
 
@@ -214,7 +216,7 @@ def freshness(registry: DataFrame, now: Column) -> DataFrame:
 
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Of rows those whose key the table lacks."""
-    return rows.join(table.select(key), key, "left_anti")
+    return rows.join(table.select(key).hint("merge"), key, "left_anti")
 
 
 def transitions(requests: DataFrame, stamps: bool = False) -> DataFrame:

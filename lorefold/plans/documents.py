@@ -38,10 +38,10 @@ def page_of_offset(spark, d):
 
 
 def _headed(spark, d):
-    """documents with a numbered heading before every tenth line."""
+    """documents with a numbered heading before every tenth line, set off by white space of several kinds."""
     rows = F.transform(
         F.split("text", "\n"),
-        lambda x, i: F.when(i % 10 == 3, F.concat((i / 10).cast("int").cast("string"), F.lit(". Part of the text\n"), x)).otherwise(x),
+        lambda x, i: F.when(i % 10 == 3, F.concat(F.lit("\t\u00a0"), (i / 10).cast("int").cast("string"), F.lit(". Part of the text \r\n"), x)).otherwise(x),
     )
     return _docs(spark, d).select("doc_id", F.array_join(rows, "\n").alias("text"))
 
@@ -259,21 +259,23 @@ QUERIES = {
 _PAGES = f"""pages_ AS (SELECT doc_id, CAST(k AS INT) AS page_number, trim(substr(coalesce(text, ''), CAST(k * {PAGE} + 1 AS BIGINT), {PAGE}), ' ') AS t
   FROM documents, unnest(range(0, (greatest(length(coalesce(text, '')), 1) - 1) // {PAGE} + 1)) AS u(k)),
 offsets AS (SELECT doc_id, page_number, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start, length(t) AS n FROM pages_)"""
-_HEADED = """h AS (SELECT doc_id, string_split(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN (i - 1) % 10 = 3 THEN ((i - 1) // 10) || '. Part of the text' || chr(10) || x ELSE x END), chr(10)), chr(10)) AS ls FROM documents),
+# white space as the reference rows are stripped of it
+_WS = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160))
+_HEADED = """h AS (SELECT doc_id, string_split(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN (i - 1) % 10 = 3 THEN chr(9) || chr(160) || ((i - 1) // 10) || '. Part of the text ' || chr(13) || chr(10) || x ELSE x END), chr(10)), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS raw FROM h),
-o AS (SELECT doc_id, line_no, trim(raw, ' ') AS line, length(raw) AS n, CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(ltrim(raw, ' ')) AS BIGINT) AS char_start FROM l),
+o AS (SELECT doc_id, line_no, trim(raw, @WS) AS line, length(raw) AS n, CAST(coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(ltrim(raw, @WS)) AS BIGINT) AS char_start FROM l),
 w AS (SELECT *, regexp_extract(line, '^(?:[IVXLCDM]+|\\d+)[.)]\\s+(\\S.*)$', 1) AS title, len(regexp_split_to_array(line, '\\s+')) AS nw FROM o),
 heads AS (SELECT * FROM w WHERE length(line) BETWEEN 1 AND 140 AND CASE
   WHEN regexp_matches(line, '^(?:[IVXLCDM]+|\\d+)[.)]\\s+\\S') THEN len(regexp_split_to_array(title, '\\s+')) <= 10 AND NOT ends_with(title, '.')
   WHEN line = upper(line) AND line <> lower(line) AND nw <= 12 THEN nw > 1 OR line IN ('BACKGROUND', 'INTRODUCTION', 'SCOPE', 'CONCLUSION')
-  ELSE regexp_matches(line, '^(?i:introduction|background|scope|recommendations?|conclusion)\\b') END)"""
+  ELSE regexp_matches(line, '^(?i:introduction|background|scope|recommendations?|conclusion)\\b') END)""".replace("@WS", _WS)
 
 _SPANS = """t AS (SELECT doc_id, array_to_string(ls, chr(10)) AS txt FROM h),
 f AS (SELECT doc_id, txt, CAST(length(txt) AS BIGINT) AS doc_end, (SELECT min(char_start) FROM heads WHERE heads.doc_id = t.doc_id) AS f FROM t),
 r AS (SELECT doc_id, line AS title, char_start FROM heads UNION ALL SELECT doc_id, CASE WHEN f IS NULL THEN 'Document' ELSE 'Preamble' END, 0 FROM f
-  WHERE (f IS NULL OR f > 0) AND trim(translate(CASE WHEN f IS NULL THEN txt ELSE substr(txt, 1, f) END, chr(10) || chr(9) || chr(13) || chr(11) || chr(12), '     ')) <> ''),
+  WHERE (f IS NULL OR f > 0) AND trim(CASE WHEN f IS NULL THEN txt ELSE substr(txt, 1, f) END, @WS) <> ''),
 spans AS (SELECT r.doc_id, CAST(row_number() OVER s AS INT) AS section_no, title, coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section-' || row_number() OVER s) AS section_id,
-  char_start, coalesce(lead(char_start) OVER s, doc_end) AS char_end FROM r JOIN f ON r.doc_id = f.doc_id WINDOW s AS (PARTITION BY r.doc_id ORDER BY char_start))"""
+  char_start, coalesce(lead(char_start) OVER s, doc_end) AS char_end FROM r JOIN f ON r.doc_id = f.doc_id WINDOW s AS (PARTITION BY r.doc_id ORDER BY char_start))""".replace("@WS", _WS)
 # whole texts are one paragraph each, as they have no blank lines: windows of 1200 characters with 150 in common
 _WINDOWS = """WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) - length(ltrim(text, ' ' || chr(10) || chr(9) || chr(13))) AS lo, length(rtrim(text, ' ' || chr(10) || chr(9) || chr(13))) AS hi,
     list_filter(list_transform(string_split(text, ''), lambda c, i: CASE WHEN c IN (' ', chr(10)) THEN i - 1 ELSE -1 END), lambda x: x >= 0) AS br FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''),

@@ -101,7 +101,7 @@ def dangling_documents(spark, d):
 def report_nested(spark, d):
     """The changes by kind, as one digest of each list."""
     outcomes = _feed(spark, d).select("slug", F.lit(2).alias("dense_indexed"), F.lit(3).alias("keyword_indexed"))
-    changes = _changes(spark, d).where("change_type IS NOT NULL AND slug LIKE '%7'").select("slug", "change_type", "previous_status", "status")
+    changes = _changes(spark, d).where("change_type IS NOT NULL").select("slug", "change_type", "previous_status", "status")
     r = R.nested_report(changes, outcomes)
     part = lambda x: F.concat_ws(":", x["slug"], F.coalesce(x["previous_status"], F.lit("-")), x["status"], F.coalesce(x["dense_indexed"].cast("string"), F.lit("-")))
     return r.select("change_type", "n", F.sha2(F.array_join(F.transform("changes", part), ";"), 256).alias("digest"))
@@ -115,12 +115,12 @@ def _versions(spark, d):
     k = F.col("doc_id")
     return _t(spark, d, "documents").select(
         (k % 500).cast("string").alias("slug"), F.when(k % 3 != 0, F.concat(F.lit("D-"), (k % 200).cast("string"))).alias("docket"), k.alias("created"),
-        F.sha2(F.coalesce(F.substring("text", 1, 1), F.lit("")), 256).alias("hash"), F.when(k % 4 == 0, "Draft").otherwise("Guide").alias("status"),
+        F.sha2(F.concat_ws("/", "lang", "source"), 256).alias("hash"), F.when(k % 4 == 0, "Draft").otherwise("Guide").alias("status"),
     )
 
 
 def version_snapshots(spark, d):
-    """Versions of documents that share dockets; few contents, so that some are unchanged."""
+    """Versions of documents that share dockets; hashes of language and source, so that some are unchanged."""
     return R.version_snapshots(_versions(spark, d))
 
 
@@ -183,14 +183,12 @@ def alert_transitions(spark, d):
 
 
 def version_events(spark, d):
-    v = _t(spark, d, "documents").select(
-        F.coalesce("source", F.lit("none")).alias("slug"),
-        F.col("doc_id").alias("created"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"),
-        F.when(F.col("doc_id") % 3 == 0, "Draft").otherwise("Final").alias("status"),
-        F.when(F.col("doc_id") % 5 == 0, "withdrawn").otherwise("active").alias("lifecycle"),
-    )
-    return R.version_events(v)
+    """Versions of which some are unchanged, with statuses as they are written, some of them missing, and dockets."""
+    k = F.col("doc_id")
+    status = F.when(k % 3 == 0, "Draft").when(k % 5 == 0, "Level 2").when(k % 7 != 0, "Final")
+    v = _versions(spark, d).withColumn("k", F.col("created")).drop("status")
+    s = _t(spark, d, "documents").select(k.alias("k"), status.alias("status"), F.when(k % 11 == 0, "withdrawn").otherwise("active").alias("lifecycle"))
+    return R.version_events(v.join(s.hint("merge"), "k").drop("k"))
 
 
 def index_swap(spark, d):
@@ -224,7 +222,7 @@ _SYNC = f"""WITH o AS (SELECT 'doc-' || o_orderkey AS slug, o_orderstatus AS sta
      WHEN o.state = 'withdrawn' OR o.status IS DISTINCT FROM n.status OR (o.ts IS NULL AND n.ts IS NOT NULL) OR n.ts > o.ts THEN 'updated' END AS change_type, o.status AS p_status, o.ts AS p_ts
    FROM o FULL JOIN n ON o.slug = n.slug)"""
 _ALERTS = _SYNC + """, t AS (SELECT 'doc-' || o_orderkey AS slug, o_orderpriority AS title FROM orders WHERE o_orderkey % 2 = 0), w AS (SELECT 'doc-' || o_orderkey AS slug, sha256(o_orderpriority) AS v FROM orders WHERE o_orderkey % 3 = 0),
- a AS (SELECT sha256(concat_ws(chr(31), change_type, s.slug, coalesce(p_status, ''), coalesce(status, ''), coalesce(v, ''), coalesce(strftime(p_ts, '%Y-%m-%dT%H:%M:%S'), ''), coalesce(strftime(changed_at, '%Y-%m-%dT%H:%M:%S'), ''))) AS event_fingerprint, s.slug, coalesce(title, s.slug) AS title, change_type
+ a AS (SELECT sha256(concat_ws(chr(31), change_type, s.slug, coalesce(p_status, ''), coalesce(status, ''), coalesce(v, ''), coalesce(strftime(p_ts, '%Y-%m-%dT%H:%M:%S+00:00'), ''), coalesce(strftime(changed_at, '%Y-%m-%dT%H:%M:%S+00:00'), ''))) AS event_fingerprint, s.slug, coalesce(title, s.slug) AS title, change_type
    FROM s LEFT JOIN t ON s.slug = t.slug LEFT JOIN w ON s.slug = w.slug WHERE change_type IS NOT NULL)"""
 
 ORACLES = {
@@ -235,16 +233,17 @@ ORACLES = {
     "reconcile_counts": _SYNC + """ SELECT *, active = dense AND keyword = active AS agrees FROM (SELECT (SELECT count(*) FROM s WHERE lifecycle_state = 'active') AS active, (SELECT count(DISTINCT slug) FROM n) AS dense, (SELECT count(DISTINCT slug) FROM n WHERE slug NOT LIKE '%77') AS keyword)""",
     "backfill_summary": _SYNC + " SELECT count(*) FILTER (lifecycle_state = 'active') AS record_count, count(change_type) AS change_count, count(*) FILTER (change_type = 'new') AS n_new, count(*) FILTER (change_type = 'updated') AS n_updated, count(*) FILTER (change_type = 'withdrawn') AS n_withdrawn FROM s",
     "report_nested": _SYNC + """ SELECT change_type, count(*) AS n, sha256(string_agg(s.slug || ':' || coalesce(p_status, '-') || ':' || s.status || ':' || CASE WHEN n.slug IS NULL THEN '-' ELSE '2' END, ';' ORDER BY s.slug)) AS digest
-      FROM s LEFT JOIN n ON s.slug = n.slug WHERE change_type IS NOT NULL AND s.slug LIKE '%7' GROUP BY change_type""",
+      FROM s LEFT JOIN n ON s.slug = n.slug WHERE change_type IS NOT NULL GROUP BY change_type""",
     "alerts_page": "SELECT event_id AS alert_id, ts AS detected_at, 'open' AS status FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 10",
     "alert_stamps": """WITH r AS (SELECT event_id % 997 AS alert_id, event_id, user_id, CASE WHEN event_type IN ('view', 'click') THEN 1 WHEN event_type = 'purchase' THEN 2 ELSE 0 END AS l FROM events),
       b AS (SELECT *, coalesce(max(l) OVER (PARTITION BY alert_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM r)
       SELECT alert_id, ['open', 'acknowledged', 'resolved'][max(greatest(l, s)) + 1] AS state, count(*) FILTER (l < s) AS refused, min(event_id) FILTER (l = 1 AND s < 1) AS acknowledged_at,
         arg_min(user_id, event_id) FILTER (l = 1 AND s < 1) AS acknowledged_by, min(event_id) FILTER (l = 2 AND s < 2) AS resolved_at FROM b GROUP BY alert_id""",
     "dangling_documents": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'doc-' || o_orderkey ELSE 'withdrawn-document' END AS document FROM orders",
-    "version_snapshots": """WITH v AS (SELECT CAST(doc_id % 500 AS VARCHAR) AS slug, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 200 END AS docket, doc_id AS created, sha256(coalesce(substr(text, 1, 1), '')) AS hash, CASE WHEN doc_id % 4 = 0 THEN 'Draft' ELSE 'Final' END AS status FROM documents),
-      l AS (SELECT *, lag(hash) OVER (PARTITION BY slug ORDER BY created) AS p, CASE WHEN docket IS NOT NULL THEN lag(hash) OVER (PARTITION BY docket ORDER BY created) END AS q FROM v)
-      SELECT slug, created, hash, status AS document_status, CASE WHEN p IS NOT NULL THEN CASE WHEN p <> hash THEN p END WHEN q <> hash THEN q END AS supersedes, coalesce(p = hash, false) AS unchanged FROM l""",
+    "version_snapshots": """WITH v AS (SELECT CAST(doc_id % 500 AS VARCHAR) AS slug, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 200 END AS docket, doc_id AS created, sha256(concat_ws('/', lang, source)) AS hash, CASE WHEN doc_id % 4 = 0 THEN 'Draft' ELSE 'Final' END AS status FROM documents),
+      l AS (SELECT *, lag(hash) OVER (PARTITION BY slug ORDER BY created) AS p FROM v),
+      r AS (SELECT l.*, q FROM l LEFT JOIN (SELECT a.created, arg_max(b.hash, b.created) AS q FROM v a JOIN v b ON a.docket = b.docket AND a.slug <> b.slug AND b.created < a.created GROUP BY a.created) USING (created))
+      SELECT slug, created, hash, status AS document_status, CASE WHEN p IS NOT NULL AND p <> hash THEN p WHEN q IS NOT NULL AND q <> hash THEN q END AS supersedes, coalesce(p = hash, false) AS unchanged FROM r""",
     "sync_freshness": "SELECT strftime(max(o_orderdate), '%Y-%m-%d') AS last_synced_on, round((epoch(TIMESTAMP '2025-01-01') - epoch(max(o_orderdate)::TIMESTAMP)) / 3600, 6)::DOUBLE AS age_hours FROM orders WHERE o_orderkey % 7 <> 0",
     "audit_filters": "SELECT event_id FROM events WHERE event_type = 'purchase' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
     "passage_lookup": "SELECT doc_id, doc_id || ':v1:0' AS chunk_id, 1 AS page_number, 'http://h' AS source_url FROM documents WHERE doc_id % 8 = 4 AND trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)) <> ''",
@@ -253,9 +252,12 @@ ORACLES = {
     "alert_transitions": """WITH r AS (SELECT user_id AS alert_id, ts, event_id, CASE WHEN event_type IN ('view', 'click') THEN 1 WHEN event_type = 'purchase' THEN 2 ELSE 0 END AS l FROM events),
       b AS (SELECT *, coalesce(max(l) OVER (PARTITION BY alert_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM r)
       SELECT alert_id, ['open', 'acknowledged', 'resolved'][max(greatest(l, s)) + 1] AS state, count(*) FILTER (l < s) AS refused FROM b GROUP BY alert_id""",
-    "version_events": """WITH v AS (SELECT coalesce(source, 'none') AS slug, doc_id AS created, sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id % 3 = 0 THEN 'Draft' ELSE 'Final' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'withdrawn' ELSE 'active' END AS life FROM documents),
+    "version_events": """WITH v AS (SELECT CAST(doc_id % 500 AS VARCHAR) AS slug, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 200 END AS docket, doc_id AS created, sha256(concat_ws('/', lang, source)) AS hash,
+        CASE WHEN doc_id % 3 = 0 THEN 'Draft' WHEN doc_id % 5 = 0 THEN 'Level 2' WHEN doc_id % 7 <> 0 THEN 'Final' END AS status, CASE WHEN doc_id % 11 = 0 THEN 'withdrawn' ELSE 'active' END AS life FROM documents),
       l AS (SELECT *, lag(hash) OVER w AS ph, lag(status) OVER w AS ps, lag(life) OVER w AS pl FROM v WINDOW w AS (PARTITION BY slug ORDER BY created)),
-      e AS (SELECT slug, created, list_filter([CASE WHEN ph IS NULL OR ph <> hash THEN 'new_version' END, CASE WHEN ps <> status THEN 'status_changed' END, CASE WHEN pl <> life THEN 'lifecycle_changed' END, CASE WHEN ph <> hash THEN 'supersedes_version' END], lambda x: x IS NOT NULL) AS es FROM l)
+      r AS (SELECT l.*, q FROM l LEFT JOIN (SELECT a.created, arg_max(b.hash, b.created) AS q FROM v a JOIN v b ON a.docket = b.docket AND a.slug <> b.slug AND b.created < a.created GROUP BY a.created) USING (created)),
+      e AS (SELECT slug, created, list_filter([CASE WHEN ph IS NULL OR ph <> hash THEN 'new_version' END, CASE WHEN ps IS NOT NULL AND ps IS DISTINCT FROM status THEN 'status_changed' END, CASE WHEN pl IS NOT NULL AND pl <> life THEN 'lifecycle_changed' END,
+        CASE WHEN ph <> hash OR q <> hash THEN 'supersedes_version' END], lambda x: x IS NOT NULL) AS es FROM r)
       SELECT slug, created, CAST(generate_subscripts(es, 1) - 1 AS INT) AS no, unnest(es) AS event FROM e""",
     "index_swap": "SELECT CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS version, count(*) AS n_docs, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM documents WHERE doc_id % 9 <> 0 GROUP BY 1",
     "document_view": """WITH v AS (SELECT coalesce(source, 'none') AS slug, sha256(coalesce(text, '')) AS hash, max(doc_id) AS pos FROM documents GROUP BY ALL)

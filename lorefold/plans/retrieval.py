@@ -110,10 +110,16 @@ def version_evidence(spark, d):
 
 
 def evidence_context(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("title"), F.coalesce("text", F.lit("")).alias("passage"))
+    """The block of each item's three best documents, as a digest: some have no section title or page."""
+    n = F.col("n_chars")
+    docs = _t(spark, d, "documents").select(
+        "doc_id", F.coalesce("source", F.lit("none")).alias("title"), F.when(n % 3 != 0, F.concat(F.lit("Part "), F.coalesce("lang", F.lit("-")))).alias("section_title"), F.when(n % 2 == 0, "s1").otherwise("").alias("section_id"),
+        F.when(n % 5 != 0, (n % 40).cast("int")).alias("page_number"), F.lit("Final").alias("document_status"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("version_hash"),
+        F.concat(F.lit("http://h/"), F.col("doc_id").cast("string")).alias("source_url"), F.coalesce("text", F.lit("")).alias("passage"),
+    )
     cards = R.bm25(_queries(spark, d), _plain(spark, d), 3).join(docs.hint("merge"), "doc_id")
-    cards = cards.select("query_id", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")).alias("citation_id"), "title", F.col("score").alias("rerank_score"), F.lit(0.5).alias("confidence"), F.sha2("passage", 256).alias("passage"))
-    return A.evidence_context(cards)
+    cards = cards.withColumns({"citation_id": F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")), "retrieval_score": F.col("score"), "rerank_score": F.col("score") * 2, "confidence": F.lit(0.5)})
+    return A.evidence_context(cards).select("query_id", F.sha2("context", 256).alias("digest"), F.length("context").alias("n_chars"))
 
 
 def _labelled(spark, d):
@@ -227,10 +233,10 @@ ORACLES = {
     "rrf_fusion": _FUSE + " SELECT query_id, doc_id, dense_score, keyword_score, dense_rank, keyword_rank, rrf_score, rank FROM fused",
     "hybrid_search": _FUSE
     + """, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark),
-      o AS (SELECT f.query_id, f.doc_id, source, lang, substr(text, 1, 120) AS excerpt, rrf_score, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) / len(q) END, 6) AS rerank_score
+      o AS (SELECT f.query_id, f.doc_id, source, lang, text AS passage, rrf_score, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) / len(q) END, 6) AS rerank_score
         FROM fused f JOIN q USING (query_id) JOIN documents USING (doc_id)),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS rank FROM o)
-      SELECT query_id, '[' || rank || ']' AS citation_id, doc_id, source, lang, excerpt, rrf_score, rerank_score::DOUBLE AS rerank_score, round(1 / (1 + exp(-rerank_score)), 6) AS confidence FROM r WHERE rank <= 5""",
+      SELECT query_id, '[' || rank || ']' AS citation_id, doc_id, source, lang, passage, rrf_score, rerank_score::DOUBLE AS rerank_score, round(1 / (1 + exp(-rerank_score)), 6) AS confidence FROM r WHERE rank <= 5""",
     "retrieval_metrics": _DENSE.format(where="true") + _METRICS + " SELECT query_id, recall, precision, reciprocal_rank FROM e WHERE k = 10",
     "retrieval_lift": _DENSE.format(where="true") + _METRICS + """ SELECT round(avg(recall) FILTER (k = 10) - avg(recall) FILTER (k = 5), 6) AS recall_lift, round(avg(precision) FILTER (k = 10) - avg(precision) FILTER (k = 5), 6) AS precision_lift,
       round(avg(reciprocal_rank) FILTER (k = 10) - avg(reciprocal_rank) FILTER (k = 5), 6) AS reciprocal_rank_lift FROM e""",
@@ -248,8 +254,11 @@ ORACLES = {
       c AS (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, d.doc_id) AS k, round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')))) / greatest(len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 1), 6)::DOUBLE AS rerank_score
         FROM b_s JOIN q USING (query_id) JOIN documents d ON d.doc_id = b_s.doc_id AND coalesce(source, '-') = s.slug AND coalesce(lang, '-') = s.ver)
       SELECT query_id, doc_id, rank, rerank_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS INT) AS rank FROM c WHERE k <= 20) WHERE rank <= 5""",
-    "evidence_context": "WITH " + _bm25("b", "text", 3) + """ SELECT query_id, string_agg('[' || rank || '] ' || coalesce(source, 'none') || ' (score ' || printf('%.4f', score) || ', confidence 0.5000)' || chr(10) || sha256(coalesce(text, '')), chr(10) || chr(10) ORDER BY rank) AS context
-      FROM b JOIN documents USING (doc_id) GROUP BY query_id""",
+    "evidence_context": "WITH " + _bm25("b", "text", 3) + """, c AS (SELECT query_id, string_agg('[' || rank || '] ' || coalesce(source, 'none') || chr(10)
+        || 'Section: ' || CASE WHEN n_chars % 3 <> 0 THEN 'Part ' || coalesce(lang, '-') WHEN n_chars % 2 = 0 THEN 's1' ELSE 'Unknown section' END || '; ' || CASE WHEN n_chars % 5 <> 0 THEN 'page ' || (n_chars % 40) ELSE 'page unavailable' END || chr(10)
+        || 'Status: Final; version: ' || sha256(coalesce(text, '')) || chr(10) || 'Scores: retrieval=' || printf('%.4f', score) || '; rerank=' || printf('%.4f', score * 2) || '; confidence=0.5000' || chr(10)
+        || 'Source: http://h/' || doc_id || chr(10) || 'Passage: ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context FROM b JOIN documents USING (doc_id) GROUP BY query_id)
+      SELECT query_id, sha256(context) AS digest, length(context)::INT AS n_chars FROM c""",
     "filter_normalize": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_type, ' ', '|') ELSE '' END AS topics, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS center,
       CASE WHEN p_partkey % 5 = 0 THEN 'age|zeal' ELSE 'zeal' END AS ignored, CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN 'metadata_constrained' ELSE 'hybrid' END AS route FROM part""",
     "metadata_filters": """SELECT o_orderkey AS document_slug, strftime(o_orderdate, '%Y-%m-%d') AS issue_date FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_orderdate::DATE BETWEEN DATE '1994-01-01' AND DATE '1997-12-31'""",

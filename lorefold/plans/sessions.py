@@ -44,7 +44,7 @@ def export_rows(spark, d):
     """Exports of summaries and sessions, some of both, some of neither."""
     k = F.col("doc_id")
     requests = _t(spark, d, "documents").select(k.alias("export_id"), F.when(k % 3 != 0, k % 50).alias("summary_id"), F.when(k % 4 == 0, k % 60).alias("session_id"))
-    c = _t(spark, d, "conversations").where("turn = 0 AND conv_id < 40")
+    c = _t(spark, d, "conversations").where("turn = 0")
     return A.exports(requests, c.select(F.col("conv_id").alias("summary_id"), F.coalesce("role", F.lit("")).alias("text")), c.select(F.col("conv_id").alias("session_id"), F.lit("t").alias("text")))
 
 
@@ -214,7 +214,7 @@ ORACLES = {
         CASE WHEN conv_id % 4 = 0 THEN chr(10) || chr(10) || 'Citations:' || chr(10) || '[1] ' || role || ' - s (page ' || CASE WHEN conv_id % 3 = 0 THEN '0' ELSE 'N/A' END || ') - http://h' ELSE '' END AS text FROM conversations WHERE turn = 0""",
     "summary_gates": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'not_found' WHEN doc_id % 11 = 0 THEN 'no_evidence' WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 'comparison_required' WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN 'version_not_found'
       WHEN doc_id % 13 = 0 THEN 'no_evidence' WHEN doc_id % 10 < 3 THEN 'low_confidence' WHEN doc_id % 17 = 0 THEN 'citation_binding_failure' WHEN doc_id % 19 = 0 THEN 'faithfulness_failure' END AS reason FROM documents""",
-    "export_rows": """WITH r AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 50 END AS s, CASE WHEN doc_id % 4 = 0 THEN doc_id % 60 END AS t FROM documents), c AS (SELECT conv_id, coalesce(role, '') AS role FROM conversations WHERE turn = 0 AND conv_id < 40),
+    "export_rows": """WITH r AS (SELECT doc_id AS k, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 50 END AS s, CASE WHEN doc_id % 4 = 0 THEN doc_id % 60 END AS t FROM documents), c AS (SELECT conv_id, coalesce(role, '') AS role FROM conversations WHERE turn = 0),
       j AS (SELECT k, (s IS NULL) <> (t IS NULL) AS one, coalesce(a.role, CASE WHEN b.conv_id IS NOT NULL THEN 't' END) AS x FROM r LEFT JOIN c a ON a.conv_id = s LEFT JOIN c b ON b.conv_id = t)
       SELECT k AS export_id, CASE WHEN one AND x IS NOT NULL THEN 'exports/' || k || '.txt' END AS object_key, CASE WHEN one THEN x END AS text, CASE WHEN NOT one THEN 'rejected' WHEN x IS NULL THEN 'failed' ELSE 'completed' END AS status FROM j""",
     "final_answers": _ANSWERS + f""", m AS (SELECT g.answer_id, a.text, len(b.used) AS n, g.confidence, g.reason FROM g JOIN a USING (answer_id) JOIN b USING (answer_id))
