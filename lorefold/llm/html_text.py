@@ -12,7 +12,7 @@ used with its elements renamed and with notices, forms, sidebars, headers and re
 pages' sentences.
 
 Edge cases: null, empty and text-free pages give an empty text; a page is read whole however long; repeated rows
-give repeated results; a page's own attributes never label it; where no page has an article or main element the trees learn from
+give repeated results; a head without its end takes nothing with it, nor do skipped elements without one (but scripts and styles); a page's own attributes never label it; where no page has an article or main element the trees learn from
 what the names of elements suggest; other columns are ignored.
 """
 
@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 240
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.25
 HASHED = 24  # columns of hashed attribute words
+#: Elements whose contents are no text of the page. The first two hold to the page's end if they are not closed.
+RAW, SKIPPED = ("script", "style"), ("noscript", "template", "svg", "iframe", "textarea", "title")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|head(?=[\s>]))\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW + SKIPPED) + r")(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>",
     re.S | re.I,
 )
+_CLOSED = {k: re.compile(rf"</{k}\s*>", re.I) for k in RAW + SKIPPED}
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|data-part)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 #: Element kinds of HTML.
@@ -80,7 +83,7 @@ class Page:
 def parse(source: str, mark: str | None = None) -> Page:
     """The page's nodes; with mark, elements whose data-part is mark-1 or mark-0 are labelled, and all that lies in them."""
     page = Page([-1], [""], [0], [0], [-1], [[]], [], [0], [0])
-    stack, link, at = [0], 0, 0
+    stack, link, at, never = [0], 0, 0, set()  # never: skipped elements of which no end follows
 
     def text(part: str) -> None:
         if part:
@@ -89,12 +92,20 @@ def parse(source: str, mark: str | None = None) -> Page:
             if link:
                 page.links[node] += len(part)
 
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         text(source[at : m.start()])
         at = m.end()
         name = m[3]
         if name is None:
-            if not m[0].startswith("<!--") and m[1]:
+            if m[1]:
+                kind = m[1].lower()
+                end = None if kind in never or m[0].endswith("/>") else _CLOSED[kind].search(source, at)
+                if end:
+                    at = end.end()
+                elif kind in RAW:
+                    at = len(source)
+                elif not m[0].endswith("/>"):
+                    never.add(kind)  # nothing is lost behind it
                 text(" ")
             continue
         name = name.lower()
@@ -134,7 +145,7 @@ def parse(source: str, mark: str | None = None) -> Page:
                 if mark and value in (f"{mark}-0", f"{mark}-1"):
                     gold = int(value[-1])
                 continue
-            for w in _NAMES.findall(value[:1000]):
+            for w in _NAMES.findall(value):
                 w = w.lower()
                 hashed |= 1 << zlib.crc32(w.encode()) % HASHED
                 if (g := _GROUP_OF.get(w)) is not None:

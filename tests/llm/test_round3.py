@@ -242,3 +242,33 @@ def test_spelling_query_against_brute_force(spark, tmp_path):
     got = found(SP.op13_spelling(spark, str(tmp_path)))
     assert got == variants(counts, 6, 5, 5) and len(got) > 6
     assert SP.variants(spark.createDataFrame([], "word string, n long")).count() == 0
+
+
+# ---- page text: nothing is lost behind what is not closed ----
+
+
+def shown(source):
+    from lorefold.llm import html_text
+
+    return [t for _, t in html_text.blocks_of(html_text.parse(source))]
+
+
+def test_pages_lose_nothing_behind_unclosed_elements():
+    want = ["Long body of the page.", "More of it."]
+    body = "<body><article><p>Long body of the page.<p>More of it.</article></body></html>"
+    assert shown(f"<html><head><title>t</title>{body}") == want
+    assert shown(f"<html><head><meta charset=x><title>t</title></head>{body}") == want
+    for odd in ("svg", "noscript", "template", "iframe", "textarea", "SVG"):
+        assert shown(f"<html><{odd} class='a>b'>{body}") == want
+        assert shown(f"<html><{odd}/>{body}") == want
+        assert shown(f"<html><{odd}>gone<p>too</{odd.lower()} >{body}") == want
+    assert shown(f"<html><script>if (a<b) x('<p>')</script>{body}") == want
+    assert shown("<p>before<script>code <p>never ends") == ["before"]
+    assert shown("<p>" + "<svg>" * 20000 + "end") == ["end"]
+
+
+def test_attribute_words_are_read_to_their_end():
+    from lorefold.llm import html_text
+
+    long = html_text.parse(f'<div class="{"x " * 2000}navbar"><p>a')
+    assert long.names[1] & (1 << html_text._GROUP_OF["navbar"])
