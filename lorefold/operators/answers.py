@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lorefold.functions import four_decimals, malformed_markers, ordered_markers
+from lorefold.operators.asof import previous, running_max
 
 # Keys whose values are never shown
 SECRETS = ("authorization", "token", "api_key", "secret", "password", "connection_string")
@@ -246,19 +247,21 @@ def audit_page(events: DataFrame, kind: str, limit: int = 50, offset: int = 0) -
     return events.where(F.col("event_type") == kind).orderBy(F.col("ts").desc(), "event_id").offset(offset).limit(min(limit, 200))
 
 
-def budget(requests: DataFrame, most: int, window_s: int) -> DataFrame:
+def budget(requests: DataFrame, most: int, window_s: int, split: bool = False) -> DataFrame:
     """(user_id, event_id, ts) with accepted and retry_after; a refused request takes nothing from the budget.
 
-    A user's requests are folded in time order, in a stream of sorted rows, so that no user is held whole.
+    A user's requests are folded in time order, in a stream of sorted rows, so that no user is held whole. With split, a user's log is
+    first cut wherever two requests are further apart than the window: budgets are empty there, so that the parts of one user
+    are folded by many tasks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, held = None, deque()
         for b in batches:
             ok, wait = [], []
-            for u, t in zip(b["user_id"], b["ts"], strict=True):
-                if u != user:
-                    user, held = u, deque()
+            for u, part, t in zip(b["user_id"], b["part"], b["ts"], strict=True):
+                if (u, part) != user:
+                    user, held = (u, part), deque()
                 now = t.timestamp()
                 while held and held[0] < now - window_s:
                     held.popleft()
@@ -268,8 +271,15 @@ def budget(requests: DataFrame, most: int, window_s: int) -> DataFrame:
                     held.append(now)
             yield pd.DataFrame({"user_id": b["user_id"], "event_id": b["event_id"], "ts": b["ts"], "accepted": ok, "retry_after": wait})
 
-    rows = requests.select("user_id", "event_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
-    return rows.mapInPandas(run, "user_id long, event_id long, ts timestamp, accepted boolean, retry_after long")
+    rows = requests.select("user_id", "event_id", "ts", F.lit(0).cast("long").alias("part"))
+    if split:
+        order = ["ts", "event_id"]
+        rows = previous(rows, "user_id", order, "ts", "_before")
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        begins = F.col("_before").isNull() | (micros("ts") - micros("_before") > window_s * 1_000_000)
+        rows = running_max(rows.drop("part"), "user_id", order, F.when(begins, micros("ts")), "part").drop("_before")
+    rows = rows.repartition("user_id", "part").sortWithinPartitions("user_id", "part", "ts", "event_id")
+    return rows.select("user_id", "event_id", "ts", "part").mapInPandas(run, "user_id long, event_id long, ts timestamp, accepted boolean, retry_after long")
 
 
 def extractive(cards: DataFrame) -> DataFrame:

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefold.sources.tables import written
 
 
+def _pieces(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartitionByRange(n, group, *order).withColumn("_piece", F.spark_partition_id()), "asof")
+
+
+def running_max(rows: DataFrame, group: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """rows with out: the greatest value of the group's rows up to and including this one. Groups are cut as in previous."""
+    cut = _pieces(rows.withColumn("_value", value), group, order)
+    inside = Window.partitionBy(group, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = cut.groupBy(group, "_piece").agg(F.max("_value").alias("_end"))
+    before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # at most a row a partition
+    carried = ends.select(F.col(group).alias("_group"), F.col("_piece").alias("_p"), F.max("_end").over(before).alias("_carried")).where("_carried IS NOT NULL")
+    local = cut.withColumn("_here", F.max("_value").over(inside))
+    j = local.join(carried.hint("merge"), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_piece") == F.col("_p")), "left")
+    return j.select(*rows.columns, F.greatest("_here", "_carried").alias(out))
+
+
 def previous(rows: DataFrame, group: str, order: list[str], value: str, out: str, other: str | None = None) -> DataFrame:
     """rows with out: value of the group's latest earlier row in the order given; with other, of the latest one that has another value of other.
 
     Rows of a null group have none and aren't dealt out. A group that is larger than a partition is cut where the range partitioning cuts it: a window runs
     within each piece, and what earlier pieces leave behind (a row a piece and group) is carried into it. order must tell rows apart.
     """
-    some = rows.where(F.col(group).isNotNull())
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(some.repartitionByRange(n, group, *order).withColumn("_piece", F.spark_partition_id()), "asof")
+    cut = _pieces(rows.where(F.col(group).isNotNull()), group, order)
     cut = cut.withColumn("_by", F.struct(other) if other else F.struct(*order))  # without other, every row is another one
     own = Window.partitionBy(group, "_piece").orderBy(*order)
     boxed = F.struct(F.col(value).alias("v"))

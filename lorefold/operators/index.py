@@ -116,11 +116,12 @@ def reindexed(dense: DataFrame, keyword: DataFrame, rows: DataFrame, changed: Da
     return *out, outcomes
 
 
-def reindex_run(tables: TableSet, run_id: str, rows: DataFrame, changed: DataFrame, withdrawn: DataFrame, now: Column) -> tuple[DataFrame, DataFrame] | None:
+def reindex_run(tables: TableSet, run_id: str, rows: DataFrame, changed: DataFrame, withdrawn: DataFrame, now: Column, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
     """reindexed over stored tables dense, keyword and registry, all three put in place at once; (outcomes, rejects), or None if run_id is done.
 
     Only the buckets of changed and withdrawn documents are read and written. The registry's last_synced_at is set with them. A run
-    that dies before its end leaves the tables as they were, and may be run again under its id.
+    that dies before its end leaves the tables as they were, and may be run again under its id. known: further rows (slug,
+    version_hash) of the table known, which are added to it.
     """
     if run_id in tables.manifest()["runs"]:
         return None
@@ -132,7 +133,10 @@ def reindex_run(tables: TableSet, run_id: str, rows: DataFrame, changed: DataFra
     outcomes = written(outcomes, "outcomes")
     registry = mark_indexed(tables.read("registry", buckets), outcomes)
     refused = written(rejects(rows), "rejects")
-    done = tables.commit(run_id, {"dense": new_dense, "keyword": new_keyword, "registry": registry}, buckets)
+    put = {"dense": new_dense, "keyword": new_keyword, "registry": registry}
+    if known is not None:
+        put["known"] = tables.read("known", buckets).unionByName(known)
+    done = tables.commit(run_id, put, buckets)
     discard(rows)
     return (outcomes, refused) if done else None
 

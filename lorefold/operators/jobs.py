@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorefold.operators import catalog
+from lorefold.operators import catalog, index, retrieval
 from lorefold.operators import registry as R
-from lorefold.operators import retrieval
+from lorefold.operators.documents import document_chunks
+from lorefold.sources.tables import TableSet, discard, written
 
 
 def daily_run(registry: DataFrame, raw: DataFrame, base: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -23,6 +24,61 @@ def daily_run(registry: DataFrame, raw: DataFrame, base: str, now: Column) -> tu
     return synced.drop("previous_status", "previous_changed_at", "change_type"), changes, rows.where("reject IS NOT NULL").select("title", "reject")
 
 
+#: Columns of the tables that a daily job keeps, beside dense and keyword.
+REGISTRY = "slug string, status string, lifecycle_state string, changed_at timestamp, first_seen_at timestamp, last_seen_at timestamp, last_synced_at timestamp"
+CHANGES = "slug string, change_type string, previous_status string, status string, previous_changed_at timestamp, changed_at timestamp, run_id string"
+
+
+def job_tables(spark, root: str, buckets: int = 64) -> TableSet:
+    """The tables of daily_job: registry, changes, dense and keyword."""
+    none = spark.createDataFrame([], "doc_id string, text string")
+    rows = index.with_metadata(document_chunks(none).withColumn("slug", F.col("doc_id")), _as_documents(catalog.normalized(spark.createDataFrame([], "title string"), "http://h/")))
+    schemas = {"registry": REGISTRY, "changes": CHANGES, "dense": index.chunk_rows(rows).schema, "keyword": index.keyword_documents(rows).schema}
+    return TableSet(spark, root, schemas, {"dense": "document_slug"}, buckets)
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    """Normalised rows under the names that index.with_metadata reads."""
+    return rows.select(
+        "slug", "title", F.lit(None).cast("string").alias("version_hash"), "status", "lifecycle_state", "center", F.lit(None).cast("string").alias("issuing_office"),
+        "communication_type", "topics", F.col("docket_id").alias("docket_number"), "issue_date", F.col("landing_url").alias("source_url"),
+    )
+
+
+def daily_job(tables: TableSet, raw: DataFrame, contents: DataFrame, base: str, now: Column, run_id: str, **sizes: int) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, rejects) of one day: the feed is synced with the registry, and the contents of what has changed are indexed.
+
+    raw: catalog.RAW columns and place; contents: (slug, text) as fetched. New and updated documents that have a content are chunked, embedded and
+    put in the place of the version they had; withdrawn ones are taken out; a change without a content has no outcome. outcomes: (slug, change_type,
+    version_hash, what was deleted and indexed). The registry and the day's changes are put in place first, the indexes
+    second, each at once; a job that dies goes on from there under its run id, and one that is done changes nothing.
+    """
+    spark = tables.spark
+    rows = written(catalog.normalized(raw, base).withColumn("place", F.get_json_object("raw_payload", "$.place").cast("long")), "feed")
+    feed = R.last_wins(rows.where("reject IS NULL"), "slug", "place")
+    if f"{run_id}-registry" not in tables.manifest()["runs"]:
+        old = tables.read("registry")
+        synced = written(R.sync(old.drop("last_synced_at"), feed.select("slug", "status", "changed_at"), now, previous=True), "synced")
+        times = old.select("slug", "last_synced_at")
+        registry = synced.drop("previous_status", "previous_changed_at", "change_type").join(times.hint("merge"), "slug", "left")
+        moved = synced.where("change_type IS NOT NULL").withColumn("run_id", F.lit(run_id))
+        every = range(tables.buckets)
+        tables.commit(f"{run_id}-registry", {"registry": registry, "changes": tables.read("changes").unionByName(moved.select(*tables.read("changes").columns))}, every)
+        discard(synced)
+    changes = tables.read("changes").where(F.col("run_id") == run_id)
+    texts = contents.select("slug", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["slug"])
+    fresh = written(texts.join(changes.where("change_type <> 'withdrawn'").select("slug").hint("merge"), "slug", "left_semi").withColumn("version_hash", F.sha2("text", 256)), "fresh")
+    chunks = document_chunks(fresh.select(F.col("slug").alias("doc_id"), "text", "version_hash"), **sizes)
+    chunks = chunks.withColumns({"slug": F.col("doc_id"), "version_hash": F.split_part("chunk_id", F.lit(":"), F.lit(-2))})
+    done = index.reindex_run(tables, f"{run_id}-contents", index.with_metadata(chunks, _as_documents(feed)), fresh.select("slug", "version_hash"), changes.where("change_type = 'withdrawn'").select("slug"), now)
+    refused = rows.where("reject IS NOT NULL").select("title", "reject")
+    if done is None:
+        shape = "slug string, change_type string, version_hash string, dense_deleted long, dense_indexed long, keyword_deleted long, keyword_indexed long"
+        return spark.createDataFrame([], shape), refused
+    outcomes = changes.select("slug", "change_type").join(done[0].hint("merge"), "slug")
+    return outcomes.select("slug", "change_type", "version_hash", "dense_deleted", "dense_indexed", "keyword_deleted", "keyword_indexed"), refused
+
+
 def stored_candidates(rows: DataFrame) -> DataFrame:
     """Candidates of stored rows (query_id, chunk_id, distance, payload and columns): score 1 - distance, gaps filled from the payload."""
     either = lambda c, *p: F.coalesce(F.col(c), *[F.col(f"payload.{x}") for x in (p or (c,))]).alias(c)
@@ -38,8 +94,9 @@ def version_evidence(requests: DataFrame, chunks: DataFrame, k: int = 20, rerank
     requests: query_id, text, slug, version_hash; chunks: doc_id, slug, version_hash, text. The k best by words, reranked by overlap.
     """
     retrieval.check_k(k, rerank_k)
-    scored = retrieval.scores(requests, chunks)
     here = requests.select("query_id", "slug", "version_hash")
+    wanted = here.select("slug", "version_hash").distinct()
+    scored = retrieval.scores(requests, chunks, chunks.join(wanted.hint("merge"), ["slug", "version_hash"], "left_semi").select("doc_id"))
     scored = scored.join(chunks.select("doc_id", "slug", "version_hash").hint("merge"), "doc_id").join(here.hint("merge"), ["query_id", "slug", "version_hash"])
     found = retrieval.top(scored.select("query_id", "doc_id", "score"), "score", "doc_id", k)
     return retrieval.rerank(found, requests, chunks, rerank_k).select("query_id", "doc_id", "rank", "rerank_score")

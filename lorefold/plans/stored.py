@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lorefold.operators import answers as A
 from lorefold.operators import index as I
+from lorefold.operators import jobs as J
 from lorefold.operators import lexical_index as X
 from lorefold.operators import retrieval as R
 from lorefold.operators import stored_search as S
 from lorefold.operators import vector_index as V
 from lorefold.plans import retrieval as P
+from lorefold.plans import sessions
 from lorefold.sources.tables import TableSet, shared_dir
 
 _t, _queries = P._t, P._queries
@@ -104,7 +107,34 @@ def atomic_reindex(spark, d):
     return j.select("slug", "version_hash", "n_dense", "n_parents", F.coalesce("n_keyword", F.lit(0)).alias("n_keyword"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.date_format("last_synced_at", "yyyy-MM-dd").alias("synced_on"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_indexed, bm25_fields_indexed, stored_terms, dense_indexed, filtered_hybrid, atomic_reindex)}
+def daily_contents(spark, d):
+    """Two days of a feed: all documents, then a feed without a ninth of them, with other statuses and some new texts; the second day twice.
+
+    A document's text is its page's title line; the outcomes of the second day.
+    """
+    k = F.col("doc_id")
+    docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("none")).alias("source"), "n_chars")
+    link = F.concat(F.lit('<a href="/docs/'), k.cast("string"), F.lit('">'), F.col("source"), F.lit("</a>"))
+    feed = lambda rows, status: rows.select(link.alias("title"), status.alias("field_final_guidance_1"), F.lit("2024-01-02T00:00:00Z").alias("changed"), k.alias("place"))
+    texts = lambda rows, more: rows.select(k.cast("string").alias("slug"), F.concat(F.regexp_replace("text", "\n", "\n\n"), more).alias("text"))
+    tables = J.job_tables(spark, f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}", 16)
+    at = lambda day: F.lit(f"2025-01-0{day}").cast("timestamp")
+    size = {"parent": 1_000_000, "child": 1_000_000, "overlap": 0}
+    J.daily_job(tables, feed(docs, F.lit("Draft")), texts(docs, F.lit("")), "https://x.org/base", at(1), "day-1", **size)
+    later = docs.where("doc_id % 9 <> 0")
+    second = feed(later, F.when(F.col("n_chars") % 3 == 0, "Final").otherwise("Draft"))
+    new = texts(later.where("n_chars % 2 = 0"), F.lit("\n\nAdded at the end."))
+    outcomes, _ = J.daily_job(tables, second, new, "https://x.org/base", at(2), "day-2", **size)
+    again, _ = J.daily_job(tables, second, new, "https://x.org/base", at(3), "day-2", **size)
+    return outcomes.union(again).select("slug", "change_type", (F.col("version_hash").isNotNull()).alias("has_version"), "dense_deleted", "dense_indexed", "keyword_indexed")
+
+
+def rate_limit_split(spark, d):
+    """rate_limit_replay with each user's log cut at the gaps: budgets of minutes over days of events."""
+    return A.budget(_t(spark, d, "events"), 3, 86_400, split=True)
+
+
+QUERIES = {f.__name__: f for f in (bm25_indexed, bm25_fields_indexed, stored_terms, dense_indexed, filtered_hybrid, atomic_reindex, daily_contents, rate_limit_split)}
 
 _REG = """reg AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'withdrawn' ELSE 'active' END AS state, CASE WHEN n_chars % 2 = 0 THEN 'Draft' ELSE 'Final' END AS status,
     [coalesce(lang, '-'), CASE WHEN n_chars > 800 THEN 'long' ELSE 'short' END] AS topics, DATE '2024-01-01' + (n_chars % 365)::INT AS issued FROM documents),
@@ -127,6 +157,10 @@ _FILTERED = (
 )
 
 ORACLES = {
+    "rate_limit_split": sessions.ORACLES["rate_limit_replay"],
+    "daily_contents": """WITH l AS (SELECT doc_id, n_chars, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS BIGINT) AS n FROM documents)
+      SELECT CAST(doc_id AS VARCHAR) AS slug, 'withdrawn' AS change_type, false AS has_version, n AS dense_deleted, 0::BIGINT AS dense_indexed, 0::BIGINT AS keyword_indexed FROM l WHERE doc_id % 9 = 0
+      UNION ALL SELECT CAST(doc_id AS VARCHAR), 'updated', true, 0, n + 1, n + 1 FROM l WHERE doc_id % 9 <> 0 AND n_chars % 6 = 0""",
     "bm25_indexed": P.ORACLES["bm25_topk"],
     "bm25_fields_indexed": P.ORACLES["bm25_multifield"],
     "dense_indexed": P.ORACLES["dense_topk"],

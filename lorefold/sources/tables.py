@@ -84,7 +84,7 @@ class TableSet:
         """A table as one manifest has it; with buckets, these only."""
         folders = self.manifest(version)["tables"].get(name, {})
         wanted = None if buckets is None else {str(b) for b in buckets}
-        paths = [f"{self.root}/{p}" for b, p in sorted(folders.items()) if wanted is None or b in wanted]
+        paths = [f"{self.root}/{p}" for b, ps in sorted(folders.items()) if wanted is None or b in wanted for p in ps]
         if not paths:
             return self.spark.createDataFrame([], self.schemas[name])
         return self.spark.read.schema(self.schemas[name]).parquet(*paths)
@@ -93,9 +93,10 @@ class TableSet:
         """The buckets of some slugs: as many numbers at most as there are buckets."""
         return sorted(r[0] for r in slugs.select(bucket_of(F.col(slug), self.buckets)).distinct().collect())
 
-    def commit(self, run_id: str, tables: dict[str, DataFrame], buckets: Iterable[int]) -> bool:
+    def commit(self, run_id: str, tables: dict[str, DataFrame], buckets: Iterable[int], add: bool = False) -> bool:
         """Puts the rows of tables in the place of these buckets, in all of them at once; False if the run has been committed before.
 
+        With add, the rows are added to what the buckets hold, whose files stay.
         Rows outside of buckets are an error of the caller's and are found. A table that a run does not name stays as it is.
         """
         if any(c in run_id for c in "/ ") or not run_id:
@@ -115,9 +116,9 @@ class TableSet:
             if stray := found - {str(b) for b in buckets}:
                 raise ValueError(f"rows of {name} in buckets that this run does not replace: {sorted(stray)}")
             for b in map(str, buckets):
-                entries.setdefault(name, {}).pop(b, None)
-                if b in found:
-                    entries[name][b] = f"{folder}/bucket={b}"
+                held = entries.setdefault(name, {}).pop(b, [])
+                if held := (held if add else []) + [f"{folder}/bucket={b}"] * (b in found):
+                    entries[name][b] = held
         self._put({"version": now["version"] + 1, "runs": [*now["runs"], run_id], "tables": entries})
         return True
 
@@ -141,7 +142,7 @@ class TableSet:
 
     def unnamed(self) -> list[str]:
         """Folders of runs that no manifest in the history names: what dead runs have left."""
-        named = {p.rsplit("/", 1)[0] for v in self._versions() for t in self.manifest(v)["tables"].values() for p in t.values()}
+        named = {p.rsplit("/", 1)[0] for v in self._versions() for t in self.manifest(v)["tables"].values() for ps in t.values() for p in ps}
         out = []
         for name in self.schemas:
             fs, path = _fs(self.spark, f"{self.root}/data/{name}")

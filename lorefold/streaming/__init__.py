@@ -8,10 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorefold.operators.documents import document_chunks
+from lorefold.operators.index import reindex_run, with_metadata
 from lorefold.operators.registry import insert_new, last_wins, sync
+from lorefold.sources.tables import TableSet
 
 
 def audit_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -61,6 +64,108 @@ def budget(requests: DataFrame, most: int, window_s: int) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+DECISION = "user_id long, event_id long, ts timestamp, accepted boolean, retry_after long"
+
+
+class _TimedBudget(StatefulProcessor):
+    """Requests wait until the watermark has passed them, are then decided in time order, and a user's state goes when its window is over."""
+
+    def __init__(self, most: int, window_s: int) -> None:
+        self.most, self.window = most, window_s * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, at long")
+        self.held = handle.getListState("held", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(e), int(t)) for b in rows for e, t in zip(b["event_id"], b["at"], strict=True)]
+        self.waiting.appendList(new)
+        for at in {t // 1000 + 1 for _, t in new}:  # microseconds to the next millisecond
+            self.handle.registerTimer(at)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(((t, e) for e, t in self.waiting.get()), key=lambda x: x)
+        ready = [x for x in waiting if x[0] <= passed]
+        held, out = [h[0] for h in self.held.get()], []
+        for t, e in ready:
+            held = [h for h in held if h >= t - self.window]
+            ok = len(held) < self.most
+            out.append((key[0], e, pd.Timestamp(t, unit="us"), ok, 0 if ok else max(1, -(-(held[0] + self.window - t) // 1_000_000))))
+            if ok:
+                held.append(t)
+        held = [h for h in held if h >= passed - self.window]  # no later request can be before the watermark
+        rest = waiting[len(ready) :]
+        if rest:
+            self.waiting.put([(e, t) for t, e in rest])
+        else:
+            self.waiting.clear()
+        if held:
+            self.held.put([(h,) for h in held])
+            self.handle.registerTimer((held[-1] + self.window) // 1000 + 1)
+        else:
+            self.held.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "accepted", "retry_after"])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_budget(requests: DataFrame, most: int, window_s: int, late: str = "1 minute") -> DataFrame:
+    """A stream of requests (user_id, event_id, ts), in any order within late, with accepted and retry_after, as operators.answers.budget says of a batch.
+
+    A request is decided once the watermark has passed it; later ones are dropped. A user's state is dropped by a timer once its window is
+    over. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    rows = requests.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "ts").withWatermark("ts", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(_TimedBudget(most, window_s), DECISION, "append", "eventTime")
+
+
+def once_each_indexed(rows: DataFrame, tables: TableSet, name: str, checkpoint: str):
+    """A stream's rows added to a table of tables, each key (tables.keys) once over its life: a batch reads the buckets of its own keys only.
+
+    A batch's rows are added under its number, so that a batch that runs again adds nothing.
+    """
+    key = tables.keys[name]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if f"batch-{batch_id}" in tables.manifest()["runs"]:
+            return
+        batch.persist()
+        fresh = batch.dropDuplicates([key])
+        buckets = tables.touched(fresh, key)
+        tables.commit(f"batch-{batch_id}", {name: insert_new(tables.read(name, buckets), fresh, key)}, buckets, add=True)
+        batch.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def content_index(contents: DataFrame, metadata: DataFrame, tables: TableSet, checkpoint: str, now: Column, **sizes: int):
+    """A stream of contents (slug, text): texts that are new for their document are hashed, chunked and put into the stored indexes.
+
+    metadata: documents of index.with_metadata, read anew for each batch; tables: dense, keyword and registry as index.reindex_run has them, and known (slug,
+    version_hash). Texts that are known are skipped; what a batch does is put in place at once, under its number.
+    """
+    keys = ["slug", "version_hash"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        run = f"contents-{batch_id}"
+        if run in tables.manifest()["runs"]:
+            return
+        rows = batch.select("slug", F.coalesce("text", F.lit("")).alias("text")).withColumn("version_hash", F.sha2("text", 256)).dropDuplicates(keys)
+        rows = rows.join(tables.read("known", tables.touched(rows)).hint("merge"), keys, "left_anti").persist()
+        chunks = document_chunks(rows.select(F.col("slug").alias("doc_id"), "text", "version_hash"), **sizes).withColumn("slug", F.col("doc_id"))
+        version = F.split_part("chunk_id", F.lit(":"), F.lit(-2))
+        made = with_metadata(chunks.withColumn("version_hash", version), metadata)
+        reindex_run(tables, run, made, rows.select(*keys), rows.select("slug").where("false"), now, known=rows.select(*keys))
+        rows.unpersist()
+
+    return contents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def _before(spark, path: str, batch_id: int) -> DataFrame | None:
     """The table that the batch before has written, if there is one."""
     return spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
