@@ -150,6 +150,25 @@ def _with_superseded(versions: DataFrame) -> DataFrame:
     return v.withColumn("supersedes", F.coalesce(differs("_own"), differs("_other")))
 
 
+def stored_sketches(rows: DataFrame, batch: Column, key: str = "slug", log_k: int = 14) -> DataFrame:
+    """(batch, sketch, n_rows): a HyperLogLog sketch of the distinct keys of each batch, to be stored; some kB whatever the batch."""
+    return rows.groupBy(batch.alias("batch")).agg(F.hll_sketch_agg(key, F.lit(log_k)).alias("sketch"), F.count("*").alias("n_rows"))
+
+
+def merged_estimate(sketches: DataFrame) -> DataFrame:
+    """(n_batches, n_rows, n_distinct) of stored sketches: they are merged, no row is read again. With log_k 14 the standard error is 0.8 %."""
+    one = sketches.agg(F.count("*").alias("n_batches"), F.sum("n_rows").alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+    return one.select("n_batches", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+
+
+def reconciled_by_sketch(registry: DataFrame, dense: DataFrame, keyword: DataFrame | None = None, error: float = 0.03) -> DataFrame:
+    """(active, dense, keyword, agrees): reconciled from stored sketches of each index; counts agree within the error, about four standard errors."""
+    one = registry.agg(F.count_if(F.col("lifecycle_state") == "active").alias("active")).crossJoin(merged_estimate(dense).select(F.col("n_distinct").alias("dense")))
+    one = one.crossJoin(merged_estimate(keyword).select(F.col("n_distinct").alias("keyword"))) if keyword is not None else one.withColumn("keyword", F.lit(None).cast("long"))
+    near = lambda c: F.abs(F.col(c) - F.col("active")) <= F.greatest(error * F.col("active"), F.lit(0.5))
+    return one.withColumn("agrees", near("dense") & (F.col("keyword").isNull() | near("keyword")))
+
+
 def version_snapshots(versions: DataFrame) -> DataFrame:
     """(slug, created, hash, document_status, supersedes, unchanged) of versions (slug, docket, created, hash, status).
 
