@@ -24,13 +24,15 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorefold.llm.bytetext import buffers, distinct_per_row, lowered, mix, shingle_hashes, slices, word_hashes, word_spans
-from lorefold.llm.shared import components, free_names, partitions, relabelled, written
+from lorefold.llm.shared import components, discard, free_names, partitions, relabelled, written
 
 SEGMENTS = 0.42  # a token
 DELETIONS_TO = 256  # greatest set size of the bands that index one-deletion neighbours
@@ -263,7 +265,7 @@ _APART = " + ".join(f"bit_count(a{c} ^ b{c})" for c in PARITY)  # no more than t
 
 
 def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (u, v) those whose sets link; sets: (node, n, parities, tokens binary). Tokens are sent for pairs only that may link."""
+    """Of pairs (u, v) those whose sets link, written; sets: (node, n, parities, tokens binary). Tokens are sent for pairs only that may link."""
     small = sets.select("node", "n", *PARITY)
     a = small.select(F.col("node").alias("u"), F.col("n").alias("nu"), *[F.col(c).alias(f"a{c}") for c in PARITY])
     b = small.select(F.col("node").alias("v"), F.col("n").alias("nv"), *[F.col(c).alias(f"b{c}") for c in PARITY])
@@ -283,7 +285,9 @@ def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok[k] = 100 * common >= 75 * (len(x) + len(y) - common)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
+    links = written(both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long"), "links")
+    discard(pairs)
+    return links
 
 
 def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -292,7 +296,7 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     In each round every group that isn't joined up yet meets one of its members, drawn by a hash that all groups share. What is
     then still apart in a group meets all of its sets but those that are joined up with it; parities keep out most that don't link.
     """
-    left, label, links = groups, None, None
+    left, label, found, held = groups, None, [], None  # held: the table that left is of, once it isn't groups
     for r in range(ROUNDS):
         if label is None:
             at = left.withColumn("c", F.col("node"))
@@ -300,25 +304,30 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
             at = left.join(label.hint("merge"), "node", "left").select("gid", "node", "n", "flags", F.coalesce("c", "node").alias("c"))
             apart = at.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gid")
             at = written(at.join(apart.hint("merge"), "gid", "left_semi"), "groups-left")
-            left = at.select("gid", "node", "n", "flags")
+            discard(*([held] if held is not None else []))
+            held, left = at, at.select("gid", "node", "n", "flags")
             if not at.limit(1).count():
-                return links
+                break
         if r + 1 < ROUNDS:
             order = F.col("node") if r == 0 else F.xxhash64("node", F.lit(r))
             hub = at.groupBy("gid").agg(F.min(F.struct(order.alias("o"), "node", "n", "c")).alias("h"))
             pairs = at.join(hub.hint("merge"), "gid").where("c <> h.c AND 4 * least(n, h.n) >= 3 * greatest(n, h.n)")
             pairs = pairs.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+            found.append(near_links(pairs, sets))
+            before, label = label, relabelled(label, found[-1])
+            discard(*([before] if before is not None else []))
         else:
-            pairs = _apart(at, sets)
-        new = written(near_links(pairs, sets), "links")
-        links = new if links is None else links.union(new)
-        if r + 1 < ROUNDS:
-            label = relabelled(label, new)
+            pairs, tables = _apart(at, sets)
+            found.append(near_links(pairs, sets))
+            discard(*tables)
+    discard(*[t for t in (held, label) if t is not None])
+    links = written(reduce(DataFrame.union, found), "all-links")
+    discard(*found)
     return links
 
 
-def _apart(at: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one group and different labels that may link: one probes what the other indexes, and parities allow it."""
+def _apart(at: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (u, v) of one group and different labels that may link: one probes what the other indexes, and parities allow it; and the tables they are read from."""
     parts = at.groupBy("gid", "c").agg(F.count("*").alias("k"))
     main = parts.groupBy("gid").agg(F.max(F.struct("k", "c")).alias("m")).select("gid", F.col("m.c").alias("main"))
     nodes = written(at.select("node").distinct(), "left-nodes")
@@ -330,7 +339,7 @@ def _apart(at: DataFrame, sets: DataFrame) -> DataFrame:
     meets = "((nu >= nv AND fu & 1 = 1 AND fv & 2 = 2) OR (nv >= nu AND fv & 1 = 1 AND fu & 2 = 2))"
     may = f"cu <> cv AND (cv = main OR u < v) AND 4 * least(nu, nv) >= 3 * greatest(nu, nv) AND {meets} AND {_APART} <= (nu + nv) div 7"
     pairs = a.join(b.hint("merge"), (a["gid"] == b["gid"]) & F.expr(may))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), [nodes, some]
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -360,7 +369,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     schema = "node long, n long, " + ", ".join(f"{c} long" for c in PARITY) + ", tokens binary"
     sets = written(rows.select("node", "t").mapInArrow(make, schema).dropDuplicates(["node"]), "sets")
-    label = components(group_links(groups, sets))
+    links = group_links(groups, sets)
+    label = components(links)
+    discard(groups, of, sets, links)
     placed = sizes.join(label.hint("merge"), "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("c"))
     least = placed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     full = placed.where("n > 0").join(least.hint("merge"), "c")

@@ -64,25 +64,31 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def stars(links: DataFrame) -> DataFrame:
-    """Rows (node, c): for each node of links its least neighbour's least neighbour; nodes of one c are connected."""
+def stars(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, c): for each node of links its least neighbour's least neighbour, so that nodes of one c are connected; and the table they are read from."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     one = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("c")).select("node", F.least("node", "c").alias("c")), "stars")
     up = one.select(F.col("node").alias("c"), F.col("c").alias("root"))
-    return one.join(up.hint("merge"), "c", "left").select("node", F.coalesce("root", "c").alias("c"))
+    return one.join(up.hint("merge"), "c", "left").select("node", F.coalesce("root", "c").alias("c")), one
 
 
 def relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Rows (node, c) after new links (u, v): nodes of one c are connected; a node without a row is its own."""
+    """Rows (node, c), written, after new links (u, v): nodes of one c are connected; a node without a row is its own."""
     if label is None:
-        return written(stars(links), "labels")
+        star, table = stars(links)
+        out = written(star, "labels")
+        discard(table)
+        return out
     l1, l2 = (label.select(F.col("node").alias(n), F.col("c").alias(f"c{n}")) for n in ("u", "v"))
     e = links.join(l1.hint("merge"), "u", "left").join(l2.hint("merge"), "v", "left")
-    e = e.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct()
-    up = stars(written(e, "label-links")).select(F.col("node").alias("c"), F.col("c").alias("root"))
+    e = written(e.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct(), "label-links")
+    star, table = stars(e)
+    up = star.select(F.col("node").alias("c"), F.col("c").alias("root"))
     ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
     every = label.union(ends.join(label.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("c")))
-    return written(every.join(up.hint("merge"), "c", "left").select("node", F.coalesce("root", "c").alias("c")), "labels")
+    out = written(every.join(up.hint("merge"), "c", "left").select("node", F.coalesce("root", "c").alias("c")), "labels")
+    discard(e, table)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
