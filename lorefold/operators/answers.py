@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from lorefold.functions import four_decimals, malformed_markers, ordered_markers
 from lorefold.operators.asof import previous, running_max
+from lorefold.operators.filters import decides_compliance
 
 # Keys whose values are never shown
 SECRETS = ("authorization", "token", "api_key", "secret", "password", "connection_string")
@@ -54,6 +55,36 @@ def gate(bound: DataFrame, threshold: float = 0.5, max_retries: int = 1) -> Data
     return b.withColumn("needs_retry", F.col("reason").eqNullSafe("citation_binding_failure") & (F.col("attempt") < max_retries))
 
 
+def gate_steps(answers: DataFrame, threshold: float = 0.5, max_retries: int = 1) -> DataFrame:
+    """answers with every gate's outcome as columns: failed_gate, reason, retries and next_step, as one pass through the gates leaves them.
+
+    answers: bind_citations' columns, with retrieval_failed, confidences, faithful and attempt (retries so far). A failed retrieval, missing or weak evidence
+    refuse at once. An answer that decides a matter of compliance is refused unless a later gate refuses it first. Binding and
+    faithfulness each count a retry when they fail, and refuse once the retries are used up.
+    """
+    confidence = F.coalesce(F.array_max("confidences"), F.lit(0.0))
+    early = (
+        F.when(F.coalesce("retrieval_failed", F.lit(False)), "retrieval_failure").when(F.size("cards") == 0, "no_evidence").when(confidence < threshold, "low_confidence")
+    )
+    failed = F.when(early == "retrieval_failure", "retrieval").when(early.isNotNull(), "confidence").when(F.col("verdict") != "bound", "binding").when(~F.coalesce("faithful", F.lit(False)), "faithfulness")
+    late = F.col("_failed").isin("binding", "faithfulness")
+    over = late & (F.col("retries") >= max_retries)
+    reason = (
+        F.coalesce("_early", F.when(over & (F.col("_failed") == "binding"), "citation_binding_failure").when(over, "faithfulness_failure"))
+    )
+    risky = F.when(F.col("_early").isNull() & decides_compliance(F.col("text")), "compliance_determination_risk")
+    d = answers.withColumns({"confidence": confidence, "_early": early, "_failed": failed})
+    d = d.withColumn("retries", F.col("attempt") + F.coalesce(late, F.lit(False)).cast("int"))
+    d = d.withColumn("reason", F.coalesce(reason, risky))
+    step = F.when(F.coalesce(late, F.lit(False)) & ~over, "generate_answer").otherwise("respond")
+    return d.withColumns({"failed_gate": F.col("_failed"), "next_step": step}).drop("_early", "_failed")
+
+
+def sessions_page(sessions: DataFrame, user_id, limit: int = 50, offset: int = 0) -> DataFrame:
+    """An owner's sessions (session_id, user_id, title, created_at, updated_at), the last one touched first, ties by id: a page of a report."""
+    return sessions.where(F.col("user_id") == user_id).orderBy(F.col("updated_at").desc(), "session_id").offset(offset).limit(limit)
+
+
 def refusal_message(reason: Column, detail: Column | None = None) -> Column:
     """What a refusal says, with a detail behind it if one is given; null without a reason."""
     table = F.create_map(*[F.lit(x) for pair in REFUSALS.items() for x in pair])

@@ -151,8 +151,11 @@ def extension(content_type: Column, kind: Column, url: Column) -> Column:
 
 
 def seeds(registry: DataFrame, limit: int) -> DataFrame:
-    """The first rows, by slug, that have a PDF: a top-k report."""
-    return registry.where(F.trim("pdf_url") != "").orderBy("slug").limit(limit)
+    """The first rows, by slug, that have a PDF: a top-k report; none at all is an error."""
+    found = registry.where(F.trim("pdf_url") != "").orderBy("slug").limit(limit)
+    if found.isEmpty():
+        raise ValueError("no document has a PDF")
+    return found
 
 
 def by_titles(registry: DataFrame, titles: list[str]) -> DataFrame:

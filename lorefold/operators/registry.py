@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorefold.functions import fingerprint, status_of, utc_text
+from lorefold.functions import fingerprint, shown_status, status_of, utc_text
+from lorefold.operators.answers import audit_rows
 from lorefold.operators.asof import previous
 
 
@@ -214,6 +215,32 @@ def document_views(versions: DataFrame, chunks: DataFrame) -> DataFrame:
     return v.join(s.hint("merge"), "slug", "left")
 
 
+def document_pages(registry: DataFrame, artifacts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What a document's page shows: (slug, title, status, versions newest first, artifacts, section_ids) of every document of the registry.
+
+    registry: slug, title, status, lifecycle_state; artifacts: slug, version_hash, artifact_kind, created_at, which also tell the versions; chunks: slug, version_hash,
+    chunk_no, section_id, of which the current version's sections are shown in order. A document without artifacts has empty lists.
+    """
+    made = artifacts.select("slug", F.col("version_hash").alias("hash"), F.col("created_at").alias("created"))
+    views = document_views(made, chunks).select("slug", "versions", "section_ids")
+    row = F.struct(F.col("created_at"), F.col("version_hash"), F.col("artifact_kind"))
+    files = artifacts.groupBy("slug").agg(F.transform(F.reverse(F.array_sort(F.collect_list(row))), lambda x: F.struct(x["version_hash"].alias("version_hash"), x["artifact_kind"].alias("artifact_kind"))).alias("artifacts"))
+    j = registry.join(views.hint("merge"), "slug", "left").join(files.hint("merge"), "slug", "left")
+    none = F.array().cast("array<string>")
+    return j.select(
+        "slug", F.coalesce("title", "slug").alias("title"), shown_status(F.col("lifecycle_state"), F.col("status")).alias("status"), F.coalesce("versions", none).alias("versions"),
+        F.coalesce("artifacts", F.array().cast("array<struct<version_hash:string,artifact_kind:string>>")).alias("artifacts"), F.coalesce("section_ids", none).alias("section_ids"),
+    )
+
+
+def alert_list(table: DataFrame, registry: DataFrame, user_id: str, now: Column, status: str | None = None, limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(page, audit): alerts_page with each alert's document, and the audit row of who has looked at it."""
+    page = with_documents(alerts_page(table, status, limit, offset), registry).orderBy(F.col("detected_at").desc(), "alert_id")
+    who = table.sparkSession.range(1).select(F.lit(user_id).alias("user_id"), F.lit(None).cast("string").alias("session_id"), F.lit("alerts").alias("route"))
+    payload = F.struct(F.lit(status).alias("status"), F.lit(limit).alias("limit"), F.lit(offset).alias("offset"))
+    return page, audit_rows(who, "alerts_listed", payload, now)
+
+
 def section_navigation(chunks: DataFrame) -> DataFrame:
     """(doc_id, section_id, chunk_no, section_title, page_number): each section's first chunk, in the order of chunks."""
     first = F.min(F.struct("chunk_no", "section_title", "page_number")).alias("f")

@@ -148,6 +148,25 @@ def document_contents(spark, d):
     return views.select("slug", F.array_join("versions", "|").alias("versions"), "current", F.array_join("section_ids", "|").alias("section_ids"))
 
 
+def document_pages(spark, d):
+    """Pages of documents: those of a language and source, with the texts as versions and their lines as sections."""
+    docs = _t(spark, d, "documents").select("doc_id", F.concat_ws("/", "lang", "source", (F.col("n_chars") % 50).cast("string")).alias("slug"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("version_hash"), "lang", F.coalesce("text", F.lit("")).alias("text"), "n_chars")
+    registry = docs.groupBy("slug").agg(F.min("lang").alias("title"), F.when(F.min("n_chars") % 3 == 0, "Draft").when(F.min("n_chars") % 3 == 1, "Level 2").alias("status"), F.when(F.max("n_chars") % 5 == 0, "withdrawn").otherwise("active").alias("lifecycle_state"))
+    files = docs.where("n_chars % 7 <> 0").select("slug", "version_hash", F.when(F.col("n_chars") % 2 == 0, "raw_pdf").otherwise("raw_html").alias("artifact_kind"), F.col("doc_id").alias("created_at"))
+    chunks = docs.select("slug", "version_hash", F.posexplode(F.split("text", "\n")).alias("chunk_no", "line")).select("slug", "version_hash", "chunk_no", F.substring("line", 1, 3).alias("section_id"))
+    pages = R.document_pages(registry, files, chunks)
+    listed = F.array_join(F.transform("artifacts", lambda x: F.concat(F.substring(x["version_hash"], 1, 8), F.lit(":"), x["artifact_kind"])), "|")
+    return pages.select("slug", "title", "status", F.array_join("versions", "|").alias("versions"), listed.alias("artifacts"), F.size("section_ids").cast("long").alias("n_sections"))
+
+
+def stored_cardinality(spark, d):
+    """Rows and batches of the sketches stored of documents by source."""
+    sketches = R.stored_sketches(_t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("slug"), F.coalesce("source", F.lit("-")).alias("source")), F.col("source"))
+    one = R.merged_estimate(sketches)
+    n = _t(spark, d, "documents").agg(F.countDistinct("doc_id").alias("n"))
+    return one.crossJoin(n).select("n_batches", "n_rows", (F.abs(F.col("n_distinct") - F.col("n")) <= 0.03 * F.col("n")).alias("within"))
+
+
 def section_nav(spark, d):
     return R.section_navigation(next(iter(_two_versions(spark, d)))).select("doc_id", "section_id", "chunk_no", "section_title", "page_number")
 
@@ -211,7 +230,7 @@ def document_view(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (registry_upsert, registry_diff, last_wins, daily_report, report_nested, backfill_summary, reconcile_counts, approx_docs, alert_fingerprint, alerts_page, alert_stamps, dangling_documents, version_snapshots, text_diff, document_contents, section_nav, passage_lookup, sync_freshness, audit_filters, alerts_insert_new, alert_transitions, version_events, index_swap, document_view)
+    for f in (registry_upsert, registry_diff, last_wins, daily_report, report_nested, backfill_summary, reconcile_counts, approx_docs, alert_fingerprint, alerts_page, alert_stamps, dangling_documents, version_snapshots, text_diff, document_contents, document_pages, stored_cardinality, section_nav, passage_lookup, sync_freshness, audit_filters, alerts_insert_new, alert_transitions, version_events, index_swap, document_view)
 }
 
 _SYNC = f"""WITH o AS (SELECT 'doc-' || o_orderkey AS slug, o_orderstatus AS status, CASE WHEN o_orderkey % 11 = 0 THEN 'withdrawn' ELSE 'active' END AS state, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate::TIMESTAMP END AS ts, o_orderdate::TIMESTAMP AS seen FROM orders WHERE o_orderkey % 7 <> 0),
@@ -244,6 +263,14 @@ ORACLES = {
       l AS (SELECT *, lag(hash) OVER (PARTITION BY slug ORDER BY created) AS p FROM v),
       r AS (SELECT l.*, q FROM l LEFT JOIN (SELECT a.created, arg_max(b.hash, b.created) AS q FROM v a JOIN v b ON a.docket = b.docket AND a.slug <> b.slug AND b.created < a.created GROUP BY a.created) USING (created))
       SELECT slug, created, hash, status AS document_status, CASE WHEN p IS NOT NULL AND p <> hash THEN p WHEN q IS NOT NULL AND q <> hash THEN q END AS supersedes, coalesce(p = hash, false) AS unchanged FROM r""",
+    "document_pages": """WITH d AS (SELECT doc_id, concat_ws('/', lang, source, (n_chars % 50)::VARCHAR) AS slug, sha256(coalesce(text, '')) AS h, lang, coalesce(text, '') AS text, n_chars FROM documents),
+      r AS (SELECT slug, coalesce(min(lang), slug) AS title, CASE WHEN max(n_chars) % 5 = 0 THEN 'Withdrawn' WHEN min(n_chars) % 3 = 0 THEN 'Draft' ELSE 'Final' END AS status FROM d GROUP BY slug),
+      a AS (SELECT * FROM d WHERE n_chars % 7 <> 0), v AS (SELECT slug, h, max(doc_id) AS pos FROM a GROUP BY ALL),
+      w AS (SELECT slug, string_agg(h, '|' ORDER BY pos DESC, h DESC) AS versions, arg_max(h, pos) AS cur FROM v GROUP BY slug),
+      f AS (SELECT slug, string_agg(substr(h, 1, 8) || ':' || CASE WHEN n_chars % 2 = 0 THEN 'raw_pdf' ELSE 'raw_html' END, '|' ORDER BY doc_id DESC) AS artifacts FROM a GROUP BY slug),
+      s AS (SELECT w.slug, count(DISTINCT substr(line, 1, 3)) AS n FROM w JOIN (SELECT slug, h, unnest(string_split(text, chr(10))) AS line FROM d) l ON l.slug = w.slug AND l.h = w.cur GROUP BY w.slug)
+      SELECT r.slug, title, status, coalesce(versions, '') AS versions, coalesce(artifacts, '') AS artifacts, coalesce(n, 0)::BIGINT AS n_sections FROM r LEFT JOIN w USING (slug) LEFT JOIN f USING (slug) LEFT JOIN s USING (slug)""",
+    "stored_cardinality": "SELECT count(DISTINCT coalesce(source, '-')) AS n_batches, count(*) AS n_rows, true AS within FROM documents",
     "sync_freshness": "SELECT strftime(max(o_orderdate), '%Y-%m-%d') AS last_synced_on, round((epoch(TIMESTAMP '2025-01-01') - epoch(max(o_orderdate)::TIMESTAMP)) / 3600, 6)::DOUBLE AS age_hours FROM orders WHERE o_orderkey % 7 <> 0",
     "audit_filters": "SELECT event_id FROM events WHERE event_type = 'purchase' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
     "passage_lookup": "SELECT doc_id, doc_id || ':v1:0' AS chunk_id, 1 AS page_number, 'http://h' AS source_url FROM documents WHERE doc_id % 8 = 4 AND trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)) <> ''",

@@ -193,9 +193,24 @@ def rate_limit_replay(spark, d):
     return A.budget(_t(spark, d, "events"), 3, 86_400)
 
 
+def gate_steps(spark, d):
+    """Answers through all gates; some retrievals fail, some answers decide a matter of compliance."""
+    c = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), (F.col("conv_id") * 31 + F.col("turn")).alias("k"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    a = _answers(spark, d).join(c.hint("merge"), "answer_id")
+    a = a.withColumn("text", F.when(F.col("size") % 6 == 0, F.concat("text", F.lit(" So you are compliant."))).otherwise(F.col("text")))
+    a = A.bind_citations(a.withColumns({"retrieval_failed": F.col("size") % 9 == 0, "faithful": F.col("size") % 4 != 0}))
+    return A.gate_steps(a, max_retries=2).select("answer_id", "failed_gate", "reason", "retries", "next_step")
+
+
+def sessions_owned(spark, d):
+    """A page of one owner's sessions."""
+    e = _t(spark, d, "events").select(F.col("event_id").alias("session_id"), "user_id", F.col("event_type").alias("title"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+    return A.sessions_page(e, 7, 20, 3).select("session_id", "title", "updated_at")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (transcript_text, summary_texts, summary_gates, export_rows, session_last_turn, session_page, bind_citations, answer_gate, final_answers, answer_routes, refusal_rates, citation_rates, refusal_quality, query_understanding, trace_durations, session_create, turn_records, summary_records, stored_candidates, answer_versions, audit_append, audit_page, audit_redact, audit_counts, rate_limit_replay)
+    for f in (gate_steps, sessions_owned, transcript_text, summary_texts, summary_gates, export_rows, session_last_turn, session_page, bind_citations, answer_gate, final_answers, answer_routes, refusal_rates, citation_rates, refusal_quality, query_understanding, trace_durations, session_create, turn_records, summary_records, stored_candidates, answer_versions, audit_append, audit_page, audit_redact, audit_counts, rate_limit_replay)
 }
 
 _ANSWERS = """WITH k AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id * 31 + turn AS k FROM conversations),
@@ -240,6 +255,13 @@ ORACLES = {
     "session_last_turn": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1",
     "session_page": "SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY conv_id ORDER BY n_turns DESC, conv_id LIMIT 10 OFFSET 10",
     "bind_citations": _ANSWERS + " SELECT answer_id, array_to_string(used, '|') AS used, array_to_string(malformed, '|') AS malformed, array_to_string(unknown, '|') AS unknown, verdict FROM b",
+    "gate_steps": _ANSWERS + """, z AS (SELECT conv_id * 1000 + turn AS answer_id, length(coalesce(text, '')) AS n FROM conversations),
+      e AS (SELECT b.answer_id, attempt, CASE WHEN n % 9 = 0 THEN 'retrieval_failure' WHEN len(cards) = 0 THEN 'no_evidence' WHEN confidence < 0.5 THEN 'low_confidence' END AS early,
+        CASE WHEN n % 9 = 0 THEN 'retrieval' WHEN len(cards) = 0 OR confidence < 0.5 THEN 'confidence' WHEN verdict <> 'bound' THEN 'binding' WHEN n % 4 = 0 THEN 'faithfulness' END AS failed, n % 6 = 0 AS risky FROM b JOIN z USING (answer_id)),
+      f AS (SELECT *, (attempt + CASE WHEN failed IN ('binding', 'faithfulness') THEN 1 ELSE 0 END)::INT AS retries FROM e)
+      SELECT answer_id, failed AS failed_gate, coalesce(early, CASE WHEN failed = 'binding' AND retries >= 2 THEN 'citation_binding_failure' WHEN failed = 'faithfulness' AND retries >= 2 THEN 'faithfulness_failure' WHEN risky THEN 'compliance_determination_risk' END) AS reason,
+        retries, CASE WHEN failed IN ('binding', 'faithfulness') AND retries < 2 THEN 'generate_answer' ELSE 'respond' END AS next_step FROM f""",
+    "sessions_owned": "SELECT event_id AS session_id, event_type AS title, ts AS updated_at FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id LIMIT 20 OFFSET 3",
     "answer_gate": _ANSWERS + " SELECT answer_id, confidence, reason, coalesce(reason, '') = 'citation_binding_failure' AND attempt < 1 AS needs_retry FROM g",
     "refusal_rates": _ANSWERS + " SELECT coalesce(reason, 'answered') AS outcome, count(*) AS n FROM g GROUP BY 1",
     "audit_page": "SELECT event_id, ts, user_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 50",

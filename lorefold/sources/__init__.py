@@ -57,7 +57,7 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
 def landed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming (slug, sha256) once each, with reused: whether the artifact is known already."""
     known = existing.select("slug", "sha256").distinct().withColumn("reused", F.lit(True))
-    return incoming.dropDuplicates(["slug", "sha256"]).join(known, ["slug", "sha256"], "left").fillna({"reused": False})
+    return incoming.dropDuplicates(["slug", "sha256"]).join(known.hint("merge"), ["slug", "sha256"], "left").fillna({"reused": False})
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -65,6 +65,13 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(F.to_json(F.struct(*sorted(report.columns))).alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_daily_report(report: DataFrame, root: str, date: str) -> str:
+    """A day's report (date as yyyy-MM-dd) under its key; a report of that day is never overwritten."""
+    target = f"{root}/reports/daily-updates/{date}.json"
+    write_report(report, target)
+    return target
+
+
 def write_snapshot(feeds: DataFrame, path: str, stamp: str) -> str:
     """A raw feed kept as it came, by its UTC time (yyyyMMddTHHmmssZ); a snapshot of that time is never overwritten."""
     target = f"{path}/catalog/{stamp}.json"

@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorefold.functions import four_decimals, shown_status, utc_text
-from lorefold.operators import answers, documents, registry
+from lorefold.operators import answers, catalog, documents, registry
 from lorefold.operators.asof import previous
+from lorefold.sources import write_daily_report
 
 UTC = dt.timezone.utc
 
@@ -102,3 +104,45 @@ def test_shown_status(spark):
 def test_payloads_that_are_no_json_are_hidden(spark):
     d = spark.createDataFrame([("not json token=1",), ('{"token": 1}',), (None,)], "p string")
     assert [r[0] for r in d.select(answers.redact(F.col("p"))).collect()] == ['"[REDACTED]"', '{"token":"[REDACTED]"}', None]
+
+
+def test_gate_steps(spark):
+    rows = [
+        # id, text, cards, confidences, retrieval_failed, faithful, attempt -> failed_gate, reason, retries, next_step
+        (1, "a [1]", ["[1]"], [0.9], True, True, 0, "retrieval", "retrieval_failure", 0, "respond"),
+        (2, "a [1]", [], [], False, True, 0, "confidence", "no_evidence", 0, "respond"),
+        (3, "a [1]", ["[1]"], [0.4], False, True, 0, "confidence", "low_confidence", 0, "respond"),
+        (4, "a", ["[1]"], [0.9], False, True, 0, "binding", None, 1, "generate_answer"),
+        (5, "a [2]", ["[1]"], [0.9], False, True, 1, "binding", "citation_binding_failure", 2, "respond"),
+        (6, "a [1]", ["[1]"], [0.9], None, False, 1, "faithfulness", "faithfulness_failure", 2, "respond"),
+        (7, "You are compliant [1]", ["[1]"], [0.9], None, True, 0, None, "compliance_determination_risk", 0, "respond"),
+        (8, "a [1]", ["[1]"], [0.9], None, True, 1, None, None, 1, "respond"),
+    ]
+    schema = "answer_id long, text string, cards array<string>, confidences array<double>, retrieval_failed boolean, faithful boolean, attempt int"
+    d = answers.bind_citations(spark.createDataFrame([r[:7] for r in rows], schema))
+    got = answers.gate_steps(d, max_retries=2).orderBy("answer_id").collect()
+    assert [(r.failed_gate, r.reason, r.retries, r.next_step) for r in got] == [r[7:] for r in rows]
+
+
+def test_lists_of_sessions_and_alerts(spark, tmp_path):
+    at = [dt.datetime(2024, 1, k + 1) for k in range(4)]
+    s = spark.createDataFrame([(3, 7, "c", at[0], at[1]), (1, 7, "a", at[0], at[1]), (2, 8, "b", at[0], at[3]), (4, 7, "d", at[0], at[2])], "session_id long, user_id long, title string, created_at timestamp, updated_at timestamp")
+    assert [r.session_id for r in answers.sessions_page(s, 7, 2).collect()] == [4, 1] and [r.session_id for r in answers.sessions_page(s, 7, 9, 2).collect()] == [3]
+    table = spark.createDataFrame([(1, at[0], "open", "x"), (2, at[1], "open", "gone"), (3, at[2], "resolved", "x")], "alert_id long, detected_at timestamp, status string, slug string")
+    page, audit = registry.alert_list(table, spark.createDataFrame([("x",)], "slug string"), "u1", F.lit(at[3]), "open", 10)
+    assert [(r.alert_id, r.document) for r in page.collect()] == [(2, "withdrawn-document"), (1, "x")]
+    row = audit.first()
+    assert (row.event_type, row.user_id, row.payload) == ("alerts_listed", "u1", '{"status":"open","limit":10,"offset":0}')
+    target = write_daily_report(spark.createDataFrame([(2, "x")], "b int, a string"), str(tmp_path), "2024-01-02")
+    assert target.endswith("/reports/daily-updates/2024-01-02.json") and spark.read.text(target).first()[0] == '{"a":"x","b":2}'
+    with pytest.raises(ValueError):
+        catalog.seeds(spark.createDataFrame([("s", " ")], "slug string, pdf_url string"), 3)
+
+
+def test_document_pages(spark):
+    reg = spark.createDataFrame([("a", None, "Level 2", "active"), ("b", "B", "Draft", "withdrawn")], "slug string, title string, status string, lifecycle_state string")
+    files = spark.createDataFrame([("a", "h1", "raw_pdf", 1), ("a", "h2", "raw_html", 2), ("a", "h1", "raw_html", 0)], "slug string, version_hash string, artifact_kind string, created_at long")
+    chunks = spark.createDataFrame([("a", "h2", 1, "s2"), ("a", "h2", 0, "s1"), ("a", "h2", 2, "s1"), ("a", "h1", 0, "old")], "slug string, version_hash string, chunk_no int, section_id string")
+    a, b = registry.document_pages(reg, files, chunks).orderBy("slug").collect()
+    assert (a.title, a.status, a.versions, a.section_ids) == ("a", "Final", ["h2", "h1"], ["s1", "s2"]) and [tuple(x) for x in a.artifacts] == [("h2", "raw_html"), ("h1", "raw_pdf"), ("h1", "raw_html")]
+    assert (b.title, b.status, b.versions, b.artifacts, b.section_ids) == ("B", "Withdrawn", [], [], [])
