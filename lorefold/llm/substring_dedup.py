@@ -22,10 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorefold.llm.shared import free_names, written
+from lorefold.llm.shared import discard, free_names, written
 
 MIN_CHARS = 40
-PASSAGE = 200  # normalised characters of the runs that the query removes: some 35 words
 HOT = 10_000
 CUTS = {"sentence": r"(?<=\n)|(?<=[.!?] )", "line": r"(?<=\n)", "paragraph": r"(?<=\n\n)(?!\n)"}
 
@@ -84,7 +83,9 @@ def repeated(
     gone = gone.groupBy("id", "h", "no").agg(F.max("size").alias("size"))
     gone = gone.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy("id", "h").orderBy("no")))
     gone = gone.withColumn("whole", F.sum("size").over(Window.partitionBy("id", "h", "run"))).where(f"whole >= {min_chars}")
-    return gone.groupBy("id", "h").agg(F.array_sort(F.collect_list("no")).alias("gone"))
+    out = written(gone.groupBy("id", "h").agg(F.array_sort(F.collect_list("no")).alias("gone")), "unit-places")
+    discard(u, first, hits)
+    return out
 
 
 def without_repeats(
@@ -116,7 +117,7 @@ def without_repeats(
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    d = without_repeats(docs, min_chars=PASSAGE)
+    d = without_repeats(docs)
     return d.select(
         "doc_id",
         "n_units",
@@ -134,7 +135,7 @@ n AS (SELECT doc_id, no, u, trim(regexp_replace(u, '[ \\t\\n\\x0b\\f\\r]+', ' ',
     coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
 r AS (SELECT *, t <> '' AND row_number() OVER (PARTITION BY lower(t) ORDER BY doc_id, no) > 1 AS again FROM n),
 k AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id, again ORDER BY no) AS run FROM r),
-m AS (SELECT *, again AND sum(length(t)) OVER (PARTITION BY doc_id, again, run) >= 200 AS gone FROM k),
+m AS (SELECT *, again AND sum(length(t)) OVER (PARTITION BY doc_id, again, run) >= 40 AS gone FROM k),
 g AS (SELECT doc_id, CAST(count(*) AS INT) AS n_units, CAST(sum(CAST(gone AS INT)) AS INT) AS n_removed,
     coalesce(string_agg(CASE WHEN gone THEN start::BIGINT || '-' || (start + length(u))::BIGINT END, ',' ORDER BY no), '') AS removed,
     coalesce(string_agg(CASE WHEN NOT gone THEN u END, '' ORDER BY no), '') AS clean FROM m GROUP BY doc_id)
