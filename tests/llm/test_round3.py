@@ -272,3 +272,26 @@ def test_attribute_words_are_read_to_their_end():
 
     long = html_text.parse(f'<div class="{"x " * 2000}navbar"><p>a')
     assert long.names[1] & (1 << html_text._GROUP_OF["navbar"])
+
+
+# ---- queries over tables with null and repeated ids and clashing columns ----
+
+
+def test_queries_bear_odd_tables(spark, tmp_path):
+    from lorefold.llm.queries import QUERIES
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=5))
+    texts = [" ".join(word() for _ in range(rnd.choice([1, 8, 60]))) for _ in range(24)] + [None, "", "  \n\t", "same words in both rows here", "same words in both rows here", "x" * 30_000]
+    rows = [(k if k % 7 else None, t, "ab"[k % 2] if k % 5 else None, "s", 1, "v", 2.0) for k, t in enumerate(texts)]
+    rows += [(3, "another text of a repeated id", "a", "s", 1, "v", 2.0), rows[3], rows[3]]
+    extra = ("fingerprint", "component_id", "score", "n_tokens", "target", "rank", "word", "h", "node", "row")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, size double")
+    df = df.selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(extra)])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("op3_fingerprint", "op4_mixing", "op5_katz_scores", "op6_ngram_join", "op8_language_id", "op9_token_count"):
+        out = QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows), name
+    df.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("op3_fingerprint", "op4_mixing", "op5_katz_scores", "op6_ngram_join", "op8_language_id", "op9_token_count", "op13_spelling"):
+        assert QUERIES[name](spark, f"{tmp_path}/none").count() == 0, name
