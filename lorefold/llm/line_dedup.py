@@ -4,21 +4,23 @@ A line is normalised (trimmed, white space to one space, lower-cased); its set i
 characters. Each run is hashed once, and a line keeps about its KEPT least hashes (bottom-k MinHash, one permutation): those
 below KEPT by its number of runs, or KEPT of all its runs where it repeats itself so much that fewer than LEAST are left. ROWS
 neighbours in the order of hashes make a band; of the bands that begin at every hash those count whose first hash is a multiple
-of EVERY, or all where a line has fewer than SHORT hashes: some 12 a line. By simulation a pair at 0.76 shares no band with a
+of EVERY, or all where a line has fewer than SHORT hashes: some 12 a line. Lines of up to TINY runs have bands of PAIR neighbours, and from
+MIXED + 1 runs on both kinds, so that near lines always have one kind in common. By simulation a pair at 0.76 shares no band with a
 probability of 1 to 4 %, at 0.8 of 1 %, at 0.85 of less than 1 %.
 
 Candidates are lines that share a band's key. They are compared exactly, by their sets of runs. First every line of a band meets the
 band's least line; the lines of a band that are then in different stars of links meet each other: in bands of up to
 SMALL lines directly; larger ones meet a few of their lines in turn, and what is then still apart meets where it shares one of its
 rarest runs too, as near lines must. Members of the band's largest star need not meet each other. Links join up to components (large-star, small-star), and of a component's
-occurrences the one of least (id, text, line number) stays. Lines of fewer than MIN_CHARS normalised characters always stay.
+occurrences the one of least (id, text, line number) stays. Short lines are lines as others: one of fewer than WIDTH characters is a single
+run, so it is near nothing but its own repeats.
 
 Scale: equal lines are one node, so a line that a third of all rows hold is summed up before anything else; near copies of one
 line cost one comparison each; runs are hashed as small rows, of which all but the least are dropped before they are grouped;
 the joins can be split by Spark where a key is frequent. Nodes are 64-bit hashes of lines: at 10**11 distinct lines a few
 hundred may be confused with another.
 
-Edge cases: null texts have no lines and stay null; empty lines stay; rows that repeat an id are texts of their own unless their
+Edge cases: null texts have no lines and stay null; lines that are empty or blank stay; rows that repeat an id are texts of their own unless their
 texts are equal too (then they are one, and keep the same lines); null ids come last; a line however long is one
 line; an empty table gives an empty result; other columns are kept, whatever their names.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lorefold.llm.shared import components, discard, free_names, relabelled, written
 
 WIDTH, ROWS = 8, 4
-MIN_CHARS = 16
+TINY, MIXED, PAIR = 12, 8, 2
 KEPT, EVERY, SHORT, LEAST = 40, 3, 30, 12
 SMALL, ROUNDS = 64, 4
 FEW = 500_000
@@ -40,7 +42,7 @@ THRESHOLD = 0.75
 
 
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, h, no, t, node) of the lines that are long enough; h: hash of the whole text."""
+    """Rows (id, h, no, t, node) of the lines that aren't blank; h: hash of the whole text."""
     # whole texts are lower-cased and searched for blanks to be joined: nearly none has any
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.explode(F.array(F.lower(F.col(text)))).alias("t"))
     odd = F.lit(False)
@@ -49,7 +51,7 @@ def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     single = F.when(odd, F.regexp_replace("t", "[ \\t\\x0b\\f\\r]+", " ")).otherwise(F.col("t"))
     rows = rows.select("id", "h", F.posexplode(F.split(single, "\n")).alias("no", "t"))
     # a generated row of one keeps Spark from trimming again for each use
-    rows = rows.select("id", "h", "no", F.explode(F.array(F.trim("t"))).alias("t")).where(F.length("t") >= MIN_CHARS)
+    rows = rows.select("id", "h", "no", F.explode(F.array(F.trim("t"))).alias("t")).where("t <> ''")
     return rows.withColumn("node", F.xxhash64("t"))
 
 
@@ -98,9 +100,11 @@ def sketches_of_few(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def bands(sketched: DataFrame) -> DataFrame:
     """Rows (node, key): keys of runs of ROWS neighbours in the sketches; key is null, once, where a sketch holds too little."""
     few = f"size(s) < {LEAST} AND n > size(s)"
-    at = F.expr(f"sequence(1, IF({few}, 1, greatest(size(s) - {ROWS - 1}, 1)))")
-    w = sketched.select("node", "n", "s", F.explode(at).alias("p")).where(f"size(s) < {SHORT} OR element_at(s, p) % {EVERY} = 0")
-    return w.select("node", F.expr(f"IF({few}, NULL, xxhash64(slice(s, p, {ROWS})))").alias("key"))
+    sizes = F.expr(f"CASE WHEN {few} OR n > {TINY} THEN array({ROWS}) WHEN n > {MIXED} THEN array({PAIR}, {ROWS}) ELSE array({PAIR}) END")
+    sized = sketched.select("node", "n", "s", F.explode(sizes).alias("w"))
+    at = F.expr(f"sequence(1, IF({few}, 1, greatest(size(s) - w + 1, 1)))")
+    w = sized.select("node", "n", "s", "w", F.explode(at).alias("p")).where(f"size(s) < {SHORT} OR element_at(s, p) % {EVERY} = 0")
+    return w.select("node", F.expr(f"IF({few}, NULL, xxhash64(slice(s, p, w)))").alias("key"))
 
 
 def _of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -125,7 +129,8 @@ def near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1)))
     sets = named(both, a=runs("x"), b=runs("y"))
     counts = named(sets, n=F.size("a") + F.size("b"), common=F.size(F.array_intersect("a", "b")))
-    return counts.where((1 + threshold) * F.col("common") >= threshold * F.col("n")).select("u", "v")
+    alike = (F.col("common") > 0) & ((1 + threshold) * F.col("common") >= threshold * F.col("n"))
+    return counts.where(alike).select("u", "v")
 
 
 def prefixes(texts: DataFrame, threshold: float) -> DataFrame:

@@ -89,6 +89,33 @@ def test_line_dedup_joins_clusters_of_edited_lines(spark):
     assert sum(got[a] == got[b] for a, b in want) >= 0.97 * len(want) and len(want) > 500
 
 
+def test_short_lines_are_compared_like_others(spark):
+    rows = [
+        (1, "yes\n\n \nchapter one of it"),
+        (2, "no\n\n YES\n \nchapter one of its"),  # 9 of 10 runs
+        (3, "yes\nchapter 1\nno"),
+        (4, "chapter 2\nyess\n----------------------"),
+        (5, "x\n----------------------\nx"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "no\n\n ", 3: "chapter 1", 4: rows[3][1], 5: "x"}
+
+
+def test_short_lines_find_what_brute_force_finds(spark):
+    r = random.Random(21)
+    make = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    text = []
+    for k in range(300):  # from 8 to 30 characters, one more behind it
+        t = make(8 + k % 23)
+        text += [t, t + make(1)]
+    rows = line_dedup.lines(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), "doc_id", "text")
+    place = {x["node"]: x["id"] for x in rows.collect()}
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in text]
+    want = {(k, k + 1) for k in range(0, 600, 2) if len(sets[k] & sets[k + 1]) >= 0.75 * len(sets[k] | sets[k + 1])}
+    got = {tuple(sorted((place[x["u"]], place[x["v"]]))) for x in line_dedup.links(rows).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 200
+
+
 def test_lines_that_repeat_themselves_meet(spark):
     same = "once more and over again it goes on " * 30
     rows = [(1, same), (2, same + "at last"), (3, "quite another line " * 40)]
