@@ -8,7 +8,9 @@ of EVERY, or all where a line has fewer than SHORT hashes: some 12 a line. Lines
 MIXED + 1 runs on both kinds, so that near lines always have one kind in common. By simulation a pair at 0.76 shares no band with a
 probability of 1 to 4 %, at 0.8 of 1 %, at 0.85 of less than 1 %.
 
-Candidates are lines that share a band's key. They are compared exactly, by their sets of runs. First every line of a band meets the
+Candidates are lines that share a band's key. Those whose sketches, below the hash that both lines keep, agree in less than the threshold
+minus SLACK are left out: by the binomial law 0.2 % of pairs at 0.75, less than 1 in 10,000 from 0.8 on. The others are compared exactly, by
+their sets of runs; so are pairs whose sketches hold fewer than LEAST hashes. First every line of a band meets the
 band's least line; the lines of a band that are then in different stars of links meet each other: in bands of up to
 SMALL lines directly; larger ones meet a few of their lines in turn, and what is then still apart meets where it shares one of its
 rarest runs too, as near lines must. Members of the band's largest star need not meet each other. Links join up to components (large-star, small-star), and of a component's
@@ -38,7 +40,7 @@ KEPT, EVERY, SHORT, LEAST = 40, 3, 30, 12
 SMALL, ROUNDS = 64, 4
 FEW = 500_000
 SAMPLE_LINES, FREQUENT = 20_000, 20_000
-THRESHOLD = 0.75
+THRESHOLD, SLACK = 0.75, 0.2
 
 
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -75,13 +77,13 @@ def _coded(texts: DataFrame) -> DataFrame:
     return texts.select("node", F.encode("t", "UTF-16BE").alias("b"))
 
 
-def sketches(rows: DataFrame) -> DataFrame:
-    """Rows (node, n, s): number of runs and the least hashes, ascending, of each distinct line: about KEPT, or all of them.
+def sketches(texts: DataFrame) -> DataFrame:
+    """Rows (node, n, s): number of runs and the least hashes, ascending, of distinct lines (node, t): about KEPT, or all of them.
 
     A run is kept by its hash alone, below a limit that is KEPT by the line's number of runs: so nearly no row of a run is
     grouped. Lines that repeat themselves keep too few that way; sketches_of_few looks at these again.
     """
-    b = _coded(_texts(rows)).select("node", "b", F.expr(f"{_last('b')} + 1").alias("n"))
+    b = _coded(texts).select("node", "b", F.expr(f"{_last('b')} + 1").alias("n"))
     b = b.select("node", "b", "n", F.explode(F.expr("sequence(1, 2 * n - 1, 2)")).alias("i"))
     h = b.select("node", "n", "i", F.expr(_run("b", "i")).alias("h"))
     kept = f"shiftrightunsigned(h, 32) * n <= {KEPT}L << 32"
@@ -119,8 +121,23 @@ def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(_texts(_of_nodes(rows.select("node", "t"), written(ends, "line-ends"))), "line-texts")
 
 
+def _likely(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (u, v) those that may be near by the sketches of both lines; texts: (node, t)."""
+    sketched = sketches(texts)
+    a = sketched.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("s").alias("su"))
+    b = sketched.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("s").alias("sv"))
+    both = pairs.join(b.hint("merge"), "v").join(a.hint("merge"), "u")
+    # of each line's hashes those that the other line would have kept too
+    least = lambda s: F.filter(s, lambda h: F.shiftright(h, 31) * F.greatest("nu", "nv") <= (KEPT << 32))
+    both = both.select("u", "v", least("su").alias("su"), least("sv").alias("sv"))
+    common = F.size(F.array_intersect("su", "sv"))
+    counts = both.select("u", "v", common.alias("common"), (F.size("su") + F.size("sv") - common).alias("n"))
+    return counts.where((F.col("n") < LEAST) | (F.col("common") >= (threshold - SLACK) * F.col("n"))).select("u", "v")
+
+
 def near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (u, v) those whose lines are near, exactly; texts: (node, t)."""
+    """Of likely pairs (u, v) those whose lines are near, exactly; texts: (node, t)."""
+    pairs = written(_likely(pairs, texts, threshold), "line-likely")
     a = texts.select(F.col("node").alias("u"), F.col("t").alias("x"))
     b = texts.select(F.col("node").alias("v"), F.col("t").alias("y"))
     both = pairs.join(b.hint("merge"), "v").join(a.hint("merge"), "u")
@@ -166,7 +183,7 @@ def _apart(at: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:
 
 def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (u, v): nodes whose lines were compared and are near. rows is read several times: best a written table."""
-    keys = written(bands(sketches(rows)), "line-bands")
+    keys = written(bands(sketches(_texts(rows))), "line-bands")
     few = written(keys.where("key IS NULL").select("node"), "line-few")
     every = keys
     if few.limit(1).count():
