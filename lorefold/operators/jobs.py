@@ -94,11 +94,8 @@ def version_evidence(requests: DataFrame, chunks: DataFrame, k: int = 20, rerank
     requests: query_id, text, slug, version_hash; chunks: doc_id, slug, version_hash, text. The k best by words, reranked by overlap.
     """
     retrieval.check_k(k, rerank_k)
-    here = requests.select("query_id", "slug", "version_hash")
-    wanted = here.select("slug", "version_hash").distinct()
-    scored = retrieval.scores(requests, chunks, chunks.join(wanted.hint("merge"), ["slug", "version_hash"], "left_semi").select("doc_id"))
-    scored = scored.join(chunks.select("doc_id", "slug", "version_hash").hint("merge"), "doc_id").join(here.hint("merge"), ["query_id", "slug", "version_hash"])
-    found = retrieval.top(scored.select("query_id", "doc_id", "score"), "score", "doc_id", k)
+    version = F.when(F.col("slug").isNotNull() & F.col("version_hash").isNotNull(), F.to_json(F.struct("slug", "version_hash")))
+    found = retrieval.bm25(requests, chunks, k, own=version)
     return retrieval.rerank(found, requests, chunks, rerank_k).select("query_id", "doc_id", "rank", "rerank_score")
 
 

@@ -90,7 +90,8 @@ def _chunks(spark, d):
 def evidence_gaps(spark, d):
     """Cards, with the first field that each lacks."""
     chunks = _chunks(spark, d)
-    cards = R.cards(R.fallback(R.fuse(R.bm25(_queries(spark, d), _plain(spark, d), 20).limit(0), R.bm25(_queries(spark, d), _plain(spark, d), 20), 10), 5), chunks)
+    keyword = R.bm25(_queries(spark, d), _plain(spark, d), 20)
+    cards = R.cards(R.fallback(R.fuse(keyword.limit(0), keyword, 10), 5), chunks)
     return cards.select("query_id", "citation_id", "doc_id", "page_number", "confidence", "missing")
 
 
