@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefold.functions import fingerprint, shown_status, status_of, utc_text
 from lorefold.operators.answers import audit_rows
 from lorefold.operators.asof import previous
+from lorefold.operators.pieces import rows_to_rows
 
 
 def last_wins(feed: DataFrame, key: str, order: str) -> DataFrame:
@@ -193,16 +192,11 @@ def text_diff(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda name: parts.select("slug", F.col("version_hash").alias(name), F.col("t").alias(f"{name}_t")).hint("merge")
     j = pairs.join(side("previous"), ["slug", "previous"], "left").join(side("current"), ["slug", "current"], "left")
 
-    def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for slug, p, c, a, z in zip(b["slug"], b["previous"], b["current"], b["previous_t"], b["current_t"], strict=True):
-                old, new = (list(t) if t is not None else [] for t in (a, z))
-                lines = difflib.unified_diff(old, new, f"{slug}@{p[:12]}", f"{slug}@{c[:12]}", lineterm="")
-                rows += [(slug, k, line) for k, line in enumerate(lines)]
-            yield pd.DataFrame(rows, columns=["slug", "line_no", "line"])
+    def diff(slug, p, c, a, z):
+        lines = difflib.unified_diff(a or [], z or [], f"{slug}@{p[:12]}", f"{slug}@{c[:12]}", lineterm="")
+        return ((slug, k, line) for k, line in enumerate(lines))
 
-    return j.select("slug", "previous", "current", "previous_t", "current_t").mapInPandas(diff, "slug string, line_no int, line string")
+    return rows_to_rows(j.select("slug", "previous", "current", "previous_t", "current_t"), diff, "slug string, line_no int, line string")
 
 
 def document_views(versions: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_stored import close, scored, texts
 
 from lorefold.operators import jobs as J
 from lorefold.operators import lexical_index as X
+from lorefold.operators import pieces
 from lorefold.operators import retrieval as R
 
 
@@ -76,3 +78,22 @@ def test_index_shards_hold_whole_rows_and_score_by_themselves(spark, monkeypatch
         for k, q in queries:
             assert close(got.get(k, []), [(f"d{i:04}", s) for i, s in brute(docs, q, 5, some)]), q
     X.remove(index)
+
+
+def test_row_functions_hand_on_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "PIECE", 1_000)
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    def make(k, text):
+        for _ in range(k % 4):
+            yield k, text or ""
+
+    run = pieces.rows_to_rows(Rows(), make, "k long, text string")
+    rows = [(k, None if k % 5 == 0 else "é" * (k * 7)) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["k", "text"])
+    out = list(run(iter([batch, batch.slice(0, 0)])))
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(k, t or "") for k, t in rows for _ in range(k % 4)]
+    assert max(sum(len(t) for t in b.column("text").to_pylist()) for b in out) < 1_000 + 60 * 7  # one batch in, one batch out before
