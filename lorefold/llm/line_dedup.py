@@ -8,12 +8,11 @@ of EVERY, or all where a line has fewer than SHORT hashes: some 12 a line. Lines
 MIXED + 1 runs on both kinds, so that near lines always have one kind in common. By simulation a pair at 0.76 shares no band with a
 probability of 1 to 4 %, at 0.8 of 1 %, at 0.85 of less than 1 %.
 
-Candidates are lines that share a band's key. Those whose sketches, below the hash that both lines keep, agree in less than the threshold
-minus SLACK are left out: by the binomial law 0.2 % of pairs at 0.75, less than 1 in 10,000 from 0.8 on. The others are compared exactly, by
-their sets of runs; so are pairs whose sketches hold fewer than LEAST hashes. First every line of a band meets the
-band's least line; the lines of a band that are then in different stars of links meet each other: in bands of up to
-SMALL lines directly; larger ones meet a few of their lines in turn, and what is then still apart meets where it shares one of its
-rarest runs too, as near lines must. Members of the band's largest star need not meet each other. Links join up to components (large-star, small-star), and of a component's
+Candidates are lines that share a band's key. Of each line's runs a bit for each of 1,024 classes tells whether the line has an odd number of
+them; two sets differ in at least as many runs as bits, and near ones in a seventh of their sizes at most, so pairs whose bits differ more are
+left out without loss. The others are compared exactly, by the hashes of all their runs. First every line meets the least line of all its
+bands; then every band that holds lines not linked yet meets one of its lines, twice, another one each time; what is apart then meets
+all of its band, but for the members of the band's largest component among each other. Links join up to components (large-star, small-star), and of a component's
 occurrences the one of least (id, text, line number) stays. Short lines are lines as others: one of fewer than WIDTH characters is a single
 run, so it is near nothing but its own repeats.
 
@@ -29,7 +28,9 @@ line; an empty table gives an empty result; other columns are kept, whatever the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorefold.llm.shared import components, discard, free_names, relabelled, written
@@ -37,10 +38,10 @@ from lorefold.llm.shared import components, discard, free_names, relabelled, wri
 WIDTH, ROWS = 8, 4
 TINY, MIXED, PAIR = 12, 8, 2
 KEPT, EVERY, SHORT, LEAST = 40, 3, 30, 12
-SMALL, ROUNDS = 64, 4
+ROUNDS = 3
 FEW = 500_000
-SAMPLE_LINES, FREQUENT = 20_000, 20_000
-THRESHOLD, SLACK = 0.75, 0.2
+THRESHOLD = 0.75
+PARITY = [f"p{k}" for k in range(16)]
 
 
 def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -115,74 +116,57 @@ def _of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, "node", "left_semi")
 
 
-def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows (node, t) of the lines of pairs (u, v)."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    return written(_texts(_of_nodes(rows.select("node", "t"), written(ends, "line-ends"))), "line-texts")
-
-
-def _likely(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (u, v) those that may be near by the sketches of both lines; texts: (node, t)."""
-    sketched = sketches(texts)
-    a = sketched.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("s").alias("su"))
-    b = sketched.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("s").alias("sv"))
-    both = pairs.join(b.hint("merge"), "v").join(a.hint("merge"), "u")
-    # of each line's hashes those that the other line would have kept too
-    least = lambda s: F.filter(s, lambda h: F.shiftright(h, 31) * F.greatest("nu", "nv") <= (KEPT << 32))
-    both = both.select("u", "v", least("su").alias("su"), least("sv").alias("sv"))
-    common = F.size(F.array_intersect("su", "sv"))
-    counts = both.select("u", "v", common.alias("common"), (F.size("su") + F.size("sv") - common).alias("n"))
-    return counts.where((F.col("n") < LEAST) | (F.col("common") >= (threshold - SLACK) * F.col("n"))).select("u", "v")
-
-
-def near(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of likely pairs (u, v) those whose lines are near, exactly; texts: (node, t)."""
-    pairs = written(_likely(pairs, texts, threshold), "line-likely")
-    a = texts.select(F.col("node").alias("u"), F.col("t").alias("x"))
-    b = texts.select(F.col("node").alias("v"), F.col("t").alias("y"))
-    both = pairs.join(b.hint("merge"), "v").join(a.hint("merge"), "u")
-    # all runs at once, by a look-ahead at each character; generated rows of one keep Spark from making a value for each use
-    named = lambda df, **c: df.select("u", "v", F.inline(F.array(F.struct(*[x.alias(n) for n, x in c.items()]))))
-    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1)))
-    sets = named(both, a=runs("x"), b=runs("y"))
-    counts = named(sets, n=F.size("a") + F.size("b"), common=F.size(F.array_intersect("a", "b")))
-    alike = (F.col("common") > 0) & ((1 + threshold) * F.col("common") >= threshold * F.col("n"))
-    return counts.where(alike).select("u", "v")
-
-
-def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """Rows (node, n, run): the size of each line's set and its rarest runs, so many that near lines share one of them.
-
-    Near sets share at least threshold of either; so in any one order of all runs the first n - threshold * n + 1 runs
-    of the one meet those of the other. Frequent runs, counted on a sample, come last: this changes the work, never the pairs.
-    """
-    of = lambda t: t.select("node", "b", F.explode(F.expr(f"sequence(1, 2 * {_last('b')} + 1, 2)")).alias("i")).select("node", F.expr(_run("b", "i")).alias("run")).distinct()
-    rate = min(1.0, SAMPLE_LINES / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
-    often = of(sample).groupBy("run").agg(F.count("*").alias("f")).where("f > 1")
-    often = written(often.orderBy(F.desc("f"), "run").limit(FREQUENT), "line-frequent")
-    runs = of(texts).join(F.broadcast(often), "run", "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "run")))
-    ordered = runs.groupBy("node").agg(order.alias("r")).select("node", F.size("r").alias("n"), "r")
-    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-6).cast("int") + 1
-    return ordered.select("node", "n", F.explode(F.slice("r", 1, F.least(first, F.col("n")))).alias("r")).select("node", "n", "r.run")
-
-
-def _apart(at: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:
-    """Pairs (u, v) of rows (key, node, n, c) of one key, different components and numbers of runs that allow it."""
+def _hashed(bytes_: str) -> str:
+    """SQL: the hashes of all runs of a UTF-16 binary column."""
+    return f"transform(sequence(1, 2 * {_last(bytes_)} + 1, 2), i -> {_run(bytes_, 'i')})"
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """Rows (node, n, p0, ...) of lines (node, t): the size of each set, and a bit for each class of runs that tells whether it has an odd number of them."""
+    sets = _coded(texts).select("node", F.explode(F.array(F.expr(f"array_distinct({_hashed('b')})"))).alias("a"))
+    runs = sets.select("node", F.size("a").alias("n"), F.explode("a").alias("h"))
+    bit = lambda k: F.expr(f"bit_xor(IF(shiftrightunsigned(h, 56) % {len(PARITY)} = {k}, shiftleft(1L, CAST(h & 63 AS INT)), 0L))")
+    return runs.groupBy("node").agg(F.first("n").alias("n"), *[bit(k).alias(p) for k, p in enumerate(PARITY)])
+
+
+def _side(odd: DataFrame, end: str) -> DataFrame:
+    """Parities (node, n, p0, ...) with columns named after one end of pairs: u, nu, up0, ..."""
+    return odd.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), *[F.col(p).alias(f"{end}{p}") for p in PARITY])
+
+
+def _may(threshold: float) -> str:
+    """SQL: whether the sets of u and v can be near by their sizes and parities: near sets differ in few runs, and in at least as many as bits differ."""
+    bits = " + ".join(f"bit_count(u{p} ^ v{p})" for p in PARITY)
+    return f"least(nu, nv) >= {threshold} * greatest(nu, nv) - 1e-6 AND {1 + threshold} * ({bits}) <= {1 - threshold} * (nu + nv) + 1e-6"
+
+
+def near(pairs: DataFrame, odd: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (u, v) those whose lines are near, by all their runs; odd: parities, texts: (node, t)."""
+    may = pairs.join(_side(odd, "u").hint("merge"), "u").join(_side(odd, "v").hint("merge"), "v").where(_may(threshold)).select("u", "v", "nu", "nv")
+    x = texts.select(F.col("node").alias("u"), F.col("t").alias("x"))
+    y = texts.select(F.col("node").alias("v"), F.col("t").alias("y"))
+    both = may.join(y.hint("merge"), "v").join(x.hint("merge"), "u")
+    # a generated row of one keeps Spark from coding the lines again for each run
+    ends = F.struct("u", "v", (F.col("nu") + F.col("nv")).alias("n"), *[F.encode(c, "UTF-16BE").alias(c) for c in ("x", "y")])
+    common = F.expr(f"size(array_intersect({_hashed('x')}, {_hashed('y')}))")
+    return both.select(F.inline(F.array(ends))).where((1 + threshold) * common >= threshold * F.col("n") - 1e-6).select("u", "v")
+
+
+def _apart(at: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of rows (key, node, c) of one key and different components that may be near."""
     # members of the key's largest component need no comparison with each other
-    parts = at.groupBy(key, "c").agg(F.count("*").alias("k"))
-    main = parts.groupBy(key).agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    some = at.join(main.select(key, F.col("m.c").alias("main")).hint("merge"), key)
-    a = some.where("c <> main").select(key, F.col("node").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
-    b = some.select(key, F.col("node").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), "main")
-    pairs = a.join(b.hint("merge"), key).where("cu <> cv AND (cv = main OR u < v)")
-    pairs = pairs.where(F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-6)
+    parts = at.groupBy("key", "c").agg(F.count("*").alias("k"))
+    main = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
+    some = at.join(main.hint("merge"), "key")
+    a = some.where("c <> main").select("key", F.col("node").alias("u"), F.col("c").alias("cu")).join(_side(odd, "u").hint("merge"), "u")
+    b = some.select("key", "main", F.col("node").alias("v"), F.col("c").alias("cv")).join(_side(odd, "v").hint("merge"), "v")
+    meet = F.expr(f"cu <> cv AND (cv = main OR u < v) AND {_may(threshold)}")
+    pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & meet)
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (u, v): nodes whose lines were compared and are near. rows is read several times: best a written table."""
+    """Rows (u, v), written: nodes whose lines were compared and are near. rows is read several times: best a written table."""
     keys = written(bands(sketches(_texts(rows))), "line-bands")
     few = written(keys.where("key IS NULL").select("node"), "line-few")
     every = keys
@@ -190,51 +174,43 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         every = keys.where("key IS NOT NULL").union(bands(sketches_of_few(rows, few)))
     hubs = every.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n"))
     hubs = written(hubs.where("n > 1"), "line-hubs")
-    more = hubs.where("n > 2").select("key", "u", "n")
-    more = F.broadcast(more) if more.count() <= FEW else more.hint("merge")  # 24 bytes each
-    members = written(every.join(more, "key"), "line-members")
-    pairs = hubs.where("n = 2").select("u", "v").union(members.where("node <> u").select("u", F.col("node").alias("v")))
-    pairs = written(pairs.distinct(), "line-pairs")
+    more = hubs.where("n > 2").select("key", "u")
+    more = F.broadcast(more) if more.count() <= FEW else more.hint("merge")  # 16 bytes each
+    two = hubs.where("n = 2").select("key", F.explode(F.array("u", "v")).alias("node"), "u")
+    members = written(every.join(more, "key").select("key", "node", "u").union(two), "line-members")
     discard(keys, few, hubs)
-    texts = _texts_of(rows, pairs)
-    first = written(near(pairs, texts, threshold), "line-links")
-    discard(texts)
-
-    # the members of a band that are still apart: those of two are compared already
-    label = relabelled(None, first)
-    left = written(_still_apart(members.where("n > 2").select("key", "n", "node"), label), "line-left")
-    links, large = first, left.where(f"n > {SMALL}").select("key", "n", "node")
-    more = None
-    if large.limit(1).count():
-        nodes = written(large.select("node").distinct(), "line-ends")
-        texts = written(_texts(_of_nodes(rows.select("node", "t"), nodes)), "line-texts")
-        for r in range(ROUNDS):  # each band meets one of its lines, another one each time
-            at = written(_still_apart(large, label), "line-large")
-            large = at.select("key", "n", "node")
-            if not at.limit(1).count():
-                break
+
+    nodes = written(members.select("node").distinct(), "line-ends")
+    texts = written(_texts(_of_nodes(rows.select("node", "t"), nodes)), "line-texts")
+    odd = written(parities(texts), "line-parities")
+    discard(nodes)
+    # first every line meets the least line of all its bands
+    pairs = members.groupBy("node").agg(F.min("u").alias("u")).where("u < node").select("u", F.col("node").alias("v"))
+    found = [written(near(pairs, odd, texts, threshold), "line-links")]
+    label, left = relabelled(None, found[0]), members
+    for r in range(ROUNDS):  # each band that is still apart meets one of its lines, another one each time; at last all that may be near
+        at = written(_still_apart(left, label), "line-left")
+        discard(left)
+        left = at
+        if not at.limit(1).count():
+            break
+        if r + 1 == ROUNDS:
+            pairs = _apart(at, odd, threshold)
+        else:
             hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "c")).alias("h"))
-            pairs_ = at.join(hub.hint("merge"), "key").where("c <> h.c")
-            pairs_ = pairs_.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
-            new = written(near(pairs_, texts, threshold), "line-links")
-            links, label = links.union(new), relabelled(label, new)
-        at = written(_still_apart(large, label), "line-large")
-        if at.limit(1).count():
-            nodes = written(at.select("node").distinct(), "line-ends")
-            runs = prefixes(_coded(texts.join(nodes.hint("merge"), "node", "left_semi")), threshold).join(at.drop("n").hint("merge"), "node")
-            runs = written(runs.select(F.xxhash64("key", "run").alias("run"), "node", "n", "c"), "line-runs")
-            more = _apart(runs, "run", threshold)
-        left = written(_still_apart(left.where(f"n <= {SMALL}").select("key", "n", "node"), label), "line-left")
-    small = _apart(left.where(f"n <= {SMALL}"), "key")
-    more = small if more is None else small.union(more).distinct()
-    more = written(more.join(pairs.hint("merge"), ["u", "v"], "left_anti"), "line-pairs")
-    discard(members, left)
-    return links.union(near(more, _texts_of(rows, more), threshold))
+            pairs = at.join(hub.hint("merge"), "key").where("c <> h.c")
+            pairs = pairs.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+        found.append(written(near(pairs, odd, texts, threshold), "line-links"))
+        if r + 1 < ROUNDS:
+            before, label = label, relabelled(label, found[-1])
+            discard(before)
+    discard(left, label, texts, odd)
+    return reduce(DataFrame.union, found)
 
 
 def _still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows (key, n, node, c) of members of the bands that hold more than one label."""
-    at = members.join(label.hint("merge"), "node", "left").select("key", "n", "node", F.coalesce("c", "node").alias("c"))
+    """Rows (key, node, c) of members of the bands that hold more than one label."""
+    at = members.select("key", "node").join(label.hint("merge"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
     apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     return at.join(apart.hint("merge"), "key", "left_semi")
 
