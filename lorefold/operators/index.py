@@ -83,6 +83,14 @@ def without_versions(table: DataFrame, versions: DataFrame, slug: str = "documen
     return table.join(v.hint("merge"), [slug, "version_hash"], "left_anti")
 
 
+def without(table: DataFrame, versions: DataFrame, documents: DataFrame, slug: str = "document_slug") -> DataFrame:
+    """table less the rows of (slug, version_hash) and all rows of the documents (slug), in one join that doesn't sort the table's wide rows."""
+    v = versions.select("slug", "version_hash", F.lit(False).alias("_all"))
+    gone = v.unionByName(documents.select("slug", F.lit(None).cast("string").alias("version_hash"), F.lit(True).alias("_all"))).distinct()
+    gone = gone.select(F.col("slug").alias("_slug"), F.col("version_hash").alias("_version"), "_all")
+    return table.join(gone.hint("shuffle_hash"), (F.col(slug) == F.col("_slug")) & (F.col("_all") | (F.col("version_hash") == F.col("_version"))), "left_anti")
+
+
 def without_documents(table: DataFrame, documents: DataFrame, slug: str = "document_slug") -> DataFrame:
     """table less all rows of the documents (slug)."""
     return table.join(documents.select(F.col("slug").alias(slug)).distinct().hint("merge"), slug, "left_anti")
@@ -102,8 +110,8 @@ def reindexed(dense: DataFrame, keyword: DataFrame, rows: DataFrame, changed: Da
     new_dense, new_keyword = chunk_rows(rows if parents else rows.where("chunk_type = 'child'")), keyword_documents(rows)
     children = lambda t: t.where("chunk_type = 'child'").withColumnRenamed("document_slug", "slug")
     out = [
-        without_documents(without_versions(dense, changed), withdrawn).unionByName(new_dense),
-        without_documents(without_versions(keyword, changed, "slug"), withdrawn, "slug").unionByName(new_keyword),
+        without(dense, changed, withdrawn).unionByName(new_dense),
+        without(keyword, changed, withdrawn, "slug").unionByName(new_keyword),
     ]
     of = changed.select("slug", "version_hash").distinct()
     sides = {"dense": (children(dense), children(new_dense)), "keyword": (keyword, new_keyword)}

@@ -72,18 +72,21 @@ def filtered_hybrid(spark, d):
 def _rows(spark, d, version: str, where: str):
     """Lines as children of their text, with metadata: the chunks of a version."""
     k = F.col("doc_id")
-    docs = _t(spark, d, "documents").where(where).select("doc_id", k.cast("string").alias("slug"), F.coalesce("text", F.lit("")).alias("text"))
-    name = F.concat("slug", F.lit(f":{version}:"))
-    lines = docs.select("doc_id", "slug", F.posexplode(F.split("text", "\n")).alias("n", "text")).where("trim(text) <> ''")
-    row = lambda df, kind, of, i: df.select("doc_id", "slug", F.concat(name, i).alias("chunk_id"), F.lit(kind).alias("chunk_type"), of.alias("parent_chunk_id"), "text")
-    both = row(docs, "parent", F.lit(None).cast("string"), F.lit("p")).union(row(lines, "child", F.concat(name, F.lit("p")), F.col("n").cast("string")))
-    both = both.withColumns({"version_hash": F.lit(version), "section_id": F.lit("document"), "section_title": F.lit("Document"), "page_number": F.lit(1), "char_start": F.lit(0).cast("long"), "char_end": F.length("text").cast("long"), "token_count": F.size(F.split(F.trim("text"), r"\s+"))})
     meta = _t(spark, d, "documents").where(where).select(
         k.cast("string").alias("slug"), F.coalesce("source", F.lit("none")).alias("title"), F.lit(version).alias("version_hash"), F.lit("Final").alias("status"), F.lit("active").alias("lifecycle_state"), F.col("lang").alias("center"),
         F.lit("office").alias("issuing_office"), F.lit("guide").alias("communication_type"), F.array(F.coalesce("lang", F.lit("-"))).alias("topics"), F.lit("D-1").alias("docket_number"), F.lit("2024-05-06").cast("date").alias("issue_date"),
         F.concat(F.lit("http://h/"), k.cast("string")).alias("source_url"),
     )
-    return I.with_metadata(both, meta)
+    docs = _t(spark, d, "documents").where(where).select("doc_id", k.cast("string").alias("slug"), F.coalesce("text", F.lit("")).alias("text"))
+    # metadata meets whole documents, one row each; of a document's rows number 0 is its text, the others are its lines
+    docs = I.with_metadata(docs.withColumn("version_hash", F.lit(version)), meta)
+    held = [c for c in docs.columns if c not in ("text", "version_hash", "source_url")]
+    rows = docs.select(*held, "version_hash", "source_url", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("n", "text")).where("n = 0 OR trim(text) <> ''")
+    name, whole = F.concat("slug", F.lit(f":{version}:")), F.col("n") == 0
+    return rows.withColumns({
+        "chunk_id": F.concat(name, F.when(whole, "p").otherwise((F.col("n") - 1).cast("string"))), "chunk_type": F.when(whole, "parent").otherwise("child"), "parent_chunk_id": F.when(~whole, F.concat(name, F.lit("p"))),
+        "section_id": F.lit("document"), "section_title": F.lit("Document"), "page_number": F.lit(1), "char_start": F.lit(0).cast("long"), "char_end": F.length("text").cast("long"), "token_count": F.size(F.split(F.trim("text"), r"\s+")),
+    }).drop("n")
 
 
 def atomic_reindex(spark, d):
