@@ -28,11 +28,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefold.llm.bytetext import buffers, distinct_per_row, lowered, mix, shingle_hashes, slices, word_hashes, word_spans
-from lorefold.llm.shared import components, discard, free_names, partitions, relabelled, written
+from lorefold.llm.shared import discard, free_names, joined_up, partitions, relabelled, written
 
 SEGMENTS = 0.42  # a token
 DELETIONS_TO = 256  # greatest set size of the bands that index one-deletion neighbours
@@ -40,7 +40,8 @@ SAMPLE_ROWS = 8_000  # for the cost of frequent tokens
 SAMPLE_SHARE = 0.004
 FLUSH = 600_000
 BUCKET_BYTES = 96 << 20  # of signatures, about, that one task matches at once
-ROUNDS = 6
+ROUNDS = 4
+BEFORE = 20  # groups before one in the order of gid of which a set brings some
 PARITY = [f"p{k}" for k in range(8)]
 PROBE, INDEX = 1, 2
 _limits = [1]
@@ -290,8 +291,8 @@ def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return links
 
 
-def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (u, v): links that join up all sets of groups (gid, node, n, flags) which link, directly or over others.
+def group_labels(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node, c), written: sets of groups (gid, node, n, flags) that link, directly or over others, have one c; sets that link with none may be missing.
 
     In each round every group that isn't joined up yet meets one of its members, drawn by a hash that all groups share. What is
     then still apart in a group meets all of its sets but those that are joined up with it; parities keep out most that don't link.
@@ -320,24 +321,31 @@ def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
             pairs, tables = _apart(at, sets)
             found.append(near_links(pairs, sets))
             discard(*tables)
-    discard(*[t for t in (held, label) if t is not None])
-    links = written(reduce(DataFrame.union, found), "all-links")
-    discard(*found)
-    return links
+    out = joined_up(label, reduce(DataFrame.union, found))
+    discard(*[t for t in (held, label) if t is not None], *found)
+    return out
 
 
 def _apart(at: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs (u, v) of one group and different labels that may link: one probes what the other indexes, and parities allow it; and the tables they are read from."""
+    """Pairs (u, v) of one group and different labels that may link: one probes what the other indexes, and parities allow it; and the tables they are read from.
+
+    Sets that nearly link share some hundred groups. Each set brings the groups just before, in the order of gid, and a pair that
+    meets in one of those both brought is left to that one; in the first of its groups nothing comes before, so none is lost.
+    """
     parts = at.groupBy("gid", "c").agg(F.count("*").alias("k"))
     main = parts.groupBy("gid").agg(F.max(F.struct("k", "c")).alias("m")).select("gid", F.col("m.c").alias("main"))
     nodes = written(at.select("node").distinct(), "left-nodes")
     small = sets.select("node", *PARITY).join(nodes.hint("merge"), "node", "left_semi")
+    before = Window.partitionBy("node").orderBy("gid").rowsBetween(-BEFORE, -1)
+    had = lambda flag, most: F.slice(F.reverse(F.collect_list(F.when(F.col("flags").bitwiseAND(flag) > 0, F.col("gid"))).over(before)), 1, most)
+    at = at.withColumns({"probed": had(PROBE, BEFORE // 4), "indexed": had(INDEX, BEFORE // 2)})
     some = at.join(small.hint("merge"), "node").join(main.hint("merge"), "gid")
-    side = lambda df, x, y: df.select("gid", "main", *[F.col(c).alias(n) for c, n in (("node", x), ("n", f"n{x}"), ("flags", f"f{x}"), ("c", f"c{x}"), *((p, f"{y}{p}") for p in PARITY))])
+    side = lambda df, x, y: df.select("gid", "main", *[F.col(c).alias(n) for c, n in (("node", x), ("n", f"n{x}"), ("flags", f"f{x}"), ("c", f"c{x}"), ("probed", f"{x}probed"), ("indexed", f"{x}indexed"), *((p, f"{y}{p}") for p in PARITY))])
     some = written(some, "groups-apart")
     a, b = side(some.where("c <> main"), "u", "a"), side(some, "v", "b").drop("main")
     meets = "((nu >= nv AND fu & 1 = 1 AND fv & 2 = 2) OR (nv >= nu AND fv & 1 = 1 AND fu & 2 = 2))"
     may = f"cu <> cv AND (cv = main OR u < v) AND 4 * least(nu, nv) >= 3 * greatest(nu, nv) AND {meets} AND {_APART} <= (nu + nv) div 7"
+    may += " AND NOT IF(nu >= nv, arrays_overlap(uprobed, vindexed), arrays_overlap(vprobed, uindexed))"
     pairs = a.join(b.hint("merge"), (a["gid"] == b["gid"]) & F.expr(may))
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), [nodes, some]
 
@@ -369,10 +377,9 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     schema = "node long, n long, " + ", ".join(f"{c} long" for c in PARITY) + ", tokens binary"
     sets = written(rows.select("node", "t").mapInArrow(make, schema).dropDuplicates(["node"]), "sets")
-    links = group_links(groups, sets)
-    label = components(links)
-    discard(groups, of, sets, links)
-    placed = sizes.join(label.hint("merge"), "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("c"))
+    label = group_labels(groups, sets)
+    discard(groups, of, sets)
+    placed = sizes.join(label.hint("merge"), "node", "left").select("doc_id", "n", "node", F.coalesce("c", "node").alias("c"))
     least = placed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     full = placed.where("n > 0").join(least.hint("merge"), "c")
     full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
