@@ -11,7 +11,7 @@ probability of 1 to 4 %, at 0.8 of 1 %, at 0.85 of less than 1 %.
 Candidates are lines that share a band's key. Of each line's runs a bit for each of 1,024 classes tells whether the line has an odd number of
 them; two sets differ in at least as many runs as bits, and near ones in a seventh of their sizes at most, so pairs whose bits differ more are
 left out without loss. The others are compared exactly, by the hashes of all their runs. First every line meets the least line of all its
-bands; then every band that holds lines not linked yet meets one of its lines, twice, another one each time; what is apart then meets
+bands; then every band that holds lines not linked yet meets one of its lines, and after that two lines of its largest component; what is apart then meets
 all of its band, but for the members of the band's largest component among each other. Links join up to components (large-star, small-star), and of a component's
 occurrences the one of least (id, text, line number) stays. Short lines are lines as others: one of fewer than WIDTH characters is a single
 run, so it is near nothing but its own repeats.
@@ -30,15 +30,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorefold.llm.shared import components, discard, free_names, relabelled, written
+from lorefold.llm.shared import discard, free_names, joined_up, relabelled, written
 
 WIDTH, ROWS = 8, 4
 TINY, MIXED, PAIR = 12, 8, 2
 KEPT, EVERY, SHORT, LEAST = 40, 3, 30, 12
 ROUNDS = 3
+BEFORE = 16  # keys before one that a line brings, in the last round
 FEW = 500_000
 THRESHOLD = 0.75
 PARITY = [f"p{k}" for k in range(16)]
@@ -153,20 +154,29 @@ def near(pairs: DataFrame, odd: DataFrame, texts: DataFrame, threshold: float) -
 
 
 def _apart(at: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of rows (key, node, c) of one key and different components that may be near."""
+    """Pairs (u, v) of rows (key, node, c) of one key and different components that may be near.
+
+    Lines bring the keys before, in their order, and a pair that shares one of these is left to it: it comes once, of the first key it shares.
+    """
     # members of the key's largest component need no comparison with each other
     parts = at.groupBy("key", "c").agg(F.count("*").alias("k"))
     main = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-    some = at.join(main.hint("merge"), "key")
-    a = some.where("c <> main").select("key", F.col("node").alias("u"), F.col("c").alias("cu")).join(_side(odd, "u").hint("merge"), "u")
-    b = some.select("key", "main", F.col("node").alias("v"), F.col("c").alias("cv")).join(_side(odd, "v").hint("merge"), "v")
-    meet = F.expr(f"cu <> cv AND (cv = main OR u < v) AND {_may(threshold)}")
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1))
+    some = at.withColumn("before", before).join(main.hint("merge"), "key")
+    a = some.where("c <> main").select("key", F.col("node").alias("u"), F.col("c").alias("cu"), F.col("before").alias("ubefore")).join(_side(odd, "u").hint("merge"), "u")
+    b = some.select("key", "main", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("before").alias("vbefore")).join(_side(odd, "v").hint("merge"), "v")
+    meet = F.expr(f"cu <> cv AND (cv = main OR u < v) AND {_may(threshold)} AND NOT arrays_overlap(ubefore, vbefore)")
     pairs = a.join(b.hint("merge"), (a["key"] == b["key"]) & meet)
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (u, v), written: nodes whose lines were compared and are near. rows is read several times: best a written table."""
+    return _linked(rows, threshold)[0]
+
+
+def _linked(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """links, and what relabelled gave for a part of them."""
     keys = written(bands(sketches(_texts(rows))), "line-bands")
     few = written(keys.where("key IS NULL").select("node"), "line-few")
     every = keys
@@ -197,15 +207,28 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if r + 1 == ROUNDS:
             pairs = _apart(at, odd, threshold)
         else:
-            hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "c")).alias("h"))
-            pairs = at.join(hub.hint("merge"), "key").where("c <> h.c")
-            pairs = pairs.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+            pairs = at.join((_hubs if r else _hub)(at).hint("merge"), "key").where("c <> hc").select("node", F.explode("hubs").alias("hub"))
+            pairs = pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
         found.append(written(near(pairs, odd, texts, threshold), "line-links"))
         if r + 1 < ROUNDS:
             before, label = label, relabelled(label, found[-1])
             discard(before)
-    discard(left, label, texts, odd)
-    return reduce(DataFrame.union, found)
+    discard(left, texts, odd)
+    return reduce(DataFrame.union, found), label
+
+
+def _hub(at: DataFrame) -> DataFrame:
+    """Rows (key, hc, hubs): a line of each key and its component, the same of keys that share many lines."""
+    h = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(0)), "node", "c")).alias("h"))
+    return h.select("key", F.col("h.c").alias("hc"), F.array("h.node").alias("hubs"))
+
+
+def _hubs(at: DataFrame) -> DataFrame:
+    """Rows (key, hc, hubs): each key's largest component and two of its lines, others of every key, as what is left is near some of them only."""
+    one = F.struct(F.xxhash64("node", "key"), "node")
+    parts = at.groupBy("key", "c").agg(F.count("*").alias("k"), F.min(one).alias("a"), F.max(one).alias("b"))
+    h = parts.groupBy("key").agg(F.max(F.struct("k", "c", F.col("a.node").alias("a"), F.col("b.node").alias("b"))).alias("h"))
+    return h.select("key", F.col("h.c").alias("hc"), F.array_distinct(F.array("h.a", "h.b")).alias("hubs"))
 
 
 def _still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -218,10 +241,12 @@ def _still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, h, gone): the numbers of the lines that go, ascending, of each text (id and hash)."""
     rows = written(lines(docs, doc_id, text), "lines")
-    group = components(links(rows, threshold))
+    found, label = _linked(rows, threshold)
+    group = joined_up(label, found)
+    discard(label)
     placed = rows.select("id", "h", "no", "node").join(group.hint("merge"), "node", "left")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "no")
-    placed = written(placed.select(place.alias("at"), F.coalesce("component", "node").alias("g")), "line-groups")
+    placed = written(placed.select(place.alias("at"), F.coalesce("c", "node").alias("g")), "line-groups")
     discard(rows)
     first = placed.groupBy("g").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n")
     gone = placed.join(first.hint("merge"), "g").where("at <> first").select("at.id", "at.h", "at.no")
